@@ -148,7 +148,7 @@ def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
     width = (F.col("s.hi") - F.col("s.lo")) / bins
     inside = F.when(width == 0, F.lit(1)).otherwise(F.least(F.floor((F.col("v") - F.col("s.lo")) / F.nullif(width, F.lit(0.0))) + 1, F.lit(bins)))
     counts = values.withColumn("s", span.scalar()).groupBy(inside.cast("bigint").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    edges = span.select("s", F.explode(F.sequence(F.lit(1), F.lit(bins))).cast("bigint").alias("bin"))
+    edges = span.select("s", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(bins).cast("bigint"))).alias("bin"))
     return edges.join(counts, "bin", "left").select(
         "bin",
         (F.col("s.lo") + width * (F.col("bin") - 1)).alias("lo"),

@@ -50,10 +50,13 @@ def dummies_by(df: DataFrame, key: str, col: str, values: Sequence | None = None
     return df.groupBy(key).agg(*flags)
 
 
-def label_codes(df: DataFrame, col: str, out: str) -> DataFrame:
-    """(value, code) with codes 0.. in sorted order, over distinct values only."""
+def label_codes(df: DataFrame, col: str, out: str, points: Sequence[float] | None = None) -> DataFrame:
+    """(value, code) with codes 0.. in sorted order, over distinct values only.
+
+    ``points=[]`` states that the category is short and saves the counting job.
+    """
     known = df.select(col).filter(F.col(col).isNotNull()).distinct()
-    return position(known, col, name=out)
+    return position(known, col, name=out, points=points)
 
 
 def label_encode(df: DataFrame, col: str, out: str | None = None, fitted: DataFrame | None = None) -> DataFrame:
@@ -66,13 +69,17 @@ def label_encode(df: DataFrame, col: str, out: str | None = None, fitted: DataFr
     return df.join(codes, col, "left")
 
 
-def first_seen_codes(df: DataFrame, col: str, order: str, out: str, start: int = 1) -> DataFrame:
+def first_seen_codes(
+    df: DataFrame, col: str, order: str, out: str, start: int = 1, points: Sequence[float] | None = None
+) -> DataFrame:
     """(value, code), codes counting from ``start`` in the order of first appearance."""
     seen = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.min(order).alias("_first"))
-    return position(seen, "_first", name=out).select(col, (F.col(out) + start).alias(out))
+    return position(seen, "_first", name=out, points=points).select(col, (F.col(out) + start).alias(out))
 
 
-def encode_first_seen(df: DataFrame, col: str, order: str, out: str | None = None, start: int = 1) -> DataFrame:
+def encode_first_seen(
+    df: DataFrame, col: str, order: str, out: str | None = None, start: int = 1, points: Sequence[float] | None = None
+) -> DataFrame:
     """Add the first-appearance code of a category."""
     out = out or f"{col}_code"
-    return df.join(first_seen_codes(df, col, order, out, start), col, "left")
+    return df.join(first_seen_codes(df, col, order, out, start, points), col, "left")

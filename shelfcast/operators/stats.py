@@ -82,9 +82,8 @@ def mean_ci(
     weight = sum(((u > p).cast("int") for p in _POISSON[1:]), (u > _POISSON[0]).cast("int"))
     means = (
         drawn.withColumn("_w", weight)
-        .filter("_w > 0")
         .groupBy(*groups, "_rep")
-        .agg((F.sum(F.col("_w") * F.col("_s")) / F.sum(F.col("_w") * F.col("_n"))).alias("_m"))
+        .agg((F.sum(F.col("_w") * F.col("_s")) / F.nullif(F.sum(F.col("_w") * F.col("_n")), F.lit(0))).alias("_m"))
     )
     tail = (1 - level) / 2
     band = means.groupBy(*groups).agg(F.percentile("_m", F.array(F.lit(tail), F.lit(1 - tail))).alias("_q"))

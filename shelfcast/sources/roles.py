@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfcast.functions.calendar import date_spine, weekday
-from shelfcast.operators.reshape import label_encode
+from shelfcast.operators.reshape import label_codes
 
 DAY_ZERO = "1995-01-01"
 HOLIDAY_SPAN = ("1995-01-01", "2001-12-31")
@@ -34,7 +34,7 @@ def _row_id(date, store, code):
 def families(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Product families with their code in sorted order."""
     kinds = table(spark, sf_dir, "part").select(F.col("p_type").alias("family")).distinct()
-    return label_encode(kinds, "family", "family_code")
+    return label_codes(kinds, "family", "family_code", points=[])  # part types are a short fixed list
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,19 +242,20 @@ ON (r.m IS NULL OR month(date) = r.m) AND day(date) BETWEEN r.lo AND r.hi
 }
 
 
-def with_roles(body: str) -> str:
-    """Put the role definitions that ``body`` names in front of it."""
-    wanted: list[str] = []
+_BUILT_FROM = {
+    "sales": ["families"],
+    "panel_sales": ["families"],
+    "test": ["families", "sales", "stores"],
+    "panel_test": ["families", "panel_sales"],
+}
 
-    def need(text: str) -> None:
-        for name in ROLE_SQL:
-            if name not in wanted and re.search(rf"\b{name}\b", text):
-                need_text = ROLE_SQL[name]
-                need(need_text)
-                if name not in wanted:
-                    wanted.append(name)
 
-    need(body)
+def with_roles(body: str) -> str:
+    """Put the definitions of the roles that ``body`` reads in front of it."""
+    wanted: list[str] = []
+    for name in ROLE_SQL:
+        if re.search(rf"(?i)\b(from|join)\s+{name}\b", body):
+            wanted += [n for n in [*_BUILT_FROM.get(name, []), name] if n not in wanted]
     ctes = [f"{name} AS MATERIALIZED ({ROLE_SQL[name].strip()})" for name in wanted]
     body = body.strip()
     if re.match(r"(?i)select\b", body):
