@@ -56,8 +56,8 @@ def deterministic(
     rows = dates.select(date, (F.col("_p") + 1).alias("t"), F.lit(False).alias("future"))
     if steps:
         is_last = F.lead(date).over(Window.orderBy(date)).isNull()
-        ahead = F.when(is_last, F.sequence(F.lit(0), F.lit(steps))).otherwise(F.array(F.lit(0)))
-        rows = rows.withColumn("_k", F.explode(ahead)).select(
+        ahead = F.when(F.col("_last"), F.sequence(F.lit(0), F.lit(steps))).otherwise(F.array(F.lit(0)))
+        rows = rows.withColumn("_last", is_last).withColumn("_k", F.explode(ahead)).select(
             F.date_add(date, F.col("_k")).alias(date), (F.col("t") + F.col("_k")).alias("t"), (F.col("_k") > 0).alias("future")
         )
     t = F.col("t").cast("double")

@@ -19,7 +19,7 @@ from shelfcast.operators.regress import fit_ols, fold_models, panel_ols, predict
 from shelfcast.operators.reshape import label_codes, label_encode
 from shelfcast.operators.resample import resample
 from shelfcast.operators.windows import interpolate, lag
-from shelfcast.sources.scratch import ensure_checkpoint_dir
+from shelfcast.sources.scratch import ensure_checkpoint_dir, stored
 
 
 def daily_oil(oil: DataFrame, col: str = "dcoilwtico") -> DataFrame:
@@ -71,8 +71,9 @@ def lag_promo_model(series: DataFrame, y: str, promo: str, by: Sequence[str], ho
     by = list(by)
     left, names = seasonal_residual(series, y, by)
     lagged = promo_features(lag(left, "date", "deseasoned", 1, by, "y_lag_1"), "date", promo, by)
-    names = [*names, "y_lag_1", "promo_lag_1", promo, "promo_lead_1"]
-    marked = holdout_last(lagged.dropna(how="any", subset=names), "date", holdout, by)
+    around = ["y_lag_1", "promo_lag_1", promo, "promo_lead_1"]
+    names = [*names, *around]
+    marked = holdout_last(lagged.dropna(how="any", subset=around), "date", holdout, by)
     coefs = fit_ols(marked.filter(~F.col("is_test")), names, y, by, False)
     out = predict_ols(marked, coefs, names, by, False, "predicted")
     return out.withColumn("predicted", clip_low("predicted")).select(*by, "date", y, "predicted", "is_test")
@@ -118,7 +119,7 @@ def hybrid_fit(
     rows = _tree_inputs(df, codes, by, promo).join(trends, by)
     target = rows.withColumn("_rest", F.col(y) - (F.col("slope") * F.col("t") + F.col("intercept")))
     trees = GBTRegressor(labelCol="_rest", predictionCol="residual", maxIter=rounds, maxDepth=depth, seed=seed)
-    return Hybrid(trends, trees.fit(target.select("features", "_rest")), codes, by, y, promo)
+    return Hybrid(trends, trees.fit(stored(target.select("features", "_rest"), "hybrid")), codes, by, y, promo)
 
 
 # Tabular models.
@@ -157,7 +158,7 @@ def tabular_boosted(
 ) -> GBTRegressionModel:
     ensure_checkpoint_dir(train.sparkSession)
     trees = GBTRegressor(labelCol=y, predictionCol="predicted", maxIter=rounds, maxDepth=depth, seed=seed)
-    return trees.fit(assemble(train, features).select("features", y))
+    return trees.fit(stored(assemble(train, features).select("features", y), "tabular"))
 
 
 def cv_boosted(
@@ -165,7 +166,7 @@ def cv_boosted(
 ) -> DataFrame:
     """(fold, rmse, n) of boosted trees; needs a ``fold`` column.  Each fold is one distributed fit."""
     ensure_checkpoint_dir(df.sparkSession)
-    rows = assemble(df, features).select("fold", "features", y)
+    rows = stored(assemble(df, features).select("fold", "features", y), "folds")
     trees = GBTRegressor(labelCol=y, predictionCol="predicted", maxIter=rounds, maxDepth=depth, seed=seed)
     parts = []
     for i in range(k):

@@ -153,29 +153,31 @@ def neighbours(
     by = list(by)
     points = split_points(df, order) if points is None else points
     known = F.when(F.col(val).isNotNull(), F.struct(F.col("_t").alias("t"), F.col(val).alias("v")))
-    back = (Window.unboundedPreceding, Window.currentRow)
-    ahead = (Window.currentRow, Window.unboundedFollowing)
 
+    # Frames that grow from their first row are updated row by row.  Frames that
+    # shrink towards the last row would be computed anew for each row, so the
+    # next known value is the last one seen when walking backwards.
     def both(spec: WindowSpec) -> dict[str, Column]:
+        seen = (Window.unboundedPreceding, Window.currentRow)
         return {
-            "_prev": F.last(known, True).over(spec.rowsBetween(*back)),
-            "_next": F.first(known, True).over(spec.rowsBetween(*ahead)),
+            "_prev": F.last(known, True).over(spec.orderBy("_t").rowsBetween(*seen)),
+            "_next": F.last(known, True).over(spec.orderBy(F.desc("_t")).rowsBetween(*seen)),
         }
 
     numbered = position(df, order, by, "_t", points)
     if not points:
-        return numbered.withColumns(both(_spec(by).orderBy(order)))
+        return numbered.withColumns(both(_spec(by)))
     blocked = with_block(numbered, order, points)
     ends = blocked.groupBy(*by, "_block").agg(F.min(known).alias("_lo"), F.max(known).alias("_hi"))
-    spec = _spec(by).orderBy("_block")
+    spec, seen = _spec(by), (Window.unboundedPreceding, -1)
     carried = ends.select(
         *by,
         "_block",
-        F.last("_hi", True).over(spec.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
-        F.first("_lo", True).over(spec.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
+        F.last("_hi", True).over(spec.orderBy("_block").rowsBetween(*seen)).alias("_before"),
+        F.last("_lo", True).over(spec.orderBy(F.desc("_block")).rowsBetween(*seen)).alias("_after"),
     )
     return (
-        blocked.withColumns(both(_spec(by, "_block").orderBy(order)))
+        blocked.withColumns(both(_spec(by, "_block")))
         .join(carried, [*by, "_block"])
         .withColumns({"_prev": F.coalesce("_prev", "_before"), "_next": F.coalesce("_next", "_after")})
         .drop("_block", "_before", "_after")

@@ -11,14 +11,30 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 
-def _doubles(features: Sequence[str], intercept: bool) -> list[Column]:
+def _inputs(features: Sequence[str], intercept: bool) -> list[Column]:
+    """The model's inputs as columns ``_x0`` .. in order."""
     ones = [F.lit(1.0)] if intercept else []
-    return ones + [F.col(f).cast("double") for f in features]
+    xs = ones + [F.col(f).cast("double") for f in features]
+    return [x.alias(f"_x{i}") for i, x in enumerate(xs)]
 
 
-def _products(xs: Sequence[Column]) -> Column:
-    """Upper triangle of X'X, row by row."""
-    return F.array(*[F.sum(a * b) for i, a in enumerate(xs) for b in xs[i:]])
+def _gram(size: int) -> Column:
+    """Upper triangle of X'X, row by row.  One text, since hundreds of column calls are slow to build."""
+    return F.expr("array(" + ", ".join(f"sum(_x{i} * _x{j})" for i in range(size) for j in range(i, size)) + ")")
+
+
+def _cross(size: int) -> Column:
+    """X'y."""
+    return F.expr("array(" + ", ".join(f"sum(_x{i} * _y)" for i in range(size)) + ")")
+
+
+def _known(size: int) -> Column:
+    """Every input present, as one test per column.
+
+    A single test over all columns (as ``dropna`` makes) would let the optimizer
+    derive a variant of it for every subset of renamed columns.
+    """
+    return F.expr(" AND ".join(["_y IS NOT NULL", *[f"_x{i} IS NOT NULL" for i in range(size)]]))
 
 
 def _square(flat: np.ndarray, size: int) -> np.ndarray:
@@ -68,13 +84,10 @@ def fit_ols(
     The table is read once.  Each task adds up its products, so only one short
     row of sums per task and key is shuffled, whatever the size of a key.
     """
-    by = list(by)
-    xs = _doubles(features, intercept)
-    clean = df.select(*by, *features, y).dropna(how="any")
-    moments = clean.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
-        _products(xs).alias("_gram"),
-        F.array(*[F.sum(x * F.col(y)) for x in xs]).alias("_xy"),
+    by, xs = list(by), _inputs(features, intercept)
+    clean = df.select(*by, *xs, F.col(y).cast("double").alias("_y"))
+    moments = clean.filter(_known(len(xs))).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), _gram(len(xs)).alias("_gram"), _cross(len(xs)).alias("_xy")
     )
     return _coefficients(moments.filter("n > 0"), len(xs))
 
@@ -93,9 +106,10 @@ def predict_ols(
         rows = df.join(coefs.select(*by, F.col("coef").alias("_coef")), by)
     else:
         rows = df.withColumn("_coef", coefs.select("coef").scalar())
-    xs = _doubles(features, intercept)
-    value = sum((F.get("_coef", F.lit(i)) * x for i, x in enumerate(xs)), F.lit(0.0))
-    return rows.withColumn(out, value).drop("_coef")
+    first = int(intercept)
+    terms = ["_coef[0]"] if intercept else []
+    terms += [f"_coef[{i}] * cast(`{f}` as double)" for i, f in enumerate(features, first)]
+    return rows.withColumn(out, F.expr(" + ".join(terms))).drop("_coef")
 
 
 def ols(df: DataFrame, features: Sequence[str], y: str, by: Sequence[str] = (), intercept: bool = True, out: str = "fitted") -> DataFrame:
@@ -119,16 +133,15 @@ def panel_ols(
     length the calendar bounds.  The facts give one sum per feature and series; a
     day without a row counts as 0, so gaps need not be filled.
     """
-    by = list(by)
-    xs = _doubles(features, False)
-    gram = shared.agg(_products(xs).alias("g"))
+    by, xs = list(by), _inputs(features, False)
+    dated = shared.select(date, *xs)
     sums = (
-        long.select(*by, date, y)
-        .join(F.broadcast(shared.select(date, *features)), date)
+        long.select(*by, date, F.col(y).cast("double").alias("_y"))
+        .join(F.broadcast(dated), date)
         .groupBy(*by)
-        .agg(F.count(F.lit(1)).alias("n"), F.array(*[F.sum(x * F.col(y)) for x in xs]).alias("_xy"))
+        .agg(F.count(F.lit(1)).alias("n"), _cross(len(xs)).alias("_xy"))
     )
-    return _coefficients(sums.withColumn("_gram", gram.scalar()), len(xs))
+    return _coefficients(sums.withColumn("_gram", dated.agg(_gram(len(xs))).scalar()), len(xs))
 
 
 def fold_models(df: DataFrame, features: Sequence[str], y: str, fold: str, k: int) -> DataFrame:
@@ -137,17 +150,15 @@ def fold_models(df: DataFrame, features: Sequence[str], y: str, fold: str, k: in
     The sums of the training rows are the sums of all rows less the fold's own,
     so k models need one pass.
     """
-    xs = _doubles(features, True)
-    clean = df.select(fold, *features, y).dropna(how="any")
-    own = clean.groupBy(fold).agg(
-        F.count(F.lit(1)).alias("n"),
-        _products(xs).alias("_gram"),
-        F.array(*[F.sum(x * F.col(y)) for x in xs]).alias("_xy"),
-    )
+    xs = _inputs(features, True)
     size = len(xs)
+    clean = df.select(fold, *xs, F.col(y).cast("double").alias("_y"))
+    own = clean.filter(_known(size)).groupBy(fold).agg(
+        F.count(F.lit(1)).alias("n"), _gram(size).alias("_gram"), _cross(size).alias("_xy")
+    )
 
     def total(name, width):
-        return F.array(*[F.sum(F.get(name, F.lit(i))) for i in range(width)])
+        return F.expr("array(" + ", ".join(f"sum({name}[{i}])" for i in range(width)) + ")")
 
     whole = own.agg(
         F.struct(

@@ -39,10 +39,10 @@ def round_all(df: DataFrame, places: int, *cols: str) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c), places) for c in cols})
 
 
-def round_means(df: DataFrame, *cols: str) -> DataFrame:
-    """Round means of few amounts to 6 places.
+def round_means(df: DataFrame, *cols: str, places: int = 6) -> DataFrame:
+    """Round means of few amounts.
 
     Such means often end in an exact half of the last place, which the order of
     summing tips either way; a small shift on both sides of the check avoids that.
     """
-    return df.withColumns({c: F.round(F.col(c) + 1.3e-8, 6) for c in cols})
+    return df.withColumns({c: F.round(F.col(c) + 1.3e-8, places) for c in cols})
