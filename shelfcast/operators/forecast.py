@@ -149,16 +149,17 @@ def assemble(df: DataFrame, features: Sequence[str] = TABULAR) -> DataFrame:
 
 
 def tabular_linear(train: DataFrame, features: Sequence[str] = TABULAR, y: str = "sales") -> LinearRegressionModel:
-    """Normal equations: one pass, whatever the number of rows."""
+    """Normal equations, so no iterations.  Pass a stored table: a fit reads it more than once."""
     return LinearRegression(labelCol=y, predictionCol="predicted", solver="normal").fit(assemble(train, features))
 
 
 def tabular_boosted(
     train: DataFrame, features: Sequence[str] = TABULAR, y: str = "sales", rounds: int = 300, depth: int = 9, seed: int = 42
 ) -> GBTRegressionModel:
+    """Boosted trees.  Pass a stored table: the fit reads it more than once."""
     ensure_checkpoint_dir(train.sparkSession)
     trees = GBTRegressor(labelCol=y, predictionCol="predicted", maxIter=rounds, maxDepth=depth, seed=seed)
-    return trees.fit(stored(assemble(train, features).select("features", y), "tabular"))
+    return trees.fit(assemble(train, features).select("features", y))
 
 
 def cv_boosted(
@@ -182,6 +183,5 @@ def cv_boosted(
 def cv_linear(df: DataFrame, k: int = 10, features: Sequence[str] = TABULAR, y: str = "sales") -> DataFrame:
     """(fold, rmse, n) of the linear model: one pass for all fits, one for all scores."""
     models = fold_models(df, features, y, "fold", k).select("fold", "coef")
-    # k rows, so the join is a lookup.
-    scored = predict_ols(df, F.broadcast(models), features, ["fold"], True, "predicted")
+    scored = predict_ols(df, models, features, ["fold"], True, "predicted")
     return scored.groupBy("fold").agg(rmse(y, "predicted").alias("rmse"), F.count(F.lit(1)).alias("n"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfcast.operators.ordered import running_totals
 from shelfcast.operators.quantiles import mode, quantiles
+from shelfcast.sources.scratch import stored
 
 
 def group_agg(df: DataFrame, by: str | Sequence[str], *aggs: Column) -> DataFrame:
@@ -163,7 +164,7 @@ def box_stats(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
     quarts = quantiles(df, col, {"q1": 0.25, "median": 0.5, "q3": 0.75}, by)
     reach = (F.col("q3") - F.col("q1")) * 1.5
     if by:
-        marked = df.select(*by, col).join(quarts, by)
+        marked = df.select(*by, col).join(stored(quarts, "quartiles"), by)
     else:
         marked = df.select(col).withColumn("q", quarts.select(F.struct("*")).scalar()).select(col, "q.*")
     inside = F.col(col).between(F.col("q1") - reach, F.col("q3") + reach)
@@ -185,6 +186,8 @@ def impute(
     """Fill nulls by the column's mode, median, floored median, or a constant.
 
     The fill values are subqueries of the same plan; nothing comes to the driver.
+    Each reads one column of ``df``, so pass a table that is stored in columns
+    rather than a long join.
     """
     fills = {c: F.coalesce(F.col(c), mode(df, c).scalar()) for c in modes}
     wanted = [*medians, *floor_medians]

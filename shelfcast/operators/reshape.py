@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.operators.ordered import position
+from shelfcast.sources.scratch import stored
 
 MAX_COLUMNS = 10_000
 
@@ -66,7 +67,7 @@ def label_encode(df: DataFrame, col: str, out: str | None = None, fitted: DataFr
     """
     out = out or f"{col}_code"
     codes = label_codes(df, col, out) if fitted is None else fitted
-    return df.join(codes, col, "left")
+    return df.join(stored(codes, "codes"), col, "left")
 
 
 def first_seen_codes(
@@ -82,4 +83,4 @@ def encode_first_seen(
 ) -> DataFrame:
     """Add the first-appearance code of a category."""
     out = out or f"{col}_code"
-    return df.join(first_seen_codes(df, col, order, out, start, points), col, "left")
+    return df.join(stored(first_seen_codes(df, col, order, out, start, points), "codes"), col, "left")

@@ -11,7 +11,7 @@ from shelfcast.operators.profile import group_agg, impute
 from shelfcast.operators.resample import resample
 from shelfcast.plans.registry import query, round_all, spine_sql
 from shelfcast.sources import roles, tables
-from shelfcast.sources.scratch import new_path
+from shelfcast.sources.scratch import new_path, stored
 
 
 def _as_csv(spark, df, name):
@@ -391,6 +391,7 @@ def i10(spark, d):
     joined = join_calendar(joined, roles.oil(spark, d), "left")
     joined = merge(joined, roles.transactions(spark, d), ["date", "store_nbr"], "left")
     joined = joined.select("id", "type", "locale", F.col("transactions").cast("double").alias("transactions"), "dcoilwtico")
+    joined = stored(joined, "merged")
     return round_all(impute(joined, ["type"], ["transactions"], ["dcoilwtico"], {"locale": "none"}), 9, "dcoilwtico")
 
 

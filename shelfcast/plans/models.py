@@ -19,6 +19,7 @@ from shelfcast.plans.joining import DAILY_OIL
 from shelfcast.plans.registry import query, round_all, round_means
 from shelfcast.plans.solving import feature_count, features_sql, mixed_key_sql, solve_sql
 from shelfcast.sources import roles
+from shelfcast.sources.scratch import stored
 
 YEAR = roles.MODEL_YEAR
 LAST_FIT_DAY, FIRST_TEST_DAY = "2000-07-01", "2000-07-02"
@@ -321,11 +322,13 @@ def j16(spark, d):
 
 
 def tabular(spark, d):
-    return M.tabular_frame(roles.sales(spark, d), roles.oil(spark, d), roles.families(spark, d))
+    """The model table with its test marks, written once since fits and scores read it again and again."""
+    frame = M.tabular_frame(roles.sales(spark, d), roles.oil(spark, d), roles.families(spark, d))
+    return stored(split_random(frame, "id"), "tabular")
 
 
 def tabular_split(spark, d):
-    rows = split_random(tabular(spark, d), "id")
+    rows = tabular(spark, d)
     return rows.filter(~F.col("is_test")), rows.filter("is_test")
 
 
@@ -436,7 +439,7 @@ def k2(spark, d):
     FROM scored GROUP BY 1""",
 )
 def k3(spark, d):
-    rows = split_random(tabular(spark, d), "id")
+    rows = tabular(spark, d)
     model = M.tabular_linear(rows.filter(~F.col("is_test")))
     out = K.scores(model.transform(M.assemble(rows)), "sales", "predicted", ["is_test"])
     return round_all(round_all(out, 8, "r2"), 4, "rmse")

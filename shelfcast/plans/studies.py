@@ -22,7 +22,7 @@ from shelfcast.plans.registry import query, round_all, round_means, spine_sql
 from shelfcast.plans.solving import features_sql
 from shelfcast.plans.time_axis import _fill_sql
 from shelfcast.sources import roles, tables
-from shelfcast.sources.scratch import new_path
+from shelfcast.sources.scratch import new_path, stored
 
 
 @query(
@@ -161,7 +161,7 @@ def q8(spark, d):
     merged = J.star_left(
         fact, roles.holidays_events(spark), roles.oil(spark, d), roles.stores(spark, d), roles.transactions(spark, d)
     )
-    merged = merged.withColumn("transactions", F.col("transactions").cast("double"))
+    merged = stored(merged.withColumn("transactions", F.col("transactions").cast("double")), "merged")
     filled = P.impute(merged, modes=["type_x", "locale", "transferred"], medians=["transactions"])
     # Two holiday rows on a date share the id, so the holiday's code is put behind it to make the row order unique.
     types = F.coalesce(F.array_position(F.lit(sorted(HOLIDAY_TYPE_CODES)), F.col("type_x")), F.lit(0))

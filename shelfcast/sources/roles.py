@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from shelfcast.functions.calendar import date_spine, weekday
 from shelfcast.operators.reshape import label_codes
+from shelfcast.sources.scratch import stored
 
 DAY_ZERO = "1995-01-01"
 HOLIDAY_SPAN = ("1995-01-01", "2001-12-31")
@@ -38,21 +39,26 @@ def families(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines with their family.  The part side is small next to the lines;
-    whether it is broadcast is left to the size statistics of the scan."""
-    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("family"))
+    """Order lines with their family and its code.
+
+    The code is put on the parts, never joined to the lines by family: that would
+    shuffle them on a handful of keys.  Whether the parts are broadcast is left to
+    the size statistics of the scan.
+    """
+    kinds = table(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("family"))
+    part = kinds.join(stored(families(spark, sf_dir), "families"), "family")
     lines = table(spark, sf_dir, "lineitem").select(
         F.col("l_shipdate").cast("date").alias("date"), "l_suppkey", "l_partkey", "l_extendedprice", "l_discount"
     )
     return lines.join(part, lines.l_partkey == part.p_partkey)
 
 
-def _to_sales(lines: DataFrame, codes: DataFrame, store: str) -> DataFrame:
-    fact = lines.groupBy("date", F.col(store).cast("bigint").alias("store_nbr"), "family").agg(
+def _to_sales(lines: DataFrame, store: str) -> DataFrame:
+    fact = lines.groupBy("date", F.col(store).cast("bigint").alias("store_nbr"), "family", "family_code").agg(
         F.round(F.sum("l_extendedprice"), 2).alias("sales"),
         F.sum(F.round(F.col("l_discount") * 100)).cast("bigint").alias("onpromotion"),
     )
-    return fact.join(codes, "family").select(
+    return fact.select(
         _row_id(F.col("date"), F.col("store_nbr"), F.col("family_code")).alias("id"),
         "date",
         "store_nbr",
@@ -64,14 +70,14 @@ def _to_sales(lines: DataFrame, codes: DataFrame, store: str) -> DataFrame:
 
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per (date, store, family)."""
-    return _to_sales(_lines(spark, sf_dir), families(spark, sf_dir), "l_suppkey")
+    return _to_sales(_lines(spark, sf_dir), "l_suppkey")
 
 
 def panel_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As ``sales`` with the supplier's nation as the store."""
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     lines = _lines(spark, sf_dir)
-    return _to_sales(lines.join(supplier, lines.l_suppkey == supplier.s_suppkey), families(spark, sf_dir), "s_nationkey")
+    return _to_sales(lines.join(supplier, lines.l_suppkey == supplier.s_suppkey), "s_nationkey")
 
 
 def stores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,16 +118,14 @@ def oil(spark: SparkSession, sf_dir: str) -> DataFrame:
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders per (date, store).
 
-    Lines of one order are first cut down to (order, store) pairs so that the
-    distinct count becomes a plain count, with no wide distinct aggregate.
+    The join leaves lines lying by order, so cutting them down to one row per
+    (order, store) needs no further shuffle, and the distinct count becomes a
+    plain count.
     """
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("date"))
-    pairs = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("store_nbr")).distinct()
-    return (
-        pairs.join(orders, pairs.l_orderkey == orders.o_orderkey)
-        .groupBy("date", "store_nbr")
-        .agg(F.count(F.lit(1)).alias("transactions"))
-    )
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("store_nbr"))
+    pairs = lines.join(orders, lines.l_orderkey == orders.o_orderkey).select("l_orderkey", "date", "store_nbr").distinct()
+    return pairs.groupBy("date", "store_nbr").agg(F.count(F.lit(1)).alias("transactions"))
 
 
 def holidays_events(spark: SparkSession, sf_dir: str | None = None) -> DataFrame:

@@ -38,8 +38,10 @@ def new_path(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table once to the shared folder and go on from the files.
 
-    For inputs that an iterative estimator reads many times: the lineage ends at
-    files that outlive any executor.
+    Used where a table is read many times (an iterative fit, several fill values)
+    and where a short table meets a long one: its file size then tells the planner
+    whether it may be broadcast, before the long side has been shuffled.  The
+    lineage ends at files that outlive any executor.
     """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
