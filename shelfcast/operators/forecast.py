@@ -73,7 +73,7 @@ def lag_promo_model(series: DataFrame, y: str, promo: str, by: Sequence[str], ho
     lagged = promo_features(lag(left, "date", "deseasoned", 1, by, "y_lag_1"), "date", promo, by)
     around = ["y_lag_1", "promo_lag_1", promo, "promo_lead_1"]
     names = [*names, *around]
-    marked = holdout_last(lagged.dropna(how="any", subset=around), "date", holdout, by)
+    marked = stored(holdout_last(lagged.dropna(how="any", subset=around), "date", holdout, by), "lag-promo")
     coefs = fit_ols(marked.filter(~F.col("is_test")), names, y, by, False)
     out = predict_ols(marked, coefs, names, by, False, "predicted")
     return out.withColumn("predicted", clip_low("predicted")).select(*by, "date", y, "predicted", "is_test")

@@ -19,7 +19,10 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, NumericType, StringType
 
-ROWS_PER_BLOCK = 2_000_000
+from shelfcast.sources.scratch import stored
+
+ROWS_PER_BLOCK = 200_000  # smaller orders stay in one block
+MAX_BLOCKS = 2_000  # longer orders get longer blocks, which a sort can spill
 
 
 def order_key(df: DataFrame, order: str) -> Column:
@@ -43,13 +46,25 @@ def split_points(df: DataFrame, order: str, rows_per_block: int | None = None) -
     if isinstance(df.schema[order].dataType, DateType) and rows_per_block is None:
         return []
     keys = df.select(order_key(df, order).alias("k")).filter("k IS NOT NULL")
-    blocks = keys.count() // (rows_per_block or ROWS_PER_BLOCK)
+    blocks = min(keys.count() // (rows_per_block or ROWS_PER_BLOCK), MAX_BLOCKS)
     if blocks < 1:
         return []
     shares = [i / (blocks + 1) for i in range(1, blocks + 1)]
     return sorted(set(keys.approxQuantile("k", shares, 0.25 / (blocks + 1))))
 
 
+def placed(df: DataFrame, order: str, points: Sequence[float] | None) -> tuple[DataFrame, Sequence[float]]:
+    """The table and where to cut it.
+
+    A table whose order has to be looked at is stored first, so that counting it,
+    placing the cuts, summing the blocks and the work itself do not each compute it anew.
+    """
+    if points is not None or isinstance(df.schema[order].dataType, DateType):
+        return df, points or []
+    df = stored(df, "ordered")
+    return df, split_points(df, order)
+
+
 def with_block(df: DataFrame, order: str, points: Sequence[float]) -> DataFrame:
     """Add ``_block``, the number of the block a row falls in."""
     if not points:
@@ -79,7 +94,7 @@ def running_totals(
     ``then`` names the columns that order rows with the same ``order``.
     """
     by = list(by)
-    points = split_points(df, order) if points is None else points
+    df, points = placed(df, order, points)
     before, whole = (Window.unboundedPreceding, -1), (Window.unboundedPreceding, Window.unboundedFollowing)
 
     def earlier(spec: WindowSpec, value) -> Column:
@@ -132,7 +147,7 @@ def over_rows(
     after the window.
     """
     by = list(by)
-    points = split_points(df, order) if points is None else points
+    df, points = placed(df, order, points)
     if not points:
         return df.withColumns(columns(_spec(by).orderBy(order)))
     size = max(rows_per_block, 2 * reach, 1)
@@ -151,7 +166,7 @@ def neighbours(
     Adds ``_t`` (position), ``_prev`` and ``_next`` (structs of position ``t`` and value ``v``).
     """
     by = list(by)
-    points = split_points(df, order) if points is None else points
+    df, points = placed(df, order, points)
     known = F.when(F.col(val).isNotNull(), F.struct(F.col("_t").alias("t"), F.col(val).alias("v")))
 
     # Frames that grow from their first row are updated row by row.  Frames that

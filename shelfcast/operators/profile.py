@@ -132,7 +132,7 @@ def corr_spearman(df: DataFrame, a: str, b: str, points: Sequence[float] | None
     Equal pairs are counted first; ranks come from running counts over distinct
     values, so no task sorts the whole column.
     """
-    pairs = df.dropna(how="any", subset=[a, b]).groupBy(a, b).agg(F.count(F.lit(1)).alias("_n"))
+    pairs = stored(df.dropna(how="any", subset=[a, b]).groupBy(a, b).agg(F.count(F.lit(1)).alias("_n")), "pairs")
     ranked = pairs.join(_average_ranks(pairs, a, points), a).join(_average_ranks(pairs, b, points), b)
     x, y, n = F.col(f"_rank_{a}"), F.col(f"_rank_{b}"), F.col("_n")
     # Every rank column has mean (N + 1) / 2.

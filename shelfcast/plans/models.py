@@ -33,13 +33,14 @@ def average_daily(spark, d):
 
 
 def family_daily(spark, d):
-    """Mean sale and promotions per family and day of the model year."""
+    """Mean sale and promotions per family and day of the model year, stored since models read it several times."""
     fact = roles.sales(spark, d).filter(in_year("date", YEAR))
-    return fact.groupBy("family", "date").agg(F.avg("sales").alias("sales"), F.avg("onpromotion").alias("onpromotion"))
+    means = fact.groupBy("family", "date").agg(F.avg("sales").alias("sales"), F.avg("onpromotion").alias("onpromotion"))
+    return stored(means, "family-daily")
 
 
 def panel_year(spark, d):
-    return roles.panel_sales(spark, d).filter(in_year("date", YEAR))
+    return stored(roles.panel_sales(spark, d).filter(in_year("date", YEAR)), "panel")
 
 
 AVERAGE = "avg_daily AS (SELECT date, avg(sales) AS y, row_number() OVER (ORDER BY date) AS t FROM sales GROUP BY 1)"

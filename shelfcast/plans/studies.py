@@ -33,10 +33,7 @@ from shelfcast.sources.scratch import new_path, stored
     round(a + b * onpromotion, 4) AS trend, round(r2, 6) AS r2 FROM m, line""",
 )
 def q1(spark, d):
-    fact = roles.sales(spark, d)
-    sold = resample(fact, "M", {"sales": "mean"})
-    promoted = resample(fact, "M", {"onpromotion": "mean"})
-    months = J.merge(sold, promoted, "date", "left")
+    months = resample(roles.sales(spark, d), "M", {"sales": "mean", "onpromotion": "mean"})
     line = S.ols_line(months, "onpromotion", "sales").select(F.struct("slope", "intercept", "r2")).scalar()
     out = months.withColumn("l", line).select(
         "date",
@@ -161,7 +158,8 @@ def q8(spark, d):
     merged = J.star_left(
         fact, roles.holidays_events(spark), roles.oil(spark, d), roles.stores(spark, d), roles.transactions(spark, d)
     )
-    merged = stored(merged.withColumn("transactions", F.col("transactions").cast("double")), "merged")
+    merged = merged.withColumn("transactions", F.col("transactions").cast("double"))
+    merged = stored(merged.select("id", "family_code", *[c for c in _Q8_COLS if c != "family"]), "merged")
     filled = P.impute(merged, modes=["type_x", "locale", "transferred"], medians=["transactions"])
     # Two holiday rows on a date share the id, so the holiday's code is put behind it to make the row order unique.
     types = F.coalesce(F.array_position(F.lit(sorted(HOLIDAY_TYPE_CODES)), F.col("type_x")), F.lit(0))
@@ -185,7 +183,7 @@ def q9(spark, d):
     """Panel forecast of the days after the model year, put to ids and written as a submission."""
     fact, shared, coefs = models.panel_model(spark, d)
     forecast = M.panel_forecast(coefs, shared.filter("future"), PANEL_FEATURES, PANEL_KEYS)
-    nations = roles.panel_sales(spark, d).select("store_nbr").distinct()
+    nations = fact.select("store_nbr").distinct()
     wanted = roles.test(spark, d, fact, nations)
     path = new_path(spark, "submission")
     tables.write_submission(M.forecast_to_ids(forecast, wanted), path)
