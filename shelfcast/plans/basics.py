@@ -9,7 +9,7 @@ from shelfcast.functions import scalars as sc
 from shelfcast.operators.joins import join_calendar, merge, sales_on_dates
 from shelfcast.operators.profile import group_agg, impute
 from shelfcast.operators.resample import resample
-from shelfcast.plans.registry import query, round_all, spine_sql
+from shelfcast.plans.registry import query, round_all, round_means, spine_sql
 from shelfcast.sources import roles, tables
 from shelfcast.sources.scratch import new_path, stored
 
@@ -144,9 +144,9 @@ def b8(spark, d):
     return joined.select("id", F.col("dcoilwtico").isNotNull().alias("priced"), "transactions")
 
 
-@query("b8_drop_nulls_column", "SELECT date, round(dcoilwtico, 9) AS dcoilwtico FROM oil WHERE dcoilwtico IS NOT NULL")
+@query("b8_drop_nulls_column", "SELECT date, round(dcoilwtico + 1.3e-8, 6) AS dcoilwtico FROM oil WHERE dcoilwtico IS NOT NULL")
 def b8_column(spark, d):
-    return round_all(roles.oil(spark, d).na.drop(subset=["dcoilwtico"]), 9, "dcoilwtico")
+    return round_means(roles.oil(spark, d).na.drop(subset=["dcoilwtico"]), "dcoilwtico")
 
 
 @query(
@@ -179,9 +179,9 @@ def b11_year(spark, d):
     return roles.sales(spark, d).filter(cal.in_year("date", 2000)).select("id", "date")
 
 
-@query("b12_sentinel_to_null", "SELECT date, round(nullif(dcoilwtico, 0), 9) AS dcoilwtico FROM oil")
+@query("b12_sentinel_to_null", "SELECT date, round(nullif(dcoilwtico, 0) + 1.3e-8, 6) AS dcoilwtico FROM oil")
 def b12(spark, d):
-    return round_all(roles.oil(spark, d).withColumn("dcoilwtico", sc.null_sentinel("dcoilwtico")), 9, "dcoilwtico")
+    return round_means(roles.oil(spark, d).withColumn("dcoilwtico", sc.null_sentinel("dcoilwtico")), "dcoilwtico")
 
 
 @query(
@@ -211,11 +211,11 @@ def b14(spark, d):
 
 @query(
     "b15_weekend_flag",
-    "SELECT CASE WHEN isodow(date) IN (6, 7) THEN 1 ELSE 0 END::BIGINT AS weekend, count(*) AS n, round(avg(sales), 6) AS sales FROM sales GROUP BY 1",
+    "SELECT CASE WHEN isodow(date) IN (6, 7) THEN 1 ELSE 0 END::BIGINT AS weekend, count(*) AS n, round(avg(sales) + 1.3e-8, 6) AS sales FROM sales GROUP BY 1",
 )
 def b15(spark, d):
     flagged = roles.sales(spark, d).withColumn("weekend", cal.weekend("date").cast("bigint"))
-    return flagged.groupBy("weekend").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("sales"), 6).alias("sales"))
+    return flagged.groupBy("weekend").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("sales") + 1.3e-8, 6).alias("sales"))
 
 
 @query("b16_new_year_flag", "SELECT date, dayofyear(date) = 1 AS new_year, count(*) AS n FROM sales GROUP BY ALL")
@@ -282,18 +282,18 @@ def i1(spark, d):
     return days.select("date", w.alias("from_0"), (w + 1).alias("from_1"))
 
 
-@query("i2_weekday_name", "SELECT dayname(date) AS day, round(avg(sales), 6) AS sales FROM sales GROUP BY 1")
+@query("i2_weekday_name", "SELECT dayname(date) AS day, round(avg(sales) + 1.3e-8, 6) AS sales FROM sales GROUP BY 1")
 def i2(spark, d):
-    return roles.sales(spark, d).groupBy(cal.weekday_name("date").alias("day")).agg(F.round(F.avg("sales"), 6).alias("sales"))
+    return roles.sales(spark, d).groupBy(cal.weekday_name("date").alias("day")).agg(F.round(F.avg("sales") + 1.3e-8, 6).alias("sales"))
 
 
 @query(
     "i3_month",
-    "SELECT month(date) AS month_nbr, monthname(date) AS month, round(avg(sales), 6) AS sales FROM sales GROUP BY 1, 2",
+    "SELECT month(date) AS month_nbr, monthname(date) AS month, round(avg(sales) + 1.3e-8, 6) AS sales FROM sales GROUP BY 1, 2",
 )
 def i3(spark, d):
     keyed = roles.sales(spark, d).groupBy(F.month("date").cast("bigint").alias("month_nbr"), cal.month_name("date").alias("month"))
-    return keyed.agg(F.round(F.avg("sales"), 6).alias("sales"))
+    return keyed.agg(F.round(F.avg("sales") + 1.3e-8, 6).alias("sales"))
 
 
 @query("i4_year", "SELECT year(date) AS year, round(sum(sales), 2) AS sales FROM sales GROUP BY 1")
@@ -383,7 +383,7 @@ _MERGED = """merged AS (SELECT s.id, h.type, h.locale, t.transactions, o.dcoilwt
 SELECT id, coalesce(type, (SELECT type FROM merged WHERE type IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS type,
     coalesce(locale, 'none') AS locale,
     coalesce(CAST(transactions AS DOUBLE), (SELECT quantile_cont(CAST(transactions AS DOUBLE), 0.5) FROM merged)) AS transactions,
-    round(coalesce(dcoilwtico, (SELECT floor(quantile_cont(dcoilwtico, 0.5)) FROM merged)), 9) AS dcoilwtico
+    round(coalesce(dcoilwtico, (SELECT floor(quantile_cont(dcoilwtico, 0.5)) FROM merged)) + 1.3e-8, 6) AS dcoilwtico
 FROM merged""",
 )
 def i10(spark, d):
@@ -392,7 +392,7 @@ def i10(spark, d):
     joined = merge(joined, roles.transactions(spark, d), ["date", "store_nbr"], "left")
     joined = joined.select("id", "type", "locale", F.col("transactions").cast("double").alias("transactions"), "dcoilwtico")
     joined = stored(joined, "merged")
-    return round_all(impute(joined, ["type"], ["transactions"], ["dcoilwtico"], {"locale": "none"}), 9, "dcoilwtico")
+    return round_means(impute(joined, ["type"], ["transactions"], ["dcoilwtico"], {"locale": "none"}), "dcoilwtico")
 
 
 @query("i10_impute_group_keys", "SELECT family, count(*) AS n FROM sales WHERE family IS NOT NULL GROUP BY 1")

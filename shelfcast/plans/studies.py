@@ -204,11 +204,13 @@ def q10(spark, d):
 
 @query("q11_hybrid_scores")
 def q11(spark, d):
-    """RMSLE of both stages on either side of the split date."""
+    """Errors of both stages on either side of the split date."""
     scored = models.j16(spark, d).withColumn("stage_1", clip_low("stage_1"))
     return scored.groupBy("is_test").agg(
         K.rmsle("sales", "stage_1").alias("rmsle_stage_1"),
         K.rmsle("sales", "predicted").alias("rmsle"),
+        K.rmse("sales", "stage_1").alias("rmse_stage_1"),
+        K.rmse("sales", "predicted").alias("rmse"),
         F.count(F.lit(1)).alias("n"),
     )
 

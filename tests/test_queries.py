@@ -32,12 +32,13 @@ def test_bootstrap_band_has_the_expected_width(spark, sf_dir):
     assert row["mean"] == pytest.approx(stats[0])
     assert row["low"] < stats[0] < row["high"]
     assert (row["high"] - row["low"]) / (2 * 1.96 * error) == pytest.approx(1, abs=0.2)
-    assert mean_ci(fact.repartition(13), "x", "sales", "id", reps=400).first() == row
+    again = mean_ci(fact.repartition(13), "x", "sales", "id", reps=400).first()
+    assert list(again) == pytest.approx(list(row))
 
 
 def test_hybrid_improves_on_its_first_stage(spark, sf_dir):
     scores = {r["is_test"]: r for r in QUERIES["q11_hybrid_scores"](spark, sf_dir).collect()}
-    assert scores[False]["rmsle"] <= scores[False]["rmsle_stage_1"]
+    assert scores[False]["rmse"] <= scores[False]["rmse_stage_1"]
     assert scores[True]["n"] > 0
 
 
