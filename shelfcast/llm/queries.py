@@ -164,8 +164,8 @@ def _op5_sql() -> str:
 
     def windows(rel: str, keys: str) -> str:
         return (
-            f"SELECT {keys}, len(words) - {n - 1} AS all_windows, at, list_slice(words, at + 1, at + {n}) AS win "
-            f"FROM (SELECT *, unnest(range(greatest(len(words) - {n - 1}, 0))) AS at FROM {rel}) x"
+            f"SELECT {keys}, len(words) - {n - 1} AS all_windows, pos, list_slice(words, pos + 1, pos + {n}) AS win "
+            f"FROM (SELECT *, unnest(range(greatest(len(words) - {n - 1}, 0))) AS pos FROM {rel}) x"
         )
 
     slot = f"left(v, 1) IN ('{mark_name}', '{mark_number}', '{mark_unit}')"
@@ -181,9 +181,9 @@ WITH items AS (
 ), item_windows AS (
   SELECT * FROM ({windows("iw", "item_id, text, vals")}) y WHERE len(list_filter(win, lambda v: NOT ({slot}))) >= {decontaminate.LITERALS}
 ), doc_windows AS ({windows("dw", "doc_id, text")}), found AS (
-  SELECT d.doc_id, d.text AS doc_text, i.item_id, i.vals AS item_vals, i.all_windows, d.at - i.at AS word_offset, count(DISTINCT i.at) AS windows
+  SELECT d.doc_id, d.text AS doc_text, i.item_id, i.vals AS item_vals, i.all_windows, d.pos - i.pos AS word_offset, count(DISTINCT i.pos) AS windows
   FROM doc_windows d JOIN item_windows i ON d.win = i.win GROUP BY ALL
-  HAVING count(DISTINCT i.at) >= least({decontaminate.WINDOWS_NEEDED}, i.all_windows)
+  HAVING count(DISTINCT i.pos) >= least({decontaminate.WINDOWS_NEEDED}, i.all_windows)
 ), slots AS (
   SELECT doc_id, doc_text, item_id, item_vals, all_windows, word_offset, windows,
     list_distinct(list_filter(list_transform(range(len(item_vals)),
