@@ -2,10 +2,10 @@
 
 The documents are put into the order of their ids and their tokens form one stream per block.  A stream
 is cut into sequences by dynamic programming over the places where a cut may fall: the end of a document
-(free), the end of a sentence (a small penalty) and, within a sentence longer than a sequence, every full
-sequence (a larger one).  The cost of a sequence is its padding; a length that is a power of two needs
+(free), the end of a sentence (a small penalty) and, within a sentence longer than ``GAP`` tokens, every
+``GAP`` tokens (a larger one).  The cost of a sequence is its padding; a length that is a power of two needs
 none.  The best earlier cut within reach is the head of a monotone queue, so a place costs constant time;
-the few earlier places at a distance of a power of two are looked at besides.
+earlier places at a distance of a power of two, from ``LEAST_POWER``, are looked at besides.
 
 Edge cases: a null text is empty and is packed as its end token alone; very long documents are cut into as
 many pieces as needed; rows with the same id are packed one after the other; an empty table gives an empty
@@ -14,13 +14,12 @@ result.  Columns beside id and text are not read.
 
 from __future__ import annotations
 
-import re
 import zlib
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,62 +28,98 @@ from shelfcast.llm.common import texts
 
 LENGTH = 2048
 END = 1
-SENTENCE_CUT = 4.0  # tokens of padding that one cut at a sentence's end is worth
-FORCED_CUT = 64.0
+SENTENCE_CUT = 1.0  # tokens of padding that one cut at a sentence's end is worth
+FORCED_CUT = 16.0
+GAP = 64  # in a sentence longer than this, every so many tokens are a place for such a cut
+LEAST_POWER = 256  # shorter powers of two are not looked for
 BLOCK_BYTES = 24_000_000  # text of one block, about
 STREAM_TOKENS = 2_000_000  # tokens that are packed at a time within a block
-SPLIT = re.compile("[ \n]")
 SCHEMA = "doc_id {}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself if it prints, else one from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class WordTokens:
-    """Token ids of texts, by the given tokenizer; pieces between blanks met before are looked up.
+    """Token ids of texts, by the given tokenizer; each different piece between blanks is looked at once a batch.
 
     The tokenizer drops white space and never joins what it separates, so a text's ids are those of its
-    pieces.  ASCII pieces are looked up in lower case, and a final mark after a letter by itself, as the
-    tokenizer does both.
+    pieces.  It takes ASCII in lower case and a final mark after a letter by itself, and so do the lookups.
+    Words of plain letters go to its model at once, all others through the whole tokenizer.
     """
 
-    LIMIT = 300_000
+    LIMIT = 500_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.letters = _byte_letters()
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {"": 0}
-        self.parts: dict[str, list[int]] = {}
-        self.table: list[list[int]] = [[]]
-
-    def _encode(self, words: list[str]) -> None:
-        todo = [w for w in dict.fromkeys(words) if w not in self.parts]
-        for w, e in zip(todo, self.tokenizer.encode_batch_fast(todo, add_special_tokens=False) if todo else ()):
-            self.parts[w] = e.ids
-
-    def _learn(self, pieces: set[str]) -> None:
-        split = {}
-        for p in pieces:
-            key = p.lower() if p.isascii() else p
-            if len(p) > 1 and p[-1] in ".,;:!?" and p[-2].isalpha():
-                split[p] = (key[:-1], p[-1])
-            else:
-                split[p] = (key,)
-        self._encode([w for s in split.values() for w in s])
-        for p, s in split.items():
-            self.known[p] = len(self.table)
-            self.table.append([i for w in s for i in self.parts[w]])
-
-    def streams(self, batch: list[str]) -> list[np.ndarray]:
+        """Forget all words; word k has the ids ``flat[first[k] : first[k + 1]]``."""
+        self.words: dict[str, int] = {"": 0}
+        self.flat, self.first, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), 1
+
+    def _add(self, words: list[str], ids: list[list[int]]) -> None:
+        lengths = np.array([len(x) for x in ids], np.int64)
+        added = np.array([i for x in ids for i in x], np.uint32)
+        begin, used = self.size, int(self.first[self.size])
+        while used + len(added) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while begin + len(words) + 1 > len(self.first):
+            self.first = np.concatenate([self.first, np.zeros_like(self.first)])
+        self.flat[used : used + len(added)] = added
+        self.first[begin + 1 : begin + len(words) + 1] = used + np.cumsum(lengths)
+        self.size += len(words)
+        self.words.update(zip(words, range(begin, begin + len(words))))
+
+    def _learn(self, words: list[str]) -> None:
+        # Letters below U+0130 are composed as they are and have one lower-case letter each.
+        plain = [w for w in words if w.isalpha() and max(w) < "\u0130"]
+        model, letters = self.tokenizer.model, self.letters
+        self._add(
+            plain, [[t.id for t in model.tokenize(w.lower().encode().decode("latin-1").translate(letters))] for w in plain]
+        )
+        done = set(plain)
+        others = [w for w in words if w not in done]
+        self._add(others, [e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)] if others else [])
+
+    def _gather(self, flat: np.ndarray, first: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the entries at ``places``, one after the other, and how many each has."""
+        begin = first[places]
+        lengths = first[places + 1] - begin
+        begin -= np.cumsum(lengths) - lengths
+        return flat[np.repeat(begin, lengths) + np.arange(int(lengths.sum()))], lengths
+
+    def streams(self, batch: pa.Array) -> list[np.ndarray]:
         """The ids of each text."""
-        if len(self.known) > self.LIMIT:
+        if len(self.words) > self.LIMIT:
             self._clear()
-        pieces = [SPLIT.split(t) for t in batch]
-        self._learn({p for row in pieces for p in row if p not in self.known})
-        known, table = self.known, self.table
-        return [np.array([i for p in row for i in table[known[p]]], np.uint32) for row in pieces]
+        rows = pc.split_pattern(pc.replace_substring(batch, "\n", " "), " ")
+        coded = rows.flatten().dictionary_encode()
+        heads, marks = [], []
+        for p in coded.dictionary.to_pylist():
+            key = p.lower() if p.isascii() else p
+            marked = len(p) > 1 and p[-1] in ".,;:!?" and p[-2].isalpha()
+            heads.append(key[:-1] if marked else key)
+            marks.append(key[-1] if marked else "")
+        words = self.words
+        new = [w for w in {*heads, *marks} if w not in words]
+        if new:
+            self._learn(new)
+        both = np.array([words[w] for pair in zip(heads, marks) for w in pair], np.int64)
+        ids, lengths = self._gather(self.flat, self.first, both)
+        first = np.r_[0, np.cumsum(lengths.reshape(-1, 2).sum(axis=1))]
+        ids, lengths = self._gather(ids, first, coded.indices.to_numpy(zero_copy_only=False))
+        ends = np.r_[0, np.cumsum(lengths)][rows.offsets.to_numpy()[1:] - rows.offsets[0].as_py()]
+        return np.split(ids, ends[:-1])
 
     def sentence_ends(self) -> np.ndarray:
         """Whether a token ends a sentence, by id."""
@@ -100,9 +135,9 @@ def cut_places(ids: np.ndarray, ends: np.ndarray, sentence: np.ndarray, length:
     """Where a stream may be cut and what a cut there costs; ``ends`` are the places after each document."""
     after = np.flatnonzero(sentence[ids]) + 1
     place = np.union1d(after, ends)
-    gaps = np.diff(np.r_[0, place])
-    wide = np.flatnonzero(gaps > length)
-    forced = [np.arange(place[k] - gaps[k] + length, place[k], length) for k in wide]
+    gaps, step = np.diff(np.r_[0, place]), min(GAP, length)
+    wide = np.flatnonzero(gaps > step)
+    forced = [np.arange(place[k] - gaps[k] + step, place[k], step) for k in wide]
     place = np.union1d(place, np.concatenate(forced)) if forced else place
     cost = np.full(len(place), SENTENCE_CUT)
     cost[np.isin(place, ends, assume_unique=True)] = 0
@@ -113,38 +148,37 @@ def cut_places(ids: np.ndarray, ends: np.ndarray, sentence: np.ndarray, length:
 
 def best_cuts(place: np.ndarray, cost: np.ndarray, length: int) -> list[int]:
     """The cheapest cuts of a stream from 0 to the last place; no gap between places exceeds ``length``."""
-    p = [0, *place.tolist()]
-    extra = [0.0, *cost.tolist()]
+    where = np.r_[0, place]
+    at = np.full(int(where[-1]) + 1, -1, np.int32)
+    at[where] = np.arange(len(where))
+    powers = []
+    power = length >> 1
+    while power >= LEAST_POWER:
+        powers.append(np.where(where >= power, at[np.maximum(where - power, 0)], -1).tolist())
+        power >>= 1
+    p, extra = where.tolist(), [0.0, *cost.tolist()]
     n = len(p)
-    at = np.full(p[-1] + 1, -1, np.int32)
-    at[p] = np.arange(n)
-    near: dict[int, list[int]] = {}
-    power = 1
-    where = np.array(p)
-    while power < length:
-        back = where - power
-        prev = np.where(back >= 0, at[np.maximum(back, 0)], -1)
-        for j in np.flatnonzero(prev >= 0).tolist():
-            near.setdefault(j, []).append(int(prev[j]))
-        power *= 2
     best, came = [0.0] * n, [0] * n
-    queue: deque[tuple[float, int, int]] = deque([(0.0, 0, 0)])
+    keys, items, head = [0.0], [0], 0  # the queue: keys rise from head on
     for j in range(1, n):
         pj = p[j]
         low = pj - length
-        while queue[0][1] < low:
-            queue.popleft()
-        value, _, i = queue[0]
-        value += length - pj
-        for k in near.get(j, ()):
-            if best[k] <= value:
+        while p[items[head]] < low:
+            head += 1
+        i = items[head]
+        value = keys[head] + length - pj
+        for prev in powers:
+            k = prev[j]
+            if k >= 0 and best[k] <= value:
                 value, i = best[k], k
         value += extra[j]
         best[j], came[j] = value, i
         key = value + pj
-        while queue and queue[-1][0] >= key:
-            queue.pop()
-        queue.append((key, pj, j))
+        while len(keys) > head and keys[-1] >= key:
+            keys.pop()
+            items.pop()
+        keys.append(key)
+        items.append(j)
     cuts, j = [], n - 1
     while j:
         cuts.append(p[j])
@@ -233,9 +267,9 @@ def pack(
         schema = None
         for batch in batches:
             schema = batch.schema
-            for begin in range(0, batch.num_rows, 500):
-                part = batch.slice(begin, 500)
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), words.streams(part.column("text").to_pylist())):
+            for begin in range(0, batch.num_rows, 2500):
+                part = batch.slice(begin, 2500)
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), words.streams(part.column("text"))):
                     for found in packer.add(doc_id, np.append(ids, np.uint32(end))):
                         yield out(found)
         found = packer.flush()
