@@ -24,6 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,19 +36,13 @@ VOCABULARY = 8_192  # words the network knows
 LOOKUP = 200_000  # commonest tokens whose counts every task holds; the others' counts are joined
 UNKNOWN = 64
 HIDDEN, EMBEDDED = 32, 32
-ROUNDS, SHARE = 2, 16  # each round trains on one document in SHARE
-DOCS_PER_TASK = 400  # documents one training task takes in a round, about
-STEPS, LANES = 16, 64  # length of a training window, streams side by side
-WINDOW, ABREAST = 32, 256  # length of a scoring window, texts side by side
+ROUNDS, SHARE = 2, 32  # each round trains on one document in SHARE
+DOCS_PER_TASK = 800  # documents one training task takes in a round, about
+STEPS, LANES = 16, 96  # length of a training window, streams side by side
+WINDOW, ABREAST = 8_192, 512  # tokens of a scoring window, texts side by side
+COUNTED = 300_000  # different tokens a task counts before it passes the counts on
 PER_BLOCK = 65_536  # weights averaged in one task
 ADDED = 0.1
-BLANK = r"[\x20\x09-\x0D]+"
-
-
-def words_of(text: Column) -> Column:
-    """Lower-case tokens and one empty string for the end."""
-    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.concat(F.filter(F.split(lower, BLANK), lambda w: w != ""), F.array(F.lit("")))
 
 
 def marker_of(word: str) -> int:
@@ -58,10 +53,31 @@ def marker_column(word: str) -> Column:
     return F.pmod(F.crc32(F.substring(F.col(word), -2, 2).cast("binary")), F.lit(UNKNOWN)).cast("int")
 
 
+def split_words(text: str) -> list[bytes]:
+    """Tokens before the end: runs of anything but ASCII blanks, A-Z in lower case."""
+    return text.encode("utf-8", "surrogatepass").lower().split()
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def told(seen: Counter) -> pa.RecordBatch:
+        words = [w.decode("utf-8", "surrogatepass") for w in seen]
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "k"])
+
+    seen: Counter = Counter()
+    for batch in batches:
+        for text in batch.column("text").to_pylist():
+            seen.update(split_words(text))
+            seen[b""] += 1
+            if len(seen) > COUNTED:
+                yield told(seen)
+                seen = Counter()
+    yield told(seen)
+
+
 def token_counts(rows: DataFrame) -> DataFrame:
-    """word (empty for the end), code and c, over all rows."""
-    spread = rows.select(F.explode(words_of(F.col("text"))).alias("word"))
-    return spread.groupBy("word").agg(F.count("*").alias("c")).withColumn("code", F.xxhash64("word"))
+    """word (empty for the end), code and c, over all rows; each task adds up what it has read."""
+    parts = rows.select("text").mapInArrow(_count, "word string, k long")
+    return parts.groupBy("word").agg(F.sum("k").alias("c")).withColumn("code", F.xxhash64("word"))
 
 
 @dataclass
@@ -157,28 +173,30 @@ def document_scores(net: Network, docs: list[np.ndarray]) -> np.ndarray:
         sizes = np.array([len(docs[i]) for i in own])
         state = np.zeros((len(own), HIDDEN), np.float32)
         last = np.zeros(len(own), np.int64)
-        for first in range(0, int(sizes[0]), WINDOW):
-            states, targets, owners = [], [], []
+        first = 0
+        while first < sizes[0]:
             live = int(np.searchsorted(-sizes, -first, side="left"))
-            block = np.zeros((live, WINDOW), np.int64)
+            steps = min(max(1, WINDOW // live), int(sizes[0]) - first)
+            block = np.zeros((steps, live), np.int64)
             for r in range(live):
-                part = docs[own[r]][first : first + WINDOW]
-                block[r, : len(part)] = part
-            for t in range(min(WINDOW, int(sizes[0]) - first)):
-                n = int(np.searchsorted(-sizes, -(first + t), side="left"))
+                part = docs[own[r]][first : first + steps]
+                block[: len(part), r] = part
+            counts = np.searchsorted(-sizes, -(first + np.arange(steps)), side="left").tolist()
+            states = np.empty((sum(counts), HIDDEN), np.float32)
+            at = 0
+            for t, n in enumerate(counts):
                 h = state[:n]
                 gx, gh = table[last[:n]], h @ u
-                z = _sigmoid(gx[:, :HIDDEN] + gh[:, :HIDDEN])
-                r = _sigmoid(gx[:, HIDDEN : 2 * HIDDEN] + gh[:, HIDDEN : 2 * HIDDEN])
-                new = np.tanh(gx[:, 2 * HIDDEN :] + r * gh[:, 2 * HIDDEN :])
-                state[:n] = h = new + z * (h - new)
-                last[:n] = y = block[:n, t]
-                states.append(h.copy())
-                targets.append(y)
-                owners.append(n)
-            who = np.concatenate([np.arange(n) for n in owners])
-            scores = target_scores(net, np.concatenate(states), np.concatenate(targets))
+                gates = _sigmoid(gx[:, : 2 * HIDDEN] + gh[:, : 2 * HIDDEN])
+                new = np.tanh(gx[:, 2 * HIDDEN :] + gates[:, HIDDEN:] * gh[:, 2 * HIDDEN :])
+                new += gates[:, :HIDDEN] * (h - new)
+                state[:n] = states[at : at + n] = new
+                last[:n] = block[t, :n]
+                at += n
+            who = np.concatenate([np.arange(n) for n in counts])
+            scores = target_scores(net, states, np.concatenate([block[t, :n] for t, n in enumerate(counts)]))
             out[own[:live]] += np.bincount(who, scores, live)
+            first += steps
     return out
 
 
@@ -278,7 +296,7 @@ class Words:
 
     def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray, Counter]:
         """Network ids, places of the tokens that are held here (-1 for others), and the others."""
-        words = text.encode("utf-8", "surrogatepass").lower().split()
+        words = split_words(text)
         get = self.place.get
         at = np.array([get(w, -1) for w in words] + [self.place.get(b"", -1)], np.int64)
         ids = self.ids[at] if len(self.ids) else np.zeros(len(at), np.int64)
@@ -306,8 +324,19 @@ class Model:
 
 
 def vocabulary(counts: DataFrame, size: int, lookup: int) -> tuple[Words, np.ndarray]:
-    """What every task holds: at most ``lookup`` tokens, ``size`` of them known to the network."""
-    top = counts.orderBy(F.desc("c"), "word").limit(lookup).select("word", "c").collect()
+    """What every task holds: at most ``lookup`` tokens, ``size`` of them known to the network.
+
+    The different counts are at most the square root of twice the tokens.
+    """
+    # How many tokens have each count tells which counts are among the highest; only those come to the driver.
+    tally = sorted(((r["c"], r["n"]) for r in counts.groupBy("c").agg(F.count("*").alias("n")).collect()), reverse=True)
+    least, taken = 0, 0
+    for c, n in tally:
+        if taken + n > lookup:
+            break
+        least, taken = c, taken + n
+    top = counts.filter(F.col("c") >= least).select("word", "c").collect() if taken else []
+    top.sort(key=lambda r: (-r["c"], r["word"]))
     place = {r["word"].encode("utf-8", "surrogatepass"): i for i, r in enumerate(top)}
     c = np.array([r["c"] for r in top], np.float64)
     known = np.zeros(len(top), bool)
@@ -347,12 +376,11 @@ def train(rows: DataFrame, net: Network, words, documents: int, rounds: int = RO
         sent = spark.sparkContext.broadcast(net)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            trainer, tokens, lot = Trainer(sent.value), 0, 0
+            trainer, tokens, lot = Trainer(sent.value), 0, TaskContext.get().partitionId() % lots
             for batch in batches:
                 for begin in range(0, batch.num_rows, 400):
                     part = batch.slice(begin, 400)
                     docs = [words.value.tokens(t)[0] for t in part.column("text").to_pylist()]
-                    lot = part.column("k")[0].as_py() % lots
                     tokens += trainer.documents(docs)
             if tokens:
                 flat = trainer.net.flat()
@@ -368,8 +396,8 @@ def train(rows: DataFrame, net: Network, words, documents: int, rounds: int = RO
                 )
 
         key = F.xxhash64("doc_id", "text")
-        chosen = rows.withColumn("k", F.pmod(F.shiftright(key, 8), F.lit(1 << 20)).cast("int")).filter(F.pmod(key, F.lit(share)) == turn)
-        trained = chosen.select("text", "k").repartition(tasks, "k").mapInArrow(run, _SUMS)
+        chosen = rows.filter(F.pmod(key, F.lit(share)) == turn)
+        trained = chosen.select("text").repartition(tasks).mapInArrow(run, _SUMS)
         added = trained.groupBy("block", "lot").applyInPandas(_add_up, _SUMS).groupBy("block").applyInPandas(_add_up, _SUMS)
         got = added.collect()  # one copy of the weights
         if not got:
@@ -414,8 +442,8 @@ def score(
         log_behind = np.log10(w.behind)
         within = np.where(w.spelled, log_counts - log_behind[w.markers], 0.0) if len(w.counts) else np.zeros(0)
         for batch in batches:
-            for begin in range(0, batch.num_rows, 1000):
-                part = batch.slice(begin, 1000)
+            for begin in range(0, batch.num_rows, 5000):
+                part = batch.slice(begin, 5000)
                 out: dict[str, list] = {k: [] for k in ("n_tokens", "known", "base", "score", "codes", "times")}
                 docs = []
                 for text in part.column("text").to_pylist():
