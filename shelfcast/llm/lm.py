@@ -273,7 +273,7 @@ class Trainer:
         fresh = np.zeros(len(y), np.int8)
         fresh[np.r_[0, np.cumsum([len(d) for d in docs])[:-1]]] = 1
         x = np.where(fresh == 1, 0, np.r_[0, y[:-1]])
-        lanes = max(1, min(LANES, len(y) // STEPS))
+        lanes = max(1, min(LANES, len(y) // (40 * STEPS)))
         size = len(y) // lanes
         xs, ys, fs = (v[: lanes * size].reshape(lanes, size).T for v in (x, y, fresh))
         h = np.zeros((lanes, HIDDEN), np.float32)
