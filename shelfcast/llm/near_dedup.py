@@ -38,7 +38,7 @@ WORDS = 5
 THRESHOLD = 0.8
 HASHES = 20
 STEPS = (1,)  # sketches i and i + step, in a ring, make a bucket: 20 buckets for 20 sketches
-PART = 128  # members of a bucket that one exact task takes from each side
+PART = 256  # members of a bucket that one exact task takes from each side
 WORD = re.compile(r"\w+")
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -334,15 +334,29 @@ def _rep(key: str) -> Column:
 
 
 def _rest(members: DataFrame, words: DataFrame, first: DataFrame, threshold: float) -> DataFrame:
-    """Links between members of one bucket that the first pass left in different classes."""
-    labelled = members.join(first, "id", "left").select("bucket", "id", "n", F.coalesce("cls", "id").alias("cls"))
+    """Links between members of one bucket that the first pass left in different classes.
+
+    The members of a bucket's largest class need not meet each other again, only the rest of the bucket.
+    """
+    labelled = members.filter("n > 2").join(first, "id", "left").select("bucket", "id", F.coalesce("cls", "id").alias("cls"))
     # With two members the pair was aligned already.
-    open_ = labelled.filter("n > 2").groupBy("bucket").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo < hi")
-    left = labelled.join(open_.select("bucket"), "bucket", "left_semi")
-    parts = F.ceil(F.col("n") / PART).cast("int")
-    dealt = left.withColumn("part", F.pmod(F.xxhash64("id"), parts)).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), parts - 1))
+    sizes = labelled.groupBy("bucket", "cls").agg(F.count("*").alias("k"))
+    open_ = (
+        sizes.groupBy("bucket")
+        .agg(F.max(F.struct("k", "cls")).alias("top"), F.sum("k").alias("n"), F.count("*").alias("classes"))
+        .filter("classes > 1")
+        .select("bucket", "n", F.col("top.cls").alias("main"), F.ceil(F.col("top.k") / PART).cast("int").alias("gm"),
+                F.ceil((F.col("n") - F.col("top.k")) / PART).cast("int").alias("go"))
+    )
+    left = labelled.join(open_, "bucket")
+    small, is_main = F.col("n") <= 2 * PART, F.col("cls") == F.col("main")
+    spot = F.xxhash64("id")
+    part = F.when(small, 0).when(is_main, F.pmod(spot, "gm")).otherwise(F.col("gm") + F.pmod(spot, "go")).cast("int")
+    last = F.col("gm") + F.col("go") - 1
+    others = (
+        F.when(small, F.array(F.lit(0))).when(is_main, F.sequence("gm", last)).otherwise(F.sequence(F.lit(0), last))
     )
+    dealt = left.withColumn("part", part).withColumn("other", F.explode(others))
     cell = dealt.select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "id", "cls")
     # The same members meet in several buckets; each set is worked on once.
     sets = cell.groupBy("bucket", "i", "j").agg(F.sort_array(F.collect_set(F.struct("id", "cls"))).alias("m")).select("m").distinct()
