@@ -1,7 +1,7 @@
 """Ordered work that does not put a whole order, or a whole key, into one task.
 
 A window over a key sends all rows of the key to one task.  That is fine for a
-daily series, whose length the calendar bounds, and wrong for anything longer.
+short series and wrong for anything longer.
 Here a long order is cut at split points taken from its own quantiles.  Each
 block is worked on alone and one small row per block carries what the next
 blocks need.  The split points are plain numbers by the time a plan is built,
@@ -21,59 +21,99 @@ from pyspark.sql.types import DateType, NumericType, StringType
 
 from shelfcast.sources.scratch import stored
 
-ROWS_PER_BLOCK = 200_000  # smaller orders stay in one block
-MAX_BLOCKS = 2_000  # longer orders get longer blocks, which a sort can spill
+ROWS_PER_BLOCK = 200_000  # most rows of a block; tables that fill fewer are cut by the session's partitions
+LEAST_ROWS = 10_000  # smaller orders stay in one block
+SAMPLED = 200  # whole values looked at for each cut of a text order
 
 
 def order_key(df: DataFrame, order: str) -> Column:
-    """A number that never decreases along the order; ties are allowed."""
+    """A number that never decreases along an order that is not text; ties are allowed."""
     kind = df.schema[order].dataType
     if isinstance(kind, DateType):
         return F.unix_date(order).cast("double")
     if isinstance(kind, NumericType):
         return F.col(order).cast("double")
-    if isinstance(kind, StringType):
-        head = F.rpad(F.hex(F.substring(F.encode(F.col(order), "UTF-8"), 1, 6)), 12, "0")
-        return F.conv(head, 16, 10).cast("double")
     return F.unix_micros(F.col(order).cast("timestamp")).cast("double")
 
 
-def split_points(df: DataFrame, order: str, rows_per_block: int | None = None) -> list[float]:
-    """Where to cut the order, as numbers on the driver; empty when one block is enough.
+def _text_cuts(df: DataFrame, order: str, blocks: int, rows: int) -> list[str]:
+    """Cuts of a text order at whole values, from a sample chosen by hash."""
+    share = min(1.0, SAMPLED * (blocks + 1) / max(rows, 1))
+    space = 1 << 31
+    chosen = df.select(order).filter(F.col(order).isNotNull() & (F.pmod(F.xxhash64(order), F.lit(space)) < int(share * space)))
+    seen = sorted((r["v"], r["n"]) for r in chosen.groupBy(F.col(order).alias("v")).agg(F.count("*").alias("n")).collect())
+    total, cuts, below = sum(n for _, n in seen), [], 0
+    for value, n in seen:
+        if below and below * (blocks + 1) >= total * (len(cuts) + 1):
+            cuts.append(value)
+        below += n
+    return cuts
 
-    A DATE order needs no cut and no job: its length is bounded by the calendar.
+
+def split_points(df: DataFrame, order: str, rows_per_block: int | None = None) -> list:
+    """Where to cut the order, as values on the driver; empty when one block is enough.
+
+    Days that are unique within each of a few keys could be left whole, but nothing tells this
+    without a look at the rows, so every order is counted and cut alike.
     """
-    if isinstance(df.schema[order].dataType, DateType) and rows_per_block is None:
-        return []
-    keys = df.select(order_key(df, order).alias("k")).filter("k IS NOT NULL")
-    blocks = min(keys.count() // (rows_per_block or ROWS_PER_BLOCK), MAX_BLOCKS)
+    rows = df.filter(F.col(order).isNotNull()).count()
+    if rows_per_block is None:
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows_per_block = min(ROWS_PER_BLOCK, max(LEAST_ROWS, rows // parts))
+    blocks = rows // rows_per_block
     if blocks < 1:
         return []
+    if isinstance(df.schema[order].dataType, StringType):
+        return _text_cuts(df, order, blocks, rows)
+    keys = df.select(order_key(df, order).alias("k")).filter("k IS NOT NULL")
     shares = [i / (blocks + 1) for i in range(1, blocks + 1)]
-    return sorted(set(keys.approxQuantile("k", shares, 0.25 / (blocks + 1))))
+    # A finer sketch than this would not fit the driver; beyond it blocks grow a little uneven.
+    return sorted(set(keys.approxQuantile("k", shares, max(0.25 / (blocks + 1), 1e-5))))
 
 
-def placed(df: DataFrame, order: str, points: Sequence[float] | None) -> tuple[DataFrame, Sequence[float]]:
+def placed(df: DataFrame, order: str, points: Sequence | None) -> tuple[DataFrame, Sequence]:
     """The table and where to cut it.
 
     A table whose order has to be looked at is stored first, so that counting it,
     placing the cuts, summing the blocks and the work itself do not each compute it anew.
     """
-    if points is not None or isinstance(df.schema[order].dataType, DateType):
-        return df, points or []
+    if points is not None:
+        return df, points
     df = stored(df, "ordered")
     return df, split_points(df, order)
 
 
-def with_block(df: DataFrame, order: str, points: Sequence[float]) -> DataFrame:
-    """Add ``_block``, the number of the block a row falls in."""
+def _above(value: Column, points: Sequence[str], first: int = 0) -> Column:
+    """How many of the sorted points are at or below the value, by halving."""
+    if not points:
+        return F.lit(first)
+    mid = len(points) // 2
+    return F.when(value < points[mid], _above(value, points[:mid], first)).otherwise(
+        _above(value, points[mid + 1 :], first + mid + 1)
+    )
+
+
+def with_block(df: DataFrame, order: str, points: Sequence) -> DataFrame:
+    """Add ``_block``, the number of the block a row falls in; rows without an order come first, in block -1."""
     if not points:
         return df.withColumn("_block", F.lit(0))
+    if isinstance(points[0], str):
+        return df.withColumn("_block", F.when(F.col(order).isNull(), -1).otherwise(_above(F.col(order), list(points))))
     cuts = Bucketizer(
         splits=[float("-inf"), *points, float("inf")], inputCol="_key", outputCol="_cut", handleInvalid="keep"
     )
     keyed = df.withColumn("_key", order_key(df, order))
-    return cuts.transform(keyed).withColumn("_block", F.col("_cut").cast("int")).drop("_key", "_cut")
+    block = F.when(F.col("_key").isNull(), -1).otherwise(F.col("_cut").cast("int"))
+    return cuts.transform(keyed).withColumn("_block", block).drop("_key", "_cut")
+
+
+def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on keys of which some may be null; a null meets a null."""
+    named = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & left[k].eqNullSafe(named[f"_r_{k}"])
+    return left.join(named, same).drop(*[f"_r_{k}" for k in keys])
 
 
 def _spec(by: Sequence[str], *more: str) -> WindowSpec:
@@ -85,7 +125,7 @@ def running_totals(
     order: str,
     weights: dict[str, Column],
     by: Sequence[str] = (),
-    points: Sequence[float] | None = None,
+    points: Sequence | None = None,
     then: Sequence[str] = (),
 ) -> DataFrame:
     """Per key, the total of each weight over the rows before this one.
@@ -118,14 +158,14 @@ def running_totals(
     local = _spec(by, "_block").orderBy(order, *then)
     out = blocked.withColumns({f"_l_{n}": earlier(local, w) for n, w in weights.items()})
     return (
-        out.join(carried, [*by, "_block"])
+        join_keys(out, carried, [*by, "_block"])
         .withColumns({n: F.col(f"_l_{n}") + F.col(f"_c_{n}") for n in weights})
         .drop("_block", *[f"_l_{n}" for n in weights], *[f"_c_{n}" for n in weights])
     )
 
 
 def position(
-    df: DataFrame, order: str, by: Sequence[str] = (), name: str = "t", points: Sequence[float] | None = None
+    df: DataFrame, order: str, by: Sequence[str] = (), name: str = "t", points: Sequence | None = None
 ) -> DataFrame:
     """Row number from 0 along the order, per key."""
     return running_totals(df, order, {name: F.lit(1).cast("bigint")}, by, points).drop(f"{name}_all")
@@ -137,7 +177,7 @@ def over_rows(
     columns: Callable[[WindowSpec], dict[str, Column]],
     reach: int,
     by: Sequence[str] = (),
-    points: Sequence[float] | None = None,
+    points: Sequence | None = None,
     rows_per_block: int = ROWS_PER_BLOCK,
 ) -> DataFrame:
     """Window columns that look at most ``reach`` rows to either side.
@@ -159,7 +199,7 @@ def over_rows(
 
 
 def neighbours(
-    df: DataFrame, order: str, val: str, by: Sequence[str] = (), points: Sequence[float] | None = None
+    df: DataFrame, order: str, val: str, by: Sequence[str] = (), points: Sequence | None = None
 ) -> DataFrame:
     """The nearest known value at or before and at or after each row.
 
@@ -192,8 +232,7 @@ def neighbours(
         F.last("_lo", True).over(spec.orderBy(F.desc("_block")).rowsBetween(*seen)).alias("_after"),
     )
     return (
-        blocked.withColumns(both(_spec(by, "_block")))
-        .join(carried, [*by, "_block"])
+        join_keys(blocked.withColumns(both(_spec(by, "_block"))), carried, [*by, "_block"])
         .withColumns({"_prev": F.coalesce("_prev", "_before"), "_next": F.coalesce("_next", "_after")})
         .drop("_block", "_before", "_after")
     )

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfcast.operators.ordered import running_totals
+from shelfcast.operators.ordered import join_keys, running_totals
 from shelfcast.operators.quantiles import mode, quantiles
 from shelfcast.sources.scratch import stored
 
@@ -164,7 +164,7 @@ def box_stats(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
     quarts = quantiles(df, col, {"q1": 0.25, "median": 0.5, "q3": 0.75}, by)
     reach = (F.col("q3") - F.col("q1")) * 1.5
     if by:
-        marked = df.select(*by, col).join(stored(quarts, "quartiles"), by)
+        marked = join_keys(df.select(*by, col), stored(quarts, "quartiles"), by)
     else:
         marked = df.select(col).withColumn("q", quarts.select(F.struct("*")).scalar()).select(col, "q.*")
     inside = F.col(col).between(F.col("q1") - reach, F.col("q3") + reach)

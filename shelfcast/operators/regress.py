@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
+from shelfcast.operators.ordered import join_keys
 from shelfcast.sources.scratch import stored
 
 
@@ -105,7 +106,7 @@ def predict_ols(
     """Add the model value.  A single model is read as a subquery, many are joined on their key."""
     by = list(by)
     if by:
-        rows = df.join(stored(coefs.select(*by, F.col("coef").alias("_coef")), "coefficients"), by)
+        rows = join_keys(df, stored(coefs.select(*by, F.col("coef").alias("_coef")), "coefficients"), by)
     else:
         rows = df.withColumn("_coef", coefs.select("coef").scalar())
     first = int(intercept)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfcast.operators.ordered import neighbours, over_rows, position
+from shelfcast.operators.ordered import join_keys, neighbours, over_rows, position
 from shelfcast.sources.scratch import stored
 
 
@@ -107,7 +107,7 @@ def zscore(df: DataFrame, val: str, by: Sequence[str] = (), out: str | None = No
     moments = [F.avg(val).alias("_m"), F.stddev_samp(val).alias("_s")]
     score = (F.col(val) - F.col("_m")) / F.nullif(F.col("_s"), F.lit(0.0))
     if by:
-        joined = df.join(stored(df.groupBy(*by).agg(*moments), "moments"), by)
+        joined = join_keys(df, stored(df.groupBy(*by).agg(*moments), "moments"), by)
     else:
         joined = df.withColumn("_z", df.agg(F.struct(*moments).alias("z")).scalar()).select("*", "_z.*").drop("_z")
     return joined.withColumn(out or f"{val}_z", score).drop("_m", "_s")

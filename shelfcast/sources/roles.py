@@ -98,15 +98,14 @@ def stores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def oil(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A price per weekday with nulls and zeros.  One row per day, so its size is bounded by the calendar."""
-    urgent = (
+    priced = (
         table(spark, sf_dir, "orders")
-        .filter(F.col("o_orderpriority") == "1-URGENT")
         .groupBy(F.col("o_orderdate").cast("date").alias("date"))
         .agg((F.avg("o_totalprice") / 1000).alias("price"))
     )
     days = date_spine(spark, *OIL_SPAN).filter(weekday("date") < 5)
     missing = (F.col("date") < F.lit("1995-01-05").cast("date")) | (F.dayofmonth("date") == 13)
-    return days.join(urgent, "date", "left").select(
+    return days.join(priced, "date", "left").select(
         "date",
         F.when(missing, F.lit(None).cast("double"))
         .when(F.dayofmonth("date") == 7, F.lit(0.0))
@@ -221,7 +220,7 @@ SELECT d.date, CASE WHEN d.date < DATE '1995-01-05' OR day(d.date) = 13 THEN NUL
                     WHEN day(d.date) = 7 THEN 0.0 ELSE price END AS dcoilwtico
 FROM (SELECT CAST(x AS DATE) AS date FROM range(DATE '1995-01-02', DATE '2001-08-02', INTERVAL 1 DAY) r(x)) d
 LEFT JOIN (SELECT CAST(o_orderdate AS DATE) AS date, avg(o_totalprice) / 1000 AS price
-           FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1) u ON d.date = u.date
+           FROM orders GROUP BY 1) u ON d.date = u.date
 WHERE isodow(d.date) < 6""",
     "transactions": """
 SELECT CAST(o_orderdate AS DATE) AS date, l_suppkey AS store_nbr, count(DISTINCT o_orderkey) AS transactions

@@ -117,7 +117,38 @@ def test_text_order_in_blocks(spark):
     assert {r["s"]: r["c"] for r in label_codes(df, "s", "c").collect()} == got
 
 
-def test_date_orders_are_not_cut(spark):
+def test_short_date_orders_are_not_cut(spark):
     days = spark.sql("SELECT explode(sequence(DATE'2000-01-01', DATE'2000-12-31')) AS date")
     assert O.split_points(days, "date") == []
     assert O.split_points(days, "date", rows_per_block=30)
+
+
+@pytest.mark.parametrize("by", [[], ["k"]])
+def test_null_orders_and_keys_stay(spark, by):
+    rows_ = [(i, "a" if i % 3 else None, float(i) if i % 4 else None) for i in range(30)] + [(None, "a", 7.0)]
+    df = spark.createDataFrame(rows_, "id long, k string, h double")
+    for make in (
+        lambda p: O.position(df, "id", by, "t", p),
+        lambda p: W.interpolate(df, "id", "h", by, points=p),
+        lambda p: K.holdout_last(df, "id", 5, by, p),
+        lambda p: O.over_rows(df, "id", lambda w: {"x": F.lag("h").over(w)}, 1, by, p, rows_per_block=4),
+    ):
+        cut, whole = (sorted(map(str, make(p).collect())) for p in ([5.0, 12.0, 20.0], []))
+        assert cut == whole and len(cut) == len(rows_)
+    assert W.zscore(df, "h", ["k"]).count() == len(rows_)
+    assert P.box_stats(df.dropna(subset=["h"]), "h", ["k"]).count() == 2
+
+
+def test_text_with_a_common_start_is_cut(spark):
+    df = spark.range(3000).select(F.format_string("https://shop/%06d", (F.col("id") * 7919) % 3000).alias("s"))
+    points = O.split_points(df, "s", rows_per_block=300)
+    assert len(points) >= 8
+    sizes = [r["count"] for r in O.with_block(df, "s", points).groupBy("_block").count().collect()]
+    assert max(sizes) < 700
+    got = [r["s"] for r in O.position(df, "s", name="c", points=points).orderBy("c").collect()]
+    assert got == sorted(got)
+
+
+def test_tables_of_some_size_are_cut(spark):
+    df = spark.range(60_000).select(F.col("id"), F.expr("date_add(DATE'2000-01-01', cast(id % 900 as int))").alias("date"))
+    assert O.split_points(df, "id") and O.split_points(df, "date")
