@@ -114,8 +114,9 @@ def hybrid_fit(
     """Fit on rows that carry the time step ``t``."""
     ensure_checkpoint_dir(df.sparkSession)
     t = F.col("t").cast("double")
-    trends = df.groupBy(by).agg(F.regr_slope(y, t).alias("slope"), F.regr_intercept(y, t).alias("intercept"))
-    codes = label_codes(df, by, "_code")
+    # Short tables, stored so that their size is known before the rows would move by a hot key.
+    trends = stored(df.groupBy(by).agg(F.regr_slope(y, t).alias("slope"), F.regr_intercept(y, t).alias("intercept")), "trends")
+    codes = stored(label_codes(df, by, "_code"), "codes")
     rows = _tree_inputs(df, codes, by, promo).join(trends, by)
     target = rows.withColumn("_rest", F.col(y) - (F.col("slope") * F.col("t") + F.col("intercept")))
     trees = GBTRegressor(labelCol="_rest", predictionCol="residual", maxIter=rounds, maxDepth=depth, seed=seed)

@@ -11,6 +11,7 @@ from shelfcast.operators import features as X
 from shelfcast.operators import forecast as M
 from shelfcast.operators import regress as R
 from shelfcast.operators.joins import align, fill_after_join, join_calendar, merge
+from shelfcast.operators.ordered import join_keys
 from shelfcast.operators.profile import describe
 from shelfcast.operators.smooth import lowess
 from shelfcast.operators.stats import ols_line
@@ -415,8 +416,10 @@ def j22(spark, d):
 
 
 def _family_mean_prediction(spark, d):
-    fact = roles.sales(spark, d).select("id", "date", "family", "sales")
-    return fact.join(fact.groupBy("family").agg(F.avg("sales").alias("predicted")), "family")
+    """Sales with their family's mean; the means are stored, so their size is known before the sales move."""
+    fact = stored(roles.sales(spark, d).select("id", "date", "family", "sales"), "scored-sales")
+    means = fact.groupBy("family").agg(F.avg("sales").alias("predicted"))
+    return join_keys(fact, stored(means, "family-means"), ["family"])
 
 
 _FAMILY_MEAN = """scored AS (SELECT id, date, family, sales, avg(sales) OVER (PARTITION BY family) AS predicted FROM sales)"""
