@@ -9,7 +9,7 @@ from shelfcast.functions import scalars as sc
 from shelfcast.operators.joins import join_calendar, merge, sales_on_dates
 from shelfcast.operators.profile import group_agg, impute
 from shelfcast.operators.resample import resample
-from shelfcast.plans.registry import query, round_all, round_means, spine_sql
+from shelfcast.plans.registry import exact_mean, query, round_all, round_means, spine_sql
 from shelfcast.sources import roles, tables
 from shelfcast.sources.scratch import new_path, stored
 
@@ -211,11 +211,11 @@ def b14(spark, d):
 
 @query(
     "b15_weekend_flag",
-    "SELECT CASE WHEN isodow(date) IN (6, 7) THEN 1 ELSE 0 END::BIGINT AS weekend, count(*) AS n, round(avg(sales) + 1.3e-8, 6) AS sales FROM sales GROUP BY 1",
+    "SELECT CASE WHEN isodow(date) IN (6, 7) THEN 1 ELSE 0 END::BIGINT AS weekend, count(*) AS n, exact_mean(sales) AS sales FROM sales GROUP BY 1",
 )
 def b15(spark, d):
     flagged = roles.sales(spark, d).withColumn("weekend", cal.weekend("date").cast("bigint"))
-    return flagged.groupBy("weekend").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("sales") + 1.3e-8, 6).alias("sales"))
+    return flagged.groupBy("weekend").agg(F.count(F.lit(1)).alias("n"), exact_mean("sales").alias("sales"))
 
 
 @query("b16_new_year_flag", "SELECT date, dayofyear(date) = 1 AS new_year, count(*) AS n FROM sales GROUP BY ALL")
@@ -282,18 +282,18 @@ def i1(spark, d):
     return days.select("date", w.alias("from_0"), (w + 1).alias("from_1"))
 
 
-@query("i2_weekday_name", "SELECT dayname(date) AS day, round(avg(sales) + 1.3e-8, 6) AS sales FROM sales GROUP BY 1")
+@query("i2_weekday_name", "SELECT dayname(date) AS day, exact_mean(sales) AS sales FROM sales GROUP BY 1")
 def i2(spark, d):
-    return roles.sales(spark, d).groupBy(cal.weekday_name("date").alias("day")).agg(F.round(F.avg("sales") + 1.3e-8, 6).alias("sales"))
+    return roles.sales(spark, d).groupBy(cal.weekday_name("date").alias("day")).agg(exact_mean("sales").alias("sales"))
 
 
 @query(
     "i3_month",
-    "SELECT month(date) AS month_nbr, monthname(date) AS month, round(avg(sales) + 1.3e-8, 6) AS sales FROM sales GROUP BY 1, 2",
+    "SELECT month(date) AS month_nbr, monthname(date) AS month, exact_mean(sales) AS sales FROM sales GROUP BY 1, 2",
 )
 def i3(spark, d):
     keyed = roles.sales(spark, d).groupBy(F.month("date").cast("bigint").alias("month_nbr"), cal.month_name("date").alias("month"))
-    return keyed.agg(F.round(F.avg("sales") + 1.3e-8, 6).alias("sales"))
+    return keyed.agg(exact_mean("sales").alias("sales"))
 
 
 @query("i4_year", "SELECT year(date) AS year, round(sum(sales), 2) AS sales FROM sales GROUP BY 1")

@@ -17,7 +17,7 @@ from shelfcast.operators.smooth import lowess
 from shelfcast.operators.stats import ols_line
 from shelfcast.operators.windows import lag, moving_avg, time_step
 from shelfcast.plans.joining import DAILY_OIL
-from shelfcast.plans.registry import query, round_all, round_means
+from shelfcast.plans.registry import exact_mean, query, round_all, round_means
 from shelfcast.plans.solving import feature_count, features_sql, mixed_key_sql, solve_sql
 from shelfcast.sources import roles
 from shelfcast.sources.scratch import stored
@@ -528,8 +528,7 @@ def k8(spark, d):
 
 @query(
     "b16_new_year_effect",
-    "SELECT dayofyear(date) = 1 AS new_year, round(avg(sales) + 1.3e-8, 6) AS sales FROM sales GROUP BY 1",
+    "SELECT dayofyear(date) = 1 AS new_year, exact_mean(sales) AS sales FROM sales GROUP BY 1",
 )
 def new_year_effect(spark, d):
-    out = roles.sales(spark, d).groupBy(new_year("date").alias("new_year")).agg(F.avg("sales").alias("sales"))
-    return round_means(out, "sales")
+    return roles.sales(spark, d).groupBy(new_year("date").alias("new_year")).agg(exact_mean("sales").alias("sales"))

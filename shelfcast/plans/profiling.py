@@ -10,20 +10,20 @@ from shelfcast.operators import stats as S
 from shelfcast.operators.joins import join_calendar, merge, sales_on_dates
 from shelfcast.operators.quantiles import median, mode, quantiles
 from shelfcast.plans.basics import _STORE_DAYS, store_days
-from shelfcast.plans.registry import query, round_all, round_means
+from shelfcast.plans.registry import doubles, exact, exact_mean, query, round_all
 from shelfcast.sources import roles
 
 
 @query(
     "d1_global_aggregates",
-    """SELECT round(avg(sales) + 1.3e-8, 6) AS mean, round(quantile_cont(sales, 0.5), 6) AS median, min(sales) AS min, max(sales) AS max,
+    """SELECT exact_mean(sales) AS mean, round(quantile_cont(sales, 0.5), 6) AS median, min(sales) AS min, max(sales) AS max,
     round(sum(sales), 2) AS sum, count(sales) AS count,
     (SELECT onpromotion FROM sales GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS mode FROM sales""",
 )
 def d1(spark, d):
     fact = roles.sales(spark, d)
     basic = fact.agg(
-        F.round(F.avg("sales") + 1.3e-8, 6).alias("mean"),
+        exact_mean("sales").alias("mean"),
         F.min("sales").alias("min"),
         F.max("sales").alias("max"),
         F.round(F.sum("sales"), 2).alias("sum"),
@@ -49,21 +49,21 @@ def d1_mode(spark, d):
 
 @query(
     "d2_group_one_key",
-    "SELECT family, round(avg(sales) + 1.3e-8, 6) AS mean, round(sum(sales), 2) AS sum, count(*) AS count FROM sales GROUP BY 1",
+    "SELECT family, exact_mean(sales) AS mean, round(sum(sales), 2) AS sum, count(*) AS count FROM sales GROUP BY 1",
 )
 def d2(spark, d):
     return P.group_agg(
         roles.sales(spark, d),
         "family",
-        F.round(F.avg("sales") + 1.3e-8, 6).alias("mean"),
+        exact_mean("sales").alias("mean"),
         F.round(F.sum("sales"), 2).alias("sum"),
         F.count(F.lit(1)).alias("count"),
     )
 
 
-@query("d2_mean_per_date", "SELECT date, round(avg(sales) + 1.3e-8, 6) AS sales FROM sales GROUP BY 1")
+@query("d2_mean_per_date", "SELECT date, exact_mean(sales) AS sales FROM sales GROUP BY 1")
 def d2_date(spark, d):
-    return round_means(P.group_agg(roles.sales(spark, d), "date", F.avg("sales").alias("sales")), "sales")
+    return P.group_agg(roles.sales(spark, d), "date", exact_mean("sales").alias("sales"))
 
 
 @query("d2_null_keys_dropped", "SELECT h.type, count(*) AS n FROM sales s JOIN holidays_events h ON s.date = h.date GROUP BY 1")
@@ -86,34 +86,35 @@ def d3(spark, d):
 
 @query(
     "d4_mixed_aggregates",
-    """SELECT family, CAST(sum(onpromotion) AS BIGINT) AS onpromotion, round(avg(sales) + 1.3e-8, 6) AS sales
+    """SELECT family, CAST(sum(onpromotion) AS BIGINT) AS onpromotion, exact_mean(sales) AS sales
     FROM sales JOIN holidays_events USING (date) GROUP BY 1""",
 )
 def d4(spark, d):
     held = join_calendar(roles.sales(spark, d), roles.holidays_events(spark))
-    return P.group_agg(held, "family", F.sum("onpromotion").alias("onpromotion"), F.round(F.avg("sales") + 1.3e-8, 6).alias("sales"))
+    return P.group_agg(held, "family", F.sum("onpromotion").alias("onpromotion"), exact_mean("sales").alias("sales"))
 
 
 @query(
     "d5_filter_group_sort",
-    """SELECT family, round(avg(sales) + 1.3e-8, 6) AS sales, CAST(sum(onpromotion) AS BIGINT) AS onpromotion
+    """SELECT family, exact_mean(sales) AS sales, CAST(sum(onpromotion) AS BIGINT) AS onpromotion
     FROM sales s JOIN holidays_events h USING (date) WHERE h.type = 'Bridge' GROUP BY 1 ORDER BY 2 DESC, 1""",
 )
 def d5(spark, d):
     bridge = roles.holidays_events(spark).filter(F.col("type") == "Bridge")
     held = join_calendar(roles.sales(spark, d), bridge)
-    out = P.group_agg(held, "family", F.round(F.avg("sales") + 1.3e-8, 6).alias("sales"), F.sum("onpromotion").alias("onpromotion"))
+    out = P.group_agg(held, "family", exact_mean("sales").alias("sales"), F.sum("onpromotion").alias("onpromotion"))
     return out.orderBy(F.desc("sales"), F.asc("family"))
 
 
-_PIVOT = ", ".join(f'round(avg(CASE WHEN month(date) = {m} THEN sales END) + 1.3e-8, 6) AS "{m}"' for m in range(1, 13))
+_PIVOT = ", ".join(f'exact_mean(CASE WHEN month(date) = {m} THEN sales END) AS "{m}"' for m in range(1, 13))
 
 
 @query("d6_pivot_mean", f"SELECT dayname(date) AS day_name, {_PIVOT} FROM sales GROUP BY 1")
 def d6(spark, d):
-    dated = roles.sales(spark, d).select(cal.weekday_name("date").alias("day_name"), F.month("date").alias("month"), "sales")
+    fact = exact(roles.sales(spark, d), "sales")
+    dated = fact.select(cal.weekday_name("date").alias("day_name"), F.month("date").alias("month"), "sales")
     out = P.pivot_mean(dated, "day_name", "month", "sales", range(1, 13), cal.WEEKDAYS)
-    return round_means(out, *[str(m) for m in range(1, 13)])
+    return doubles(out, *[str(m) for m in range(1, 13)])
 
 
 @query("d7_value_counts", "SELECT type, count(*) AS count FROM sales JOIN holidays_events USING (date) GROUP BY 1")
@@ -197,7 +198,7 @@ def d12(spark, d):
 @query(
     "d13_describe",
     " UNION ALL ".join(
-        f"""SELECT '{c}' AS "column", count({c}) AS count, round(avg({c}) + 1.3e-8, 6) AS mean, round(stddev_samp({c}), 4) AS std,
+        f"""SELECT '{c}' AS "column", count({c}) AS count, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 4) AS std,
         CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max, round(quantile_cont(CAST({c} AS DOUBLE), 0.25), 6) AS q25,
         round(quantile_cont(CAST({c} AS DOUBLE), 0.5), 6) AS q50, round(quantile_cont(CAST({c} AS DOUBLE), 0.75), 6) AS q75 FROM sales"""
         for c in ("sales", "onpromotion")
@@ -205,7 +206,7 @@ def d12(spark, d):
 )
 def d13(spark, d):
     out = P.describe(roles.sales(spark, d), ["sales", "onpromotion"])
-    return round_means(round_all(round_all(out, 6, "q25", "q50", "q75"), 4, "std"), "mean")
+    return round_all(round_all(out, 6, "mean", "q25", "q50", "q75"), 4, "std")
 
 
 @query(
@@ -271,19 +272,20 @@ _BOX = """box AS (SELECT {k}quantile_cont(sales, 0.25) AS q1, quantile_cont(sale
     FROM sales {g}),
     marked AS (SELECT s.*, q1, median, q3, sales BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS inside FROM sales s {j})
     SELECT {k}round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, min(sales) FILTER (inside) AS low,
-    max(sales) FILTER (inside) AS high, count(*) FILTER (NOT inside) AS outliers, round(avg(sales) + 1.3e-8, 6) AS mean
+    max(sales) FILTER (inside) AS high, count(*) FILTER (NOT inside) AS outliers, exact_mean(sales) AS mean
     FROM marked GROUP BY ALL"""
 
 
 @query("d19_box_stats", _BOX.format(k="", g="", j=", box"))
 def d19(spark, d):
-    return round_means(round_all(P.box_stats(roles.sales(spark, d), "sales"), 6, "q1", "median", "q3"), "mean")
+    out = P.box_stats(exact(roles.sales(spark, d), "sales"), "sales")
+    return doubles(round_all(out, 6, "q1", "median", "q3"), "low", "high", "mean")
 
 
 @query("d19_box_stats_by_family", _BOX.format(k="family, ", g="GROUP BY family", j="JOIN box USING (family)"))
 def d19_by_family(spark, d):
-    out = P.box_stats(roles.sales(spark, d), "sales", ["family"])
-    return round_means(round_all(out, 6, "q1", "median", "q3"), "mean")
+    out = P.box_stats(exact(roles.sales(spark, d), "sales"), "sales", ["family"])
+    return doubles(round_all(out, 6, "q1", "median", "q3"), "low", "high", "mean")
 
 
 @query(

@@ -18,7 +18,7 @@ from shelfcast.plans import models
 from shelfcast.plans.basics import HOLIDAY_TYPE_CODES, LOCALE_CODES, STORE_TYPE_CODES
 from shelfcast.plans.joining import DAILY_OIL
 from shelfcast.plans.models import DEPTH, LAG_PROMO, PANEL_FEATURES, PANEL_KEYS, ROUNDS, TABULAR, _PANEL
-from shelfcast.plans.registry import query, round_all, round_means, spine_sql
+from shelfcast.plans.registry import doubles, exact, exact_mean, query, round_all, spine_sql
 from shelfcast.plans.solving import features_sql
 from shelfcast.plans.time_axis import _fill_sql
 from shelfcast.sources import roles, tables
@@ -27,49 +27,49 @@ from shelfcast.sources.scratch import new_path, stored
 
 @query(
     "q1_monthly_sales_vs_promotions",
-    """m AS (SELECT last_day(date) AS date, avg(sales) AS sales, avg(onpromotion) AS onpromotion FROM sales GROUP BY 1),
+    """m AS (SELECT last_day(date) AS date, exact_mean(sales) AS sales, exact_mean(onpromotion) AS onpromotion FROM sales GROUP BY 1),
     line AS (SELECT regr_slope(sales, onpromotion) AS b, regr_intercept(sales, onpromotion) AS a, regr_r2(sales, onpromotion) AS r2 FROM m)
-    SELECT date, round(sales + 1.3e-8, 6) AS sales, round(onpromotion + 1.3e-8, 6) AS onpromotion,
+    SELECT date, sales, onpromotion,
     round(a + b * onpromotion, 4) AS trend, round(r2, 6) AS r2 FROM m, line""",
 )
 def q1(spark, d):
-    months = resample(roles.sales(spark, d), "M", {"sales": "mean", "onpromotion": "mean"})
+    fact = exact(roles.sales(spark, d), "sales", "onpromotion")
+    months = doubles(resample(fact, "M", {"sales": "mean", "onpromotion": "mean"}), "sales", "onpromotion")
     line = S.ols_line(months, "onpromotion", "sales").select(F.struct("slope", "intercept", "r2")).scalar()
-    out = months.withColumn("l", line).select(
+    return months.withColumn("l", line).select(
         "date",
         "sales",
         "onpromotion",
         F.round(F.col("l.intercept") + F.col("l.slope") * F.col("onpromotion"), 4).alias("trend"),
         F.round("l.r2", 6).alias("r2"),
     )
-    return round_means(out, "sales", "onpromotion")
 
 
-_HEAT = ", ".join(f'round(avg(CASE WHEN month(date) = {m} THEN transactions END) + 1.3e-8, 6) AS "{m}"' for m in range(1, 13))
+_HEAT = ", ".join(f'exact_mean(CASE WHEN month(date) = {m} THEN transactions END) AS "{m}"' for m in range(1, 13))
 
 
 @query("q2_weekday_by_month_table", f"SELECT dayname(date) AS day_name, {_HEAT} FROM transactions GROUP BY 1")
 def q2(spark, d):
-    dated = cal.add_calendar(roles.transactions(spark, d))
+    dated = cal.add_calendar(exact(roles.transactions(spark, d), "transactions"))
     out = P.pivot_mean(dated, "day_name", "month", "transactions", range(1, 13), cal.WEEKDAYS)
-    return round_means(out, *[str(m) for m in range(1, 13)])
+    return doubles(out, *[str(m) for m in range(1, 13)])
 
 
 @query(
     "q3_sales_on_moved_holidays",
-    """per_store AS (SELECT date, store_nbr, avg(sales) AS sales FROM sales GROUP BY 1, 2),
-    per_day AS (SELECT date, sum(sales) AS sales FROM per_store GROUP BY 1),
+    """per_store AS (SELECT date, store_nbr, exact_mean(sales) AS sales FROM sales GROUP BY 1, 2),
+    per_day AS (SELECT date, CAST(sum(CAST(sales AS DECIMAL(18,6))) AS DOUBLE) AS sales FROM per_store GROUP BY 1),
     m AS (SELECT avg(sales) AS mean_day FROM per_day)
-    SELECT date, round(sales + 1.3e-8, 4) AS sales, round(mean_day, 4) AS mean_day, sales > mean_day AS above
+    SELECT date, sales, round(mean_day, 4) AS mean_day, sales > mean_day AS above
     FROM per_day, m WHERE date IN (SELECT date FROM holidays_events WHERE type = 'Transfer')""",
 )
 def q3(spark, d):
-    per_store = roles.sales(spark, d).groupBy("date", "store_nbr").agg(F.avg("sales").alias("sales"))
-    per_day = per_store.groupBy("date").agg(F.sum("sales").alias("sales"))
+    per_store = exact(roles.sales(spark, d), "sales").groupBy("date", "store_nbr").agg(F.avg("sales").alias("sales"))
+    per_day = per_store.groupBy("date").agg(F.sum("sales").cast("double").alias("sales"))
     moved = roles.holidays_events(spark).filter(F.col("type") == "Transfer")
     out = J.sales_on_dates(per_day, moved).withColumn("mean_day", per_day.agg(F.avg("sales")).scalar())
     out = out.withColumn("above", F.col("sales") > F.col("mean_day"))
-    return round_all(round_means(out, "sales", places=4), 4, "mean_day")
+    return round_all(out, 4, "mean_day")
 
 
 @query(
@@ -107,25 +107,26 @@ def q5(spark, d):
     "q6_cluster_year_means",
     """j AS (SELECT t.cluster, year(s.date) AS year, s.sales, x.transactions FROM stores t JOIN sales s USING (store_nbr)
     JOIN transactions x ON s.date = x.date AND s.store_nbr = x.store_nbr)
-    SELECT cluster, year, round(avg(sales) + 1.3e-8, 6) AS sales, round(avg(transactions) + 1.3e-8, 6) AS transactions FROM j GROUP BY 1, 2""",
+    SELECT cluster, year, exact_mean(sales) AS sales, exact_mean(transactions) AS transactions FROM j GROUP BY 1, 2""",
 )
 def q6(spark, d):
     sold = J.merge(roles.stores(spark, d), roles.sales(spark, d), "store_nbr", "left")
     both = J.merge(sold, roles.transactions(spark, d), ["date", "store_nbr"], "left")
     both = both.withColumn("year", F.year("date").cast("bigint")).na.drop(how="any")
-    means = P.group_agg(both, ["cluster", "year"], F.avg("sales").alias("sales"), F.avg("transactions").alias("transactions"))
-    return round_means(means, "sales", "transactions")
+    return P.group_agg(
+        both, ["cluster", "year"], exact_mean("sales").alias("sales"), exact_mean("transactions").alias("transactions")
+    )
 
 
 @query(
     "q7_bridge_day_families",
-    """SELECT family, round(avg(sales) + 1.3e-8, 6) AS sales FROM sales s JOIN holidays_events h USING (date)
+    """SELECT family, exact_mean(sales) AS sales FROM sales s JOIN holidays_events h USING (date)
     WHERE h.type = 'Bridge' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""",
 )
 def q7(spark, d):
     bridge = roles.holidays_events(spark).filter(F.col("type") == "Bridge")
-    means = P.group_agg(J.join_calendar(roles.sales(spark, d), bridge), "family", F.avg("sales").alias("sales"))
-    return round_means(means, "sales").orderBy(F.desc("sales"), F.asc("family")).limit(10)
+    means = P.group_agg(J.join_calendar(roles.sales(spark, d), bridge), "family", exact_mean("sales").alias("sales"))
+    return means.orderBy(F.desc("sales"), F.asc("family")).limit(10)
 
 
 _Q8_COLS = ["store_nbr", "family", "sales", "onpromotion", "type_x", "locale", "transferred", "dcoilwtico", "type_y", "transactions"]

@@ -11,7 +11,7 @@ from shelfcast.operators import stats as S
 from shelfcast.operators import windows as W
 from shelfcast.operators.reshape import encode_first_seen
 from shelfcast.plans.joining import DAILY_OIL
-from shelfcast.plans.registry import query, round_all, round_means, spine_sql
+from shelfcast.plans.registry import doubles, exact, query, round_all, round_means, spine_sql
 from shelfcast.sources import roles
 
 _SPINE = spine_sql("sales")
@@ -42,27 +42,27 @@ def e1(spark, d):
 
 @query(
     "e2_resample_daily_mean",
-    f"""SELECT s.date, round(avg(x.sales) + 1.3e-8, 6) AS sales FROM {_SPINE} s LEFT JOIN sales x ON s.date = x.date GROUP BY 1""",
+    f"""SELECT s.date, exact_mean(x.sales) AS sales FROM {_SPINE} s LEFT JOIN sales x ON s.date = x.date GROUP BY 1""",
 )
 def e2(spark, d):
-    return round_means(E.resample(roles.sales(spark, d), "D", {"sales": "mean"}), "sales")
+    return doubles(E.resample(exact(roles.sales(spark, d), "sales"), "D", {"sales": "mean"}), "sales")
 
 
 @query(
     "e3_resample_weekly_mean",
-    """SELECT CAST(date_trunc('week', date) AS DATE) + 6 AS date, round(avg(sales) + 1.3e-8, 6) AS sales FROM sales GROUP BY 1""",
+    """SELECT CAST(date_trunc('week', date) AS DATE) + 6 AS date, exact_mean(sales) AS sales FROM sales GROUP BY 1""",
 )
 def e3(spark, d):
-    return round_means(E.resample(roles.sales(spark, d), "W", {"sales": "mean"}), "sales")
+    return doubles(E.resample(exact(roles.sales(spark, d), "sales"), "W", {"sales": "mean"}), "sales")
 
 
 @query(
     "e4_resample_monthly",
-    """SELECT last_day(date) AS date, round(sum(sales), 2) AS sales, round(avg(onpromotion) + 1.3e-8, 6) AS onpromotion FROM sales GROUP BY 1""",
+    """SELECT last_day(date) AS date, round(sum(sales), 2) AS sales, exact_mean(onpromotion) AS onpromotion FROM sales GROUP BY 1""",
 )
 def e4(spark, d):
-    out = E.resample(roles.sales(spark, d), "M", {"sales": "sum", "onpromotion": "mean"})
-    return round_means(round_all(out, 2, "sales"), "onpromotion")
+    out = E.resample(exact(roles.sales(spark, d), "onpromotion"), "M", {"sales": "sum", "onpromotion": "mean"})
+    return doubles(round_all(out, 2, "sales"), "onpromotion")
 
 
 @query(
@@ -76,10 +76,10 @@ def e5(spark, d):
 
 @query(
     "e6_grouped_by_calendar",
-    """SELECT last_day(date) AS date, round(avg(sales) + 1.3e-8, 6) AS sales FROM sales GROUP BY 1""",
+    """SELECT last_day(date) AS date, exact_mean(sales) AS sales FROM sales GROUP BY 1""",
 )
 def e6(spark, d):
-    return round_means(E.grouped(roles.sales(spark, d), "date", "M", "sales"), "sales")
+    return doubles(E.grouped(exact(roles.sales(spark, d), "sales"), "date", "M", "sales"), "sales")
 
 
 @query(
@@ -104,19 +104,19 @@ def e7(spark, d):
 
 @query(
     "e8_year_month_overlay",
-    """SELECT last_day(date) AS date, round(avg(sales) + 1.3e-8, 6) AS sales, year(last_day(date)) AS year,
+    """SELECT last_day(date) AS date, exact_mean(sales) AS sales, year(last_day(date)) AS year,
     month(last_day(date)) AS month_nbr, monthname(last_day(date)) AS month FROM sales GROUP BY 1""",
 )
 def e8(spark, d):
-    return round_means(E.overlay_by_year(roles.sales(spark, d), "sales"), "sales")
+    return doubles(E.overlay_by_year(exact(roles.sales(spark, d), "sales"), "sales"), "sales")
 
 
 @query(
     "e9_weekday_profile",
-    """SELECT year(date) AS year, isodow(date) AS dayofweek, round(avg(transactions) + 1.3e-8, 6) AS transactions FROM transactions GROUP BY 1, 2""",
+    """SELECT year(date) AS year, isodow(date) AS dayofweek, exact_mean(transactions) AS transactions FROM transactions GROUP BY 1, 2""",
 )
 def e9(spark, d):
-    return round_means(E.weekday_profile(roles.transactions(spark, d), "transactions"), "transactions")
+    return doubles(E.weekday_profile(exact(roles.transactions(spark, d), "transactions"), "transactions"), "transactions")
 
 
 def _ma_sql(n, need, rel="daily", part=""):
@@ -310,19 +310,19 @@ def j19(spark, d):
 
 @query(
     "j20_seasonal_week_by_weekday",
-    """SELECT weekofyear(date) AS period, isodow(date) - 1 AS freq, round(avg(sales) + 1.3e-8, 6) AS sales
+    """SELECT weekofyear(date) AS period, isodow(date) - 1 AS freq, exact_mean(sales) AS sales
     FROM sales WHERE year(date) = 2000 GROUP BY 1, 2""",
 )
 def j20(spark, d):
-    fact = roles.sales(spark, d).filter(cal.in_year("date", roles.MODEL_YEAR))
+    fact = exact(roles.sales(spark, d), "sales").filter(cal.in_year("date", roles.MODEL_YEAR))
     week, day = F.weekofyear("date").cast("bigint"), cal.weekday("date").cast("bigint")
-    return round_means(E.seasonal(fact, "sales", week, day), "sales")
+    return doubles(E.seasonal(fact, "sales", week, day), "sales")
 
 
 @query(
     "j20_seasonal_year_by_day",
-    """SELECT year(date) AS period, dayofyear(date) AS freq, round(avg(sales) + 1.3e-8, 6) AS sales FROM sales GROUP BY 1, 2""",
+    """SELECT year(date) AS period, dayofyear(date) AS freq, exact_mean(sales) AS sales FROM sales GROUP BY 1, 2""",
 )
 def j20_year(spark, d):
     year, day = F.year("date").cast("bigint"), F.dayofyear("date").cast("bigint")
-    return round_means(E.seasonal(roles.sales(spark, d), "sales", year, day), "sales")
+    return doubles(E.seasonal(exact(roles.sales(spark, d), "sales"), "sales", year, day), "sales")
