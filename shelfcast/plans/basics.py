@@ -9,7 +9,7 @@ from shelfcast.functions import scalars as sc
 from shelfcast.operators.joins import join_calendar, merge, sales_on_dates
 from shelfcast.operators.profile import group_agg, impute
 from shelfcast.operators.resample import resample
-from shelfcast.plans.registry import exact_mean, query, round_all, round_means, spine_sql
+from shelfcast.plans.registry import exact_mean, query, round_all, spine_sql
 from shelfcast.sources import roles, tables
 from shelfcast.sources.scratch import new_path, stored
 
@@ -144,9 +144,9 @@ def b8(spark, d):
     return joined.select("id", F.col("dcoilwtico").isNotNull().alias("priced"), "transactions")
 
 
-@query("b8_drop_nulls_column", "SELECT date, round(dcoilwtico + 1.3e-8, 6) AS dcoilwtico FROM oil WHERE dcoilwtico IS NOT NULL")
+@query("b8_drop_nulls_column", "SELECT date, dcoilwtico FROM oil WHERE dcoilwtico IS NOT NULL")
 def b8_column(spark, d):
-    return round_means(roles.oil(spark, d).na.drop(subset=["dcoilwtico"]), "dcoilwtico")
+    return roles.oil(spark, d).na.drop(subset=["dcoilwtico"])
 
 
 @query(
@@ -179,9 +179,9 @@ def b11_year(spark, d):
     return roles.sales(spark, d).filter(cal.in_year("date", 2000)).select("id", "date")
 
 
-@query("b12_sentinel_to_null", "SELECT date, round(nullif(dcoilwtico, 0) + 1.3e-8, 6) AS dcoilwtico FROM oil")
+@query("b12_sentinel_to_null", "SELECT date, nullif(dcoilwtico, 0) AS dcoilwtico FROM oil")
 def b12(spark, d):
-    return round_means(roles.oil(spark, d).withColumn("dcoilwtico", sc.null_sentinel("dcoilwtico")), "dcoilwtico")
+    return roles.oil(spark, d).withColumn("dcoilwtico", sc.null_sentinel("dcoilwtico"))
 
 
 @query(
@@ -383,7 +383,7 @@ _MERGED = """merged AS (SELECT s.id, h.type, h.locale, t.transactions, o.dcoilwt
 SELECT id, coalesce(type, (SELECT type FROM merged WHERE type IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS type,
     coalesce(locale, 'none') AS locale,
     coalesce(CAST(transactions AS DOUBLE), (SELECT quantile_cont(CAST(transactions AS DOUBLE), 0.5) FROM merged)) AS transactions,
-    round(coalesce(dcoilwtico, (SELECT floor(quantile_cont(dcoilwtico, 0.5)) FROM merged)) + 1.3e-8, 6) AS dcoilwtico
+    coalesce(dcoilwtico, (SELECT floor(quantile_cont(dcoilwtico, 0.5)) FROM merged)) AS dcoilwtico
 FROM merged""",
 )
 def i10(spark, d):
@@ -392,7 +392,7 @@ def i10(spark, d):
     joined = merge(joined, roles.transactions(spark, d), ["date", "store_nbr"], "left")
     joined = joined.select("id", "type", "locale", F.col("transactions").cast("double").alias("transactions"), "dcoilwtico")
     joined = stored(joined, "merged")
-    return round_means(impute(joined, ["type"], ["transactions"], ["dcoilwtico"], {"locale": "none"}), "dcoilwtico")
+    return impute(joined, ["type"], ["transactions"], ["dcoilwtico"], {"locale": "none"})
 
 
 @query("i10_impute_group_keys", "SELECT family, count(*) AS n FROM sales WHERE family IS NOT NULL GROUP BY 1")

@@ -8,7 +8,7 @@ from shelfcast.operators import joins as J
 from shelfcast.operators.forecast import daily_oil, forecast_to_ids
 from shelfcast.operators.reshape import dummies_by
 from shelfcast.operators.windows import lag, lead
-from shelfcast.plans.registry import query, round_all, round_means, spine_sql
+from shelfcast.plans.registry import exact_mean, query, round_all, spine_sql
 from shelfcast.sources import roles
 
 # Daily prices: every day, gaps and zeros missing, interpolated to both ends.
@@ -36,11 +36,11 @@ def c1_stores(spark, d):
 
 @query(
     "c1_inner_daily_oil",
-    f"{DAILY_OIL} SELECT s.id, round(o.dcoilwtico + 1.3e-8, 6) AS dcoilwtico FROM sales s JOIN daily_oil o ON s.date = o.date",
+    f"{DAILY_OIL} SELECT s.id, o.dcoilwtico FROM sales s JOIN daily_oil o ON s.date = o.date",
 )
 def c1_oil(spark, d):
     joined = J.join_calendar(roles.sales(spark, d), daily_oil(roles.oil(spark, d)))
-    return round_means(joined.select("id", "dcoilwtico"), "dcoilwtico")
+    return joined.select("id", "dcoilwtico")
 
 
 @query("c2_inner_two_keys", "SELECT s.id, t.transactions FROM sales s JOIN transactions t USING (date, store_nbr)")
@@ -51,11 +51,10 @@ def c2(spark, d):
 
 @query(
     "c3_left_one_key",
-    "SELECT s.id, round(o.dcoilwtico + 1.3e-8, 6) AS dcoilwtico FROM sales s LEFT JOIN oil o ON s.date = o.date",
+    "SELECT s.id, o.dcoilwtico FROM sales s LEFT JOIN oil o ON s.date = o.date",
 )
 def c3(spark, d):
-    out = J.join_calendar(roles.sales(spark, d), roles.oil(spark, d), "left").select("id", "dcoilwtico")
-    return round_means(out, "dcoilwtico")
+    return J.join_calendar(roles.sales(spark, d), roles.oil(spark, d), "left").select("id", "dcoilwtico")
 
 
 @query(
@@ -155,31 +154,30 @@ def c10_window(spark, d):
 
 @query(
     "c11_forecast_to_ids",
-    """SELECT t.id, round(m.sales + 1.3e-8, 6) AS sales FROM
-    (SELECT store_nbr, family, avg(sales) AS sales FROM panel_sales GROUP BY 1, 2) m JOIN panel_test t USING (store_nbr, family)""",
+    """SELECT t.id, m.sales FROM
+    (SELECT store_nbr, family, exact_mean(sales) AS sales FROM panel_sales GROUP BY 1, 2) m JOIN panel_test t USING (store_nbr, family)""",
 )
 def c11(spark, d):
     """A plain forecast, the series' mean on each coming day, put to the ids of the test table."""
     fact = roles.panel_sales(spark, d)
     last = fact.agg(F.max("date")).scalar()
-    means = fact.groupBy("store_nbr", "family").agg(F.avg("sales").alias("sales"))
+    means = fact.groupBy("store_nbr", "family").agg(exact_mean("sales").alias("sales"))
     ahead = means.withColumn("date", F.explode(F.sequence(F.date_add(last, 1), F.date_add(last, roles.HORIZON))))
-    return round_means(forecast_to_ids(ahead, roles.panel_test(spark, d)), "sales")
+    return forecast_to_ids(ahead, roles.panel_test(spark, d))
 
 
 @query(
     "c12_star_left",
-    """SELECT s.id, h.type AS type_x, t.type AS type_y, t.cluster, round(o.dcoilwtico + 1.3e-8, 6) AS dcoilwtico,
+    """SELECT s.id, h.type AS type_x, t.type AS type_y, t.cluster, o.dcoilwtico,
     CAST(x.transactions AS DOUBLE) AS transactions
     FROM sales s LEFT JOIN holidays_events h ON s.date = h.date LEFT JOIN oil o ON s.date = o.date
     LEFT JOIN stores t ON s.store_nbr = t.store_nbr
     LEFT JOIN transactions x ON s.date = x.date AND s.store_nbr = x.store_nbr""",
 )
 def c12_left(spark, d):
-    out = J.star_left(
+    return J.star_left(
         roles.sales(spark, d), roles.holidays_events(spark), roles.oil(spark, d), roles.stores(spark, d), roles.transactions(spark, d)
     ).select("id", "type_x", "type_y", "cluster", "dcoilwtico", F.col("transactions").cast("double").alias("transactions"))
-    return round_means(out, "dcoilwtico")
 
 
 @query(

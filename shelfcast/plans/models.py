@@ -17,7 +17,7 @@ from shelfcast.operators.smooth import lowess
 from shelfcast.operators.stats import ols_line
 from shelfcast.operators.windows import lag, moving_avg, time_step
 from shelfcast.plans.joining import DAILY_OIL
-from shelfcast.plans.registry import exact_mean, query, round_all, round_means
+from shelfcast.plans.registry import doubles, exact_mean, query, round_all
 from shelfcast.plans.solving import feature_count, features_sql, mixed_key_sql, solve_sql
 from shelfcast.sources import roles
 from shelfcast.sources.scratch import stored
@@ -30,13 +30,15 @@ ROUNDS, DEPTH = 10, 5
 
 def average_daily(spark, d):
     """Mean sale per observed day."""
-    return roles.sales(spark, d).groupBy("date").agg(F.avg("sales").alias("sales"))
+    return roles.sales(spark, d).groupBy("date").agg(exact_mean("sales").alias("sales"))
 
 
 def family_daily(spark, d):
     """Mean sale and promotions per family and day of the model year, stored since models read it several times."""
     fact = roles.sales(spark, d).filter(in_year("date", YEAR))
-    means = fact.groupBy("family", "date").agg(F.avg("sales").alias("sales"), F.avg("onpromotion").alias("onpromotion"))
+    means = fact.groupBy("family", "date").agg(
+        exact_mean("sales").alias("sales"), exact_mean("onpromotion").alias("onpromotion")
+    )
     return stored(means, "family-daily")
 
 
@@ -44,8 +46,8 @@ def panel_year(spark, d):
     return stored(roles.panel_sales(spark, d).filter(in_year("date", YEAR)), "panel")
 
 
-AVERAGE = "avg_daily AS (SELECT date, avg(sales) AS y, row_number() OVER (ORDER BY date) AS t FROM sales GROUP BY 1)"
-FAMILY = f"""fam AS (SELECT family, date, avg(sales) AS y, avg(onpromotion) AS p FROM sales WHERE year(date) = {YEAR} GROUP BY 1, 2),
+AVERAGE = "avg_daily AS (SELECT date, exact_mean(sales) AS y, row_number() OVER (ORDER BY date) AS t FROM sales GROUP BY 1)"
+FAMILY = f"""fam AS (SELECT family, date, exact_mean(sales) AS y, exact_mean(onpromotion) AS p FROM sales WHERE year(date) = {YEAR} GROUP BY 1, 2),
 fam_days AS (SELECT date, row_number() OVER (ORDER BY date) AS t FROM (SELECT DISTINCT date FROM fam))"""
 
 
@@ -109,7 +111,7 @@ _HOLIDAY_CASES = ", ".join(
 _FLAGGED = f"""flagged AS (SELECT a.date, a.t, {_HOLIDAY_CASES} FROM (SELECT * FROM avg_daily) a
     LEFT JOIN (SELECT * FROM holidays_events WHERE locale IN ('National', 'Regional')
                AND date BETWEEN DATE '{YEAR}-01-01' AND DATE '{YEAR}-08-15') h ON a.date = h.date GROUP BY 1, 2)"""
-_AVERAGE_YEAR = f"""avg_daily AS (SELECT date, avg(sales) AS y, row_number() OVER (ORDER BY date) AS t
+_AVERAGE_YEAR = f"""avg_daily AS (SELECT date, exact_mean(sales) AS y, row_number() OVER (ORDER BY date) AS t
     FROM sales WHERE year(date) = {YEAR} GROUP BY 1)"""
 
 
@@ -122,12 +124,11 @@ def j5(spark, d):
 
 @query(
     "j6_promo_features",
-    f"""{FAMILY} SELECT family, date, round(lag(p) OVER w + 1.3e-8, 6) AS promo_lag_1, round(p + 1.3e-8, 6) AS onpromotion,
-    round(lead(p) OVER w + 1.3e-8, 6) AS promo_lead_1 FROM fam WINDOW w AS (PARTITION BY family ORDER BY date)""",
+    f"""{FAMILY} SELECT family, date, lag(p) OVER w AS promo_lag_1, p AS onpromotion,
+    lead(p) OVER w AS promo_lead_1 FROM fam WINDOW w AS (PARTITION BY family ORDER BY date)""",
 )
 def j6(spark, d):
-    out = X.promo_features(family_daily(spark, d), by=["family"]).drop("sales")
-    return round_means(out, "promo_lag_1", "onpromotion", "promo_lead_1")
+    return X.promo_features(family_daily(spark, d), by=["family"]).drop("sales")
 
 
 @query(
@@ -384,11 +385,11 @@ def lag_scatter(spark, d):
 
 @query(
     "j21_local_smoother",
-    f"{_SCATTER} SELECT family, round(x0 + 1.3e-8, 4) AS x, round(y0 + 1.3e-8, 4) AS y, round(my - b * mx, 4) AS smooth FROM s",
+    f"{_SCATTER} SELECT family, x0 AS x, y0 AS y, round(my - b * mx, 4) AS smooth FROM s",
 )
 def j21(spark, d):
     out = lowess(lag_scatter(spark, d), "x", "y", ["family"], iters=0)
-    return round_means(round_all(out, 4, "smooth"), "x", "y", places=4)
+    return round_all(out, 4, "smooth")
 
 
 @query("j21_local_smoother_robust")
@@ -403,13 +404,15 @@ _MA7 = "OVER (PARTITION BY family ORDER BY date ROWS BETWEEN 3 PRECEDING AND 3 F
 @query(
     "j22_cycle_frame",
     f"""{_DESEASON} SELECT family, date, round(e, 3) AS deseasoned,
-    CASE WHEN count(y) {_MA7} = 7 THEN round(avg(y) {_MA7} + 1.3e-8, 4) END AS ma_7 FROM left_over""",
+    CASE WHEN count(y) {_MA7} = 7 THEN
+        CAST((20000 * sum(CAST(round(y * 1e6) AS BIGINT)) {_MA7} + 7) // 14 AS DOUBLE) / 1e10 END AS ma_7 FROM left_over""",
 )
 def j22(spark, d):
     left, _ = M.seasonal_residual(family_daily(spark, d), "sales", ["family"])
+    left = left.withColumn("sales", F.col("sales").cast("decimal(18,6)"))  # the daily means have six places
     out = moving_avg(left, "date", "sales", 7, by=["family"], out="ma_7")
     out = out.select("family", "date", "deseasoned", "ma_7")
-    return round_means(round_all(out, 3, "deseasoned"), "ma_7", places=4)
+    return doubles(round_all(out, 3, "deseasoned"), "ma_7")
 
 
 # Splits and scores.

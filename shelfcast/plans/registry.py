@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
             raise ValueError(f"{name} is registered twice")
         QUERIES[name] = fn
         if sql is not None:
-            SQL[name] = with_roles(_EXACT_MEAN.sub(_exact_mean_sql, sql))
+            SQL[name] = _EXACT_MEAN.sub(_exact_mean_sql, with_roles(sql))
         return fn
 
     return add
@@ -62,12 +62,3 @@ def spine_sql(rel: str, keys: str = "") -> str:
 
 def round_all(df: DataFrame, places: int, *cols: str) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c), places) for c in cols})
-
-
-def round_means(df: DataFrame, *cols: str, places: int = 6) -> DataFrame:
-    """Round means of few amounts.
-
-    Such means often end in an exact half of the last place, which the order of
-    summing tips either way; a small shift on both sides of the check avoids that.
-    """
-    return df.withColumns({c: F.round(F.col(c) + 1.3e-8, places) for c in cols})

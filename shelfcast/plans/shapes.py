@@ -10,7 +10,7 @@ from shelfcast.operators.resample import resample
 from shelfcast.functions.scalars import null_sentinel
 from shelfcast.operators.windows import interpolate
 from shelfcast.plans.joining import DAILY_OIL
-from shelfcast.plans.registry import query, round_means
+from shelfcast.plans.registry import query
 from shelfcast.plans.time_axis import DAILY_FAMILY, daily_total
 from shelfcast.sources import roles
 
@@ -32,7 +32,7 @@ def h2(spark, d):
 
 @query(
     "h3_melt_with_legend",
-    f"""{DAILY_OIL}, both_prices AS (SELECT date, round(v + 1.3e-8, 6) AS dcoilwtico, round(daily_oil.dcoilwtico + 1.3e-8, 6) AS filled FROM oil_days JOIN daily_oil USING (date))
+    f"""{DAILY_OIL}, both_prices AS (SELECT date, v AS dcoilwtico, daily_oil.dcoilwtico AS filled FROM oil_days JOIN daily_oil USING (date))
     SELECT date, 'dcoilwtico' AS "Legend", dcoilwtico AS value FROM both_prices
     UNION ALL SELECT date, 'filled', filled FROM both_prices""",
 )
@@ -40,7 +40,7 @@ def h3(spark, d):
     daily = resample(roles.oil(spark, d), "D", {"dcoilwtico": "sum"})
     daily = daily.withColumn("dcoilwtico", null_sentinel("dcoilwtico", 0.0))
     both = interpolate(daily, "date", "dcoilwtico", both_edges=True, out="filled")
-    return H.melt(round_means(both, "dcoilwtico", "filled"), ["date"], ["dcoilwtico", "filled"])
+    return H.melt(both, ["date"], ["dcoilwtico", "filled"])
 
 
 @query(

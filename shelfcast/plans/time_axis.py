@@ -11,7 +11,7 @@ from shelfcast.operators import stats as S
 from shelfcast.operators import windows as W
 from shelfcast.operators.reshape import encode_first_seen
 from shelfcast.plans.joining import DAILY_OIL
-from shelfcast.plans.registry import doubles, exact, query, round_all, round_means, spine_sql
+from shelfcast.plans.registry import doubles, exact, query, round_all, spine_sql
 from shelfcast.sources import roles
 
 _SPINE = spine_sql("sales")
@@ -122,7 +122,8 @@ def e9(spark, d):
 def _ma_sql(n, need, rel="daily", part=""):
     lo, hi = n // 2, (n - 1) // 2
     over = f"OVER ({part}ORDER BY date ROWS BETWEEN {lo} PRECEDING AND {hi} FOLLOWING)"
-    return f"CASE WHEN count(sales) {over} >= {need} THEN round(avg(sales) {over} + 1.3e-8, 4) END"
+    total, rows = f"sum(CAST(round(sales * 100) AS BIGINT)) {over}", f"count(sales) {over}"
+    return f"CASE WHEN {rows} >= {need} THEN CAST((20000 * {total} + {rows}) // (2 * {rows}) AS DOUBLE) / 1e6 END"
 
 
 @query(
@@ -131,10 +132,10 @@ def _ma_sql(n, need, rel="daily", part=""):
     {_ma_sql(365, 183)} AS ma_365 FROM daily""",
 )
 def w1(spark, d):
-    out = daily_total(spark, d).select("date", "sales")
+    out = exact(daily_total(spark, d).select("date", "sales"), "sales")
     for n, need, name in ((7, 4, "ma_7"), (7, None, "ma_7_full"), (12, 6, "ma_12"), (365, 183, "ma_365")):
         out = W.moving_avg(out, "date", "sales", n, need, out=name)
-    return round_means(out.drop("sales"), "ma_7", "ma_7_full", "ma_12", "ma_365", places=4)
+    return doubles(out.drop("sales"), "ma_7", "ma_7_full", "ma_12", "ma_365")
 
 
 @query(
@@ -142,8 +143,8 @@ def w1(spark, d):
     f"{DAILY_FAMILY} SELECT family, date, {_ma_sql(12, 6, part='PARTITION BY family ')} AS ma_12 FROM daily",
 )
 def w1_by_family(spark, d):
-    out = W.moving_avg(daily_total(spark, d, "family"), "date", "sales", 12, 6, ["family"], "ma_12")
-    return round_means(out.select("family", "date", "ma_12"), "ma_12", places=4)
+    out = W.moving_avg(exact(daily_total(spark, d, "family"), "sales"), "date", "sales", 12, 6, ["family"], "ma_12")
+    return doubles(out.select("family", "date", "ma_12"), "ma_12")
 
 
 @query(
@@ -198,33 +199,32 @@ filled AS (SELECT *, coalesce(v, CASE WHEN pt IS NOT NULL AND nt IS NOT NULL
 @query(
     "w6_interpolate",
     f"""priced AS (SELECT s.id, nullif(o.dcoilwtico, 0) AS p FROM sales s LEFT JOIN oil o ON s.date = o.date),
-    {_fill_sql('priced', 'p', 'id', 'pv')} SELECT id, round(f + 1.3e-8, 6) AS dcoilwtico FROM filled""",
+    {_fill_sql('priced', 'p', 'id', 'pv')} SELECT id, f AS dcoilwtico FROM filled""",
 )
 def w6(spark, d):
     """Over the merged table in id order, row by row."""
     joined = roles.sales(spark, d).select("id", "date").join(F.broadcast(roles.oil(spark, d)), "date", "left")
     priced = joined.select("id", null_sentinel("dcoilwtico").alias("dcoilwtico"))
-    return round_means(W.interpolate(priced, "id", "dcoilwtico"), "dcoilwtico")
+    return W.interpolate(priced, "id", "dcoilwtico")
 
 
 @query(
     "w7_interpolate_both_edges",
-    f"{DAILY_OIL} SELECT date, round(dcoilwtico + 1.3e-8, 6) AS dcoilwtico FROM daily_oil",
+    f"{DAILY_OIL} SELECT date, dcoilwtico FROM daily_oil",
 )
 def w7(spark, d):
     daily = E.resample(roles.oil(spark, d), "D", {"dcoilwtico": "sum"})
-    filled = W.interpolate(daily.withColumn("dcoilwtico", null_sentinel("dcoilwtico", 0.0)), "date", "dcoilwtico", both_edges=True)
-    return round_means(filled, "dcoilwtico")
+    return W.interpolate(daily.withColumn("dcoilwtico", null_sentinel("dcoilwtico", 0.0)), "date", "dcoilwtico", both_edges=True)
 
 
 @query(
     "w8_fill_leading_by_constant",
-    f"""{_fill_sql('oil', 'nullif(dcoilwtico, 0)', 'date', 'pv')} SELECT date, round(coalesce(f, 93.14) + 1.3e-8, 6) AS dcoilwtico FROM filled""",
+    f"""{_fill_sql('oil', 'nullif(dcoilwtico, 0)', 'date', 'pv')} SELECT date, coalesce(f, 93.14) AS dcoilwtico FROM filled""",
 )
 def w8(spark, d):
     oil = roles.oil(spark, d).withColumn("dcoilwtico", null_sentinel("dcoilwtico", 0.0))
     filled = W.interpolate(oil, "date", "dcoilwtico")
-    return round_means(filled.withColumn("dcoilwtico", F.coalesce("dcoilwtico", F.lit(93.14))), "dcoilwtico")
+    return filled.withColumn("dcoilwtico", F.coalesce("dcoilwtico", F.lit(93.14)))
 
 
 @query(

@@ -1,7 +1,8 @@
 """The retail tables as views over the driver's Parquet files (FIXTURES.md section 2).
 
 Each role is built to a unique grain before anything ordered runs on it.
-``ROLE_SQL`` holds the same definitions for the checking database.
+``ROLE_SQL`` holds the same definitions for the checking database; ``exact_mean`` in it is spelled out by
+``plans/registry.py``.
 """
 
 from __future__ import annotations
@@ -101,7 +102,7 @@ def oil(spark: SparkSession, sf_dir: str) -> DataFrame:
     priced = (
         table(spark, sf_dir, "orders")
         .groupBy(F.col("o_orderdate").cast("date").alias("date"))
-        .agg((F.avg("o_totalprice") / 1000).alias("price"))
+        .agg((F.avg(F.col("o_totalprice").cast("decimal(18,2)")).cast("double") / 1000).alias("price"))
     )
     days = date_spine(spark, *OIL_SPAN).filter(weekday("date") < 5)
     missing = (F.col("date") < F.lit("1995-01-05").cast("date")) | (F.dayofmonth("date") == 13)
@@ -219,7 +220,7 @@ FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionke
 SELECT d.date, CASE WHEN d.date < DATE '1995-01-05' OR day(d.date) = 13 THEN NULL
                     WHEN day(d.date) = 7 THEN 0.0 ELSE price END AS dcoilwtico
 FROM (SELECT CAST(x AS DATE) AS date FROM range(DATE '1995-01-02', DATE '2001-08-02', INTERVAL 1 DAY) r(x)) d
-LEFT JOIN (SELECT CAST(o_orderdate AS DATE) AS date, avg(o_totalprice) / 1000 AS price
+LEFT JOIN (SELECT CAST(o_orderdate AS DATE) AS date, exact_mean(o_totalprice) / 1000 AS price
            FROM orders GROUP BY 1) u ON d.date = u.date
 WHERE isodow(d.date) < 6""",
     "transactions": """
