@@ -35,6 +35,11 @@ def scores(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*by).agg(rmse(y, p).alias("rmse"), r2(y, p).alias("r2"), F.count(F.lit(1)).alias("n"))
 
 
+def mean_over_folds(folds: DataFrame, score: str = "rmse") -> DataFrame:
+    """One row: the mean of a score over the folds, each counting once, and their number."""
+    return folds.agg(F.avg(score).alias(score), F.count(score).alias("folds"))
+
+
 def holdout_last(df: DataFrame, order: str, n: int, by: Sequence[str] = (), points=None) -> DataFrame:
     """Mark the last ``n`` rows of each key with ``is_test``."""
     counted = running_totals(df, order, {"_t": F.lit(1).cast("bigint")}, by, points)

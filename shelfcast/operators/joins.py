@@ -1,9 +1,10 @@
 """Joins.
 
-No side is broadcast by hand unless the calendar bounds it.  Elsewhere the
-planner broadcasts a side whose measured size is under
-``spark.sql.autoBroadcastJoinThreshold`` and otherwise shuffles both; adaptive
-execution then splits partitions that one hot key has made too large.
+No side is broadcast by hand.  The planner broadcasts a side whose measured size
+is under ``spark.sql.autoBroadcastJoinThreshold`` and otherwise shuffles both;
+adaptive execution then splits partitions that one hot key has made too large.
+Dated tables, short as a rule, are stored first, so that their size is measured
+before the facts would move.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfcast.sources.scratch import stored
+
 
 def merge(
     left: DataFrame,
@@ -69,19 +72,19 @@ def natural_join(left: DataFrame, right: DataFrame, how: str = "left") -> DataFr
 
 
 def sales_on_dates(fact: DataFrame, dates: DataFrame, date: str = "date") -> DataFrame:
-    """The rows whose date is in the list.  A list of days is bounded by the calendar."""
-    return fact.join(F.broadcast(dates.select(date).distinct()), date, "left_semi")
+    """The rows whose date is in the list."""
+    return fact.join(stored(dates.select(date).distinct(), "dates"), date, "left_semi")
 
 
 def join_calendar(fact: DataFrame, daily: DataFrame, how: str = "inner", on: str = "date") -> DataFrame:
-    """Join a table that has a bounded number of rows per day (prices, holidays)."""
-    return merge(fact, F.broadcast(daily), on, how)
+    """Join a table of a few rows per day (prices, holidays), broadcast if it is small by measure."""
+    return merge(fact, stored(daily, "daily"), on, how)
 
 
 def fill_after_join(left: DataFrame, indicators: DataFrame, on: str = "date") -> DataFrame:
     """Left join of indicator columns, absent ones 0."""
     cols = [c for c in indicators.columns if c != on]
-    return left.join(F.broadcast(indicators), on, "left").na.fill(0.0, cols)
+    return left.join(stored(indicators, "indicators"), on, "left").na.fill(0.0, cols)
 
 
 def align(left: DataFrame, right: DataFrame, on: str | Sequence[str] = "date") -> DataFrame:

@@ -132,15 +132,15 @@ def panel_ols(
 ) -> DataFrame:
     """One least-squares model per series, all on the same dated features.
 
-    X'X is the same for every series and is taken from the feature table, whose
-    length the calendar bounds.  The facts give one sum per feature and series; a
+    X'X is the same for every series and is taken from the feature table, which is
+    stored: read twice, and broadcast if it is small by measure.  The facts give one sum per feature and series; a
     day without a row counts as 0, so gaps need not be filled.
     """
     by, xs = list(by), _inputs(features, False)
-    dated = shared.select(date, *xs)
+    dated = stored(shared.select(date, *xs), "dated")
     sums = (
         long.select(*by, date, F.col(y).cast("double").alias("_y"))
-        .join(F.broadcast(dated), date)
+        .join(dated, date)
         .groupBy(*by)
         .agg(F.count(F.lit(1)).alias("n"), _cross(len(xs)).alias("_xy"))
     )

@@ -507,6 +507,17 @@ def k7_linear(spark, d):
     return round_all(M.cv_linear(folded(spark, d)), 4, "rmse").withColumn("fold", F.col("fold").cast("bigint"))
 
 
+@query(
+    "k7_mean_over_folds",
+    f"""{TABULAR}, {_FOLDS}, others AS (SELECT k.fold, f.x, f.y FROM folds f JOIN range(10) k(fold) ON f.fold <> k.fold),
+    {solve_sql('cv', 'others', 'fold', 8)},
+    scored AS (SELECT f.fold, sqrt(avg(pow(y - list_dot_product(beta, x), 2))) AS rmse FROM folds f JOIN cv ON f.fold = cv.fold GROUP BY 1)
+    SELECT round(avg(rmse), 4) AS rmse, count(*) AS folds FROM scored""",
+)
+def k7_mean(spark, d):
+    return round_all(K.mean_over_folds(M.cv_linear(folded(spark, d))), 4, "rmse")
+
+
 @query("k7_cross_validation_boosted")
 def k7_boosted(spark, d):
     return M.cv_boosted(folded(spark, d, 3), 3, rounds=3, depth=4)

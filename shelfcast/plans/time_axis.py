@@ -9,6 +9,7 @@ from shelfcast.functions.scalars import null_sentinel
 from shelfcast.operators import resample as E
 from shelfcast.operators import stats as S
 from shelfcast.operators import windows as W
+from shelfcast.operators.joins import join_calendar
 from shelfcast.operators.reshape import encode_first_seen
 from shelfcast.plans.joining import DAILY_OIL
 from shelfcast.plans.registry import doubles, exact, query, round_all, spine_sql
@@ -203,7 +204,7 @@ filled AS (SELECT *, coalesce(v, CASE WHEN pt IS NOT NULL AND nt IS NOT NULL
 )
 def w6(spark, d):
     """Over the merged table in id order, row by row."""
-    joined = roles.sales(spark, d).select("id", "date").join(F.broadcast(roles.oil(spark, d)), "date", "left")
+    joined = join_calendar(roles.sales(spark, d).select("id", "date"), roles.oil(spark, d), "left")
     priced = joined.select("id", null_sentinel("dcoilwtico").alias("dcoilwtico"))
     return W.interpolate(priced, "id", "dcoilwtico")
 

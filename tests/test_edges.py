@@ -32,6 +32,28 @@ def day(text):
     return dt.date.fromisoformat(text)
 
 
+def test_long_dated_table_is_not_broadcast(spark):
+    """The planner decides by the measured size; no hint overrules it."""
+    fact = spark.range(200).select(F.date_add(F.lit(day("2000-01-01")), (F.col("id") % 9).cast("int")).alias("date"), "id")
+    days = spark.range(50_000).select(F.date_add(F.lit(day("2000-01-01")), F.col("id").cast("int")).alias("date"), F.rand(1).alias("x"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for limit, expected in ((100_000, False), (100_000_000, True)):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+            # the fact is short here, so only the dated side may be what is broadcast: a left join cannot turn it round
+            plan = J.join_calendar(fact, days, "left")._jdf.queryExecution().executedPlan().toString()
+            assert ("BroadcastHashJoin" in plan) is expected
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert J.join_calendar(fact, days, "left").count() == 200
+
+
+def test_mean_over_folds(spark):
+    got = K.mean_over_folds(spark.createDataFrame([(0, 2.0), (1, 4.0), (2, None)], "fold int, rmse double")).first()
+    assert (got["rmse"], got["folds"]) == (3.0, 2)
+    assert K.mean_over_folds(spark.createDataFrame([], "fold int, rmse double")).first()["rmse"] is None
+
+
 def test_interpolation_inside_and_trailing(spark):
     out = W.interpolate(series(spark, [None, 1.0, None, None, 4.0, None]), "i", "v")
     assert column(out, "v") == [None, 1, 2, 3, 4, 4]
