@@ -3,13 +3,15 @@
 A text becomes a row of template words: lower-case words, with a placeholder for a number, a name (a
 capitalised word within a sentence) or a unit after a number.  Windows of ``WINDOW`` template words are
 hash-joined between documents and benchmark items.  A document holds an item where enough windows match
-at one offset, and where the slots are filled consistently: one value of the item always stands for
-one value in the document.  DataFrame functions only.
+at one offset, and where the slots of the matched passage are filled consistently: one value of the item
+always stands for one value in the document.  DataFrame functions only.
 
-Edge cases: null texts and null item texts are empty and match nothing; an item shorter than one window is
-too short to be recognised and matches nothing; windows with fewer than ``LITERALS`` words that are not
-placeholders say nothing and are left out; repeated rows give one match; empty tables give an empty
-result.  Columns beside id and text are not read.
+Windows with fewer than ``LITERALS`` words that are not placeholders say nothing and are neither matched nor
+asked for.  An item that is left without windows, or is shorter than one, must be found whole; with fewer than
+``LITERALS`` such words in all, only its verbatim copies count.
+
+Edge cases: null texts and null item texts are empty and match nothing; repeated rows give one match; empty
+tables give an empty result.  Columns beside id and text are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from shelfcast.sources.scratch import stored
 
 WINDOW = 8
 LITERALS = 4
-WINDOWS_NEEDED = 6  # 13 words in a row, or all of a shorter item
+WINDOWS_NEEDED = 6  # 13 words in a row, or all windows of an item that has fewer
 BROADCAST_WINDOWS = 1_000_000  # more windows of items than this are joined by a shuffle; a window takes some 32 bytes
 
 # Placeholders (private-use characters) and units.
@@ -88,7 +90,8 @@ def matches(
     """One row per document, item and offset: doc_id, text_hash, item_id, word_offset, windows, item_windows, verbatim.
 
     ``word_offset`` is the place in the document of the item's first word (negative if the item's start
-    is cut off), ``windows`` the windows that match there.
+    is cut off), ``windows`` the windows that match there, ``item_windows`` all windows of the item (1 for an
+    item that is shorter than a window); ``verbatim`` speaks of the matched passage.
     """
     items = (
         benchmark.select("item_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("item_text"))
@@ -96,25 +99,47 @@ def matches(
         .withColumn("words", template_words(F.col("item_text")))
         .withColumn("values", valued_words(F.col("item_text")))
     )
+    # Lengths of items shorter than a window; there are fewer than n of them.
+    short = sorted(r[0] for r in items.select(F.size("words")).filter(F.size("words").between(1, n - 1)).distinct().collect())
+    hashes = window_hashes(F.col("words"), n)
+    for length in short:
+        hashes = F.when(F.size("words") == length, window_hashes(F.col("words"), length)).otherwise(hashes)
+    rich = F.filter(F.sequence(F.lit(0), F.size("hashes") - 1), lambda at: _literal(F.slice("words", at + 1, F.col("span"))) >= literals)
     of_items = (
-        items.withColumn("hashes", window_hashes(F.col("words"), n))
+        items.withColumn("hashes", hashes)
+        .filter(F.size("hashes") > 0)
+        .withColumn("span", F.least(F.size("words"), F.lit(n)))
         .withColumn("item_windows", F.size("hashes"))
-        .select("item_id", F.xxhash64("item_text").alias("item_hash"), "item_windows", "words", F.posexplode("hashes").alias("at", "code"))
-        .filter(F.size(F.filter(F.slice("words", F.col("at") + 1, n), lambda w: ~is_slot(w))) >= literals)
-        .drop("words")
+        .withColumn("rich", rich)
+        .withColumn("whole", (F.size("rich") == 0) | (F.size("words") < n))
+        .select(
+            "item_id",
+            F.xxhash64("item_text").alias("item_hash"),
+            "item_windows",
+            "span",
+            F.when(F.col("whole"), F.col("item_windows")).otherwise(F.least(F.lit(needed), F.size("rich"))).alias("asked"),
+            (_literal(F.col("words")) < literals).alias("poor"),
+            "whole",
+            "rich",
+            F.posexplode("hashes").alias("at", "code"),
+        )
+        .filter(F.col("whole") | F.array_contains("rich", F.col("at")))
+        .drop("whole", "rich")
     )
     of_items = stored(of_items, "item-windows")
     bounded = of_items.count() <= BROADCAST_WINDOWS
     spread = texts(documents).select(
-        "doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(window_hashes(template_words(F.col("text")), n)).alias("place", "code")
+        "doc_id", F.xxhash64("text").alias("text_hash"), F.explode(_placed(template_words(F.col("text")), [n, *short])).alias("w")
     )
+    spread = spread.select("doc_id", "text_hash", "w.place", "w.code")
     joined = spread.join(F.broadcast(of_items) if bounded else of_items, "code")
+    item = ["item_id", "item_hash", "item_windows", "span", "asked", "poor"]
     found = (
-        joined.select("doc_id", "text_hash", "item_id", "item_hash", "item_windows", (F.col("place") - F.col("at")).alias("word_offset"), "at")
-        .distinct()
-        .groupBy("doc_id", "text_hash", "item_id", "item_hash", "item_windows", "word_offset")
-        .agg(F.count("*").alias("windows"))
-        .filter(F.col("windows") >= F.least(F.lit(needed), F.col("item_windows")))
+        joined.select("doc_id", "text_hash", *item, (F.col("place") - F.col("at")).alias("word_offset"), "at")
+        .groupBy("doc_id", "text_hash", *item, "word_offset")
+        .agg(F.collect_set("at").alias("matched"))
+        .withColumn("windows", F.size("matched").cast("long"))
+        .filter(F.col("windows") >= F.col("asked"))
     )
     # The few documents that match are read once more for the values of their slots.
     found = stored(found, "matches")
@@ -136,6 +161,8 @@ def matches(
     return (
         both.withColumn("slots", _slot_pairs())
         .filter(F.size(F.array_distinct(F.transform("slots", lambda p: p["of_item"]))) == F.size("slots"))
+        .withColumn("verbatim", ~F.exists("slots", lambda p: p["of_item"] != p["of_doc"]))
+        .filter(F.col("verbatim") | ~F.col("poor"))
         .select(
             "doc_id",
             "text_hash",
@@ -143,21 +170,34 @@ def matches(
             "word_offset",
             "windows",
             "item_windows",
-            (~F.exists("slots", lambda p: p["of_item"] != p["of_doc"])).alias("verbatim"),
+            "verbatim",
         )
     )
 
 
+def _literal(words: Column) -> Column:
+    """How many of the words are not placeholders."""
+    return F.size(F.filter(words, lambda w: ~is_slot(w)))
+
+
+def _placed(words: Column, lengths: list[int]) -> Column:
+    """place and code of each run of ``lengths`` words."""
+
+    def runs(row: Column) -> Column:
+        return F.concat(*[F.transform(window_hashes(row, n), lambda c, i: F.struct(i.alias("place"), c.alias("code"))) for n in lengths])
+
+    return with_value(words, runs)
+
+
 def _slot_pairs() -> Column:
-    """Different pairs of an item's slot value and the value that stands in its place in the document."""
-    place = F.sequence(F.lit(0), F.size("item_values") - 1)
+    """Different pairs of an item's slot value and the value in its place in the document, where windows matched."""
+    places = F.array_distinct(F.flatten(F.transform("matched", lambda at: F.sequence(at, at + F.col("span") - 1))))
     pairs = F.transform(
-        place,
+        places,
         lambda i: F.struct(
             F.get(F.col("item_values"), i).alias("of_item"), F.get(F.col("doc_values"), i + F.col("word_offset")).alias("of_doc")
         ),
     )
-    # A slot that meets a word lies outside the shared passage: a partial match ends there.
     return F.array_distinct(
         F.filter(pairs, lambda p: is_slot(p["of_item"]) & F.coalesce(F.substring(p["of_doc"], 1, 1) == F.substring(p["of_item"], 1, 1), F.lit(False)))
     )
