@@ -290,8 +290,10 @@ def row_key(id_col: str, text_col: str) -> Column:
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of ``df``: doc_id, row_key, words_key, class_id (smallest doc_id of the class).
+    """One row per row of ``df``: doc_id, row_key, words_key, class_id (smallest doc_id of the class), class_key.
 
+    ``class_key`` is the smallest words_key of the class and tells classes apart also where they share their
+    smallest id or have none.
     ``words_key`` is a digest of the text's words; rows of one class with the same key are copies.
     ``row_key`` is a digest of id and text.  A class whose ids are all null has a null class_id.
     """
@@ -323,8 +325,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = reps.join(last, reps["rep"] == last["id"], "left").select(
         "words_key", reps["id"].alias("own"), F.coalesce("cls", "rep").alias("cls")
     )
-    least = named.groupBy("cls").agg(F.min("own").alias("class_id"))
-    classes = named.join(least, "cls").select("words_key", "class_id")
+    least = named.groupBy("cls").agg(F.min("own").alias("class_id"), F.min("words_key").alias("class_key"))
+    classes = named.join(least, "cls").select("words_key", "class_id", "class_key")
     return rows.select("doc_id", "row_key", "words_key").join(classes, "words_key")
 
 
@@ -370,9 +372,7 @@ def keep_one(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     while key in columns:
         key += "_"
     classes = stored(near_duplicates(documents, threshold=threshold), "classes")
-    best = classes.groupBy("class_id", F.when(F.col("class_id").isNull(), F.col("words_key"))).agg(
-        F.min(F.struct("doc_id", "row_key")).alias("k")
-    )
+    best = classes.groupBy("class_key").agg(F.min(F.struct("doc_id", "row_key")).alias("k"))
     keyed = documents.withColumn(key, row_key("doc_id", "text"))
     kept = keyed.join(best.select(F.col("k.row_key").alias(key)), key, "left_semi")
     return kept.dropDuplicates([key]).select(*columns)
