@@ -5,8 +5,8 @@ spelled as one of ``UNKNOWN`` markers, chosen by its last two characters, and th
 counts behind that marker, so every text has a proper probability.  The network is a gated recurrent unit
 with a softmax over classes of words and one over the words of a class.  It starts from the token counts and
 is trained by truncated backpropagation in rounds: in each, every task trains on the documents dealt to it,
-and the weights are averaged, weighed by tokens.  A round takes a fixed share of the documents, so training
-grows with the corpus.  Scoring carries the state from window to window through the whole text.
+and the weights are averaged, weighed by tokens.  Each round takes its own share of the documents and all rounds
+together take every one once, so training grows with the corpus.  Scoring carries the state from window to window through the whole text.
 
 Edge cases: a null text is empty and holds the end token alone; very long texts are scored window by window;
 repeated rows score alike and count each time; without training documents N and V are 0 and the scores are
@@ -36,7 +36,7 @@ VOCABULARY = 8_192  # words the network knows
 LOOKUP = 200_000  # commonest tokens whose counts every task holds; the others' counts are joined
 UNKNOWN = 64
 HIDDEN, EMBEDDED = 32, 32
-ROUNDS, SHARE = 2, 16  # each round trains on one document in SHARE
+ROUNDS = SHARE = 4  # each round trains on one document in SHARE, and the rounds together on every document once
 DOCS_PER_TASK = 800  # documents one training task takes in a round, about
 STEPS, LANES = 16, 96  # length of a training window, streams side by side
 WINDOW, ABREAST = 8_192, 512  # tokens of a scoring window, texts side by side
@@ -212,8 +212,9 @@ class Trainer:
         self.seen[name][at] += grad * grad
         self.net.w[name][at] -= self.rate * grad / np.sqrt(self.seen[name][at])
 
-    def window(self, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, h0: np.ndarray) -> np.ndarray:
-        """One update from a window (steps, lanes); ``fresh`` marks document starts; returns the last state."""
+    def window(self, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, h0: np.ndarray, real: np.ndarray | None = None) -> np.ndarray:
+        """One update from a window (steps, lanes); ``fresh`` marks document starts, ``real`` (if not all) what is
+        a token and not padding; returns the last state."""
         w, hid = self.net.w, HIDDEN
         steps, lanes = x.shape
         emb = w["e"][x]
@@ -232,15 +233,17 @@ class Trainer:
             hs.append(h)
         flat_h, flat_y = np.concatenate(hs), y.ravel()
         total = len(flat_y)
+        share = np.ones(total, np.float32) if real is None else real.ravel().astype(np.float32)
+        share = (share / share.sum())[:, None]
         p = np.exp(_log_softmax(flat_h @ w["c"] + w["cb"]))
         p[np.arange(total), self.net.class_of(flat_y)] -= 1
-        p /= total
+        p *= share
         dh = p @ w["c"].T
         grads = {"c": flat_h.T @ p, "cb": p.sum(0)}
         for lo, hi, at in _by_class(self.net, flat_y):
             q = np.exp(_log_softmax(flat_h[at] @ w["o"][lo:hi].T + w["ob"][lo:hi]))
             q[np.arange(len(at)), flat_y[at] - lo] -= 1
-            q /= total
+            q *= share[at]
             dh[at] += q @ w["o"][lo:hi]
             self._step("o", slice(lo, hi), q.T @ flat_h[at])
             self._step("ob", slice(lo, hi), q.sum(0))
@@ -274,11 +277,14 @@ class Trainer:
         fresh[np.r_[0, np.cumsum([len(d) for d in docs])[:-1]]] = 1
         x = np.where(fresh == 1, 0, np.r_[0, y[:-1]])
         lanes = max(1, min(LANES, len(y) // (40 * STEPS)))
-        size = len(y) // lanes
-        xs, ys, fs = (v[: lanes * size].reshape(lanes, size).T for v in (x, y, fresh))
+        size = -(-len(y) // lanes)
+        real = np.ones(len(y), bool)
+        # The last lane is filled up with padding, which is fewer than ``lanes`` tokens; the last window may be shorter.
+        xs, ys, fs, rs = (np.pad(v, (0, lanes * size - len(y))).reshape(lanes, size).T for v in (x, y, fresh, real))
         h = np.zeros((lanes, HIDDEN), np.float32)
-        for begin in range(0, size - STEPS + 1, STEPS):
-            h = self.window(xs[begin : begin + STEPS], ys[begin : begin + STEPS], fs[begin : begin + STEPS], h)
+        for begin in range(0, size, STEPS):
+            at = slice(begin, begin + STEPS)
+            h = self.window(xs[at], ys[at], fs[at], h, rs[at])
         return len(y)
 
 
@@ -401,7 +407,7 @@ def train(rows: DataFrame, net: Network, words, documents: int, rounds: int = RO
         added = trained.groupBy("block", "lot").applyInPandas(_add_up, _SUMS).groupBy("block").applyInPandas(_add_up, _SUMS)
         got = added.collect()  # one copy of the weights
         if not got:
-            return net
+            continue  # a small table may have no document in this share
         got.sort(key=lambda r: r["block"])
         net = net.refilled(np.concatenate([np.frombuffer(r["sums"], np.float64) / r["weight"] for r in got]))
     return net
