@@ -24,8 +24,6 @@ from shelfcast.sources.scratch import stored
 
 YEAR = roles.MODEL_YEAR
 LAST_FIT_DAY, FIRST_TEST_DAY = "2000-07-01", "2000-07-02"
-# Rounds and depth of the registered boosted models; the functions' defaults are larger.
-ROUNDS, DEPTH = 10, 5
 
 
 def average_daily(spark, d):
@@ -320,7 +318,7 @@ def j16_first(spark, d):
 def j16(spark, d):
     """Boosted trees differ between libraries; tests check that the second stage improves on the first."""
     rows = K.holdout_from(numbered_family_daily(spark, d), "date", FIRST_TEST_DAY)
-    model = M.hybrid_fit(rows.filter(~F.col("is_test")), rounds=ROUNDS, depth=DEPTH)
+    model = M.hybrid_fit(rows.filter(~F.col("is_test")))
     return model.predict(rows).select("family", "date", "sales", "stage_1", "predicted", "is_test")
 
 
@@ -358,7 +356,7 @@ def j17(spark, d):
 def j18(spark, d):
     """Scores of boosted trees on both parts."""
     train, test = tabular_split(spark, d)
-    model = M.tabular_boosted(train, rounds=ROUNDS, depth=DEPTH)
+    model = M.tabular_boosted(train)
     parts = [
         K.scores(model.transform(M.assemble(part)), "sales", "predicted").withColumn("part", F.lit(name))
         for name, part in (("train", train), ("test", test))
@@ -520,7 +518,7 @@ def k7_mean(spark, d):
 
 @query("k7_cross_validation_boosted")
 def k7_boosted(spark, d):
-    return M.cv_boosted(folded(spark, d, 3), 3, rounds=3, depth=4)
+    return M.cv_boosted(folded(spark, d))
 
 
 @query(

@@ -17,7 +17,7 @@ from shelfcast.operators.windows import interpolate
 from shelfcast.plans import models
 from shelfcast.plans.basics import HOLIDAY_TYPE_CODES, LOCALE_CODES, STORE_TYPE_CODES
 from shelfcast.plans.joining import DAILY_OIL
-from shelfcast.plans.models import DEPTH, LAG_PROMO, PANEL_FEATURES, PANEL_KEYS, ROUNDS, TABULAR, _PANEL
+from shelfcast.plans.models import LAG_PROMO, PANEL_FEATURES, PANEL_KEYS, TABULAR, _PANEL
 from shelfcast.plans.registry import doubles, exact, exact_mean, query, round_all, spine_sql
 from shelfcast.plans.solving import features_sql
 from shelfcast.plans.time_axis import _fill_sql
@@ -246,6 +246,6 @@ def q12(spark, d):
 @query("q12_tabular_boosted_submission")
 def q12_boosted(spark, d):
     train, _ = models.tabular_split(spark, d)
-    model = M.tabular_boosted(train, rounds=ROUNDS, depth=DEPTH)
+    model = M.tabular_boosted(train)
     scored = model.transform(M.assemble(test_frame(spark, d)))
     return scored.select("id", clip_low("predicted").alias("sales"))

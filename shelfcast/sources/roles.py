@@ -104,7 +104,10 @@ def oil(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy(F.col("o_orderdate").cast("date").alias("date"))
         .agg((F.avg(F.col("o_totalprice").cast("decimal(18,2)")).cast("double") / 1000).alias("price"))
     )
-    days = date_spine(spark, *OIL_SPAN).filter(weekday("date") < 5)
+    # The fixed span, drawn out to where there are orders before or after it.
+    first, last = (F.lit(x).cast("date") for x in OIL_SPAN)
+    span = priced.agg(F.least(first, F.min("date")).cast("string"), F.greatest(last, F.max("date")).cast("string")).first()
+    days = date_spine(spark, *span).filter(weekday("date") < 5)
     missing = (F.col("date") < F.lit("1995-01-05").cast("date")) | (F.dayofmonth("date") == 13)
     return days.join(priced, "date", "left").select(
         "date",
