@@ -207,6 +207,9 @@ def hits(model: ToxicModel, text: str) -> tuple[int, int, int, int]:
     return tuple(min(x, 3) for x in out)
 
 
+NEAR = 6  # smallest word hashes that near copies have in common
+
+
 def spread_terms(label_text: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each different word and stem of a text with the text's label and a hash that near copies share."""
     for batch in label_text:
@@ -215,7 +218,8 @@ def spread_terms(label_text: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             words = {w for w in WORD.findall(text.lower()) if 3 <= len(w) <= 24 and not w.isdigit()}
             if not words:
                 continue
-            group = min(zlib.crc32(w.encode()) for w in words)
+            lowest = sorted({zlib.crc32(w.encode()) for w in words})[:NEAR]
+            group = zlib.crc32(b"".join(h.to_bytes(4, "little") for h in lowest))
             own = words | {f"{w[:k]}*" for w in words for k in STEMS if len(w) > k}
             terms += own
             labels += [label] * len(own)
