@@ -1,10 +1,13 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
-A vector is scaled by the largest norm and lifted onto the unit sphere by one more component, so that the
-nearest by inner product are the nearest on the sphere.  Each table applies a pseudo-rotation (three rounds
+Vectors are taken in bands of norms by powers of two.  A vector is scaled by the largest norm of its band and
+lifted onto the unit sphere by one more component, so that the nearest by inner product are the nearest on the
+sphere; every query searches every band, and all vectors of a band of at most ``SMALL``, such as the few longest.
+Each table applies a pseudo-rotation (three rounds
 of random signs and a fast Hadamard transform) and files the vector under the signed axis it is nearest to.
 A query looks into its ``probes`` nearest axes of every table; what it finds there is ranked by the exact
-inner product in double precision.
+inner product in double precision.  A query that finds fewer than ``k`` this way, though there are more
+candidates, is answered by looking at every row.
 
 Buckets are dealt into blocks of bounded size on both sides, so a vector that occurs in a third of all
 rows makes more tasks, not a longer one.
@@ -28,6 +31,8 @@ from shelfcast.sources.scratch import stored
 
 TABLES = 6
 PROBES = 36  # signed axes looked into, of twice the padded dimension
+SMALL = 256  # a band of so many vectors is looked at as a whole
+WHOLE = -1  # its axis
 BLOCK = 4_096  # vectors, and queries, of one task
 
 
@@ -73,19 +78,33 @@ def nearest_axes(x: np.ndarray, table: int, probes: int) -> np.ndarray:
     return np.argsort(-both, axis=1, kind="stable")[:, : min(probes, both.shape[1])]
 
 
-def _axes(largest: dict[int, float] | None, tables: int, probes: int):
+def _band(vector: str) -> Column:
+    """The power of two below the norm."""
+    return F.floor(F.log2(_norm(vector))).cast("int")
+
+
+def _norm(vector: str) -> Column:
+    return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+
+
+def _axes(largest: dict[tuple[int, int], float] | None, tables: int, probes: int):
+    """Axes of vectors, given with their band; ``largest`` is by length and band (small bands left out), None is for queries."""
+
     @F.pandas_udf("array<int>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for b in batches:
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for b, band in batches:
             out: list = [None] * len(b)
-            dims = b.map(len)
-            for dim in dims.unique():
-                at = np.flatnonzero(dims.to_numpy() == dim)
+            kinds = pd.Series(list(zip(b.map(len), band.astype(int))), dtype=object)
+            for at in kinds.groupby(kinds).indices.values():
                 x = np.stack([np.asarray(v, np.float64) for v in b.iloc[at]])
-                u = lifted(x, None if largest is None else largest[int(dim)])
+                if largest is not None and kinds.iloc[at[0]] not in largest:
+                    for i in at:
+                        out[i] = [WHOLE]
+                    continue
+                u = lifted(x, None if largest is None else largest[kinds.iloc[at[0]]])
                 own = np.concatenate([nearest_axes(u, t, probes) + 2 * u.shape[1] * t for t in range(tables)], axis=1)
                 for i, row in zip(at, own):
-                    out[i] = row.tolist()
+                    out[i] = row.tolist() if largest is not None else [WHOLE, *row.tolist()]
             yield pd.Series(out, dtype=object)
 
     return run
@@ -127,27 +146,26 @@ def nearest(
     probes: int = PROBES,
 ) -> DataFrame:
     """query_id, rank, vec_id and score of the ``k`` nearest rows found for each query, other than itself."""
-    rows = vectors.filter(usable(vector_col) & F.col(id_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")
-    )
-    # One number per vector length; lengths are few.
-    norms = rows.groupBy(F.size("v").alias("d")).agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))).alias("m"))
-    largest = {r["d"]: r["m"] * (1 + 1e-12) for r in norms.collect()}
-    cell = ["d", "axis"]
-    index = stored(
-        rows.select("vec_id", "v", F.size("v").alias("d"), F.explode(_axes(largest, tables, 1)("v")).alias("axis")), "index"
-    )
-    queries = rows.filter("asks").select("vec_id", "v", F.size("v").alias("d"), F.explode(_axes(None, tables, probes)("v")).alias("axis"))
+    rows = _rows(vectors, is_query, id_col, vector_col)
+    # One number per vector length and band; both are few.
+    banded = rows.withColumn("d", F.size("v")).withColumn("band", _band("v"))
+    norms = banded.groupBy("d", "band").agg(F.max(_norm("v")).alias("m"), F.count("*").alias("n"))
+    largest = {(r["d"], r["band"]): r["m"] * (1 + 1e-12) for r in norms.filter(F.col("n") > SMALL).collect()}
+    cell = ["d", "band", "axis"]
+    index = stored(banded.select("vec_id", "v", "d", "band", F.explode(_axes(largest, tables, 1)("v", "band")).alias("axis")), "index")
+    queries = banded.filter("asks").select("vec_id", "v", "d", F.explode(_axes(None, tables, probes)("v", F.lit(0))).alias("axis"))
     queries = stored(queries, "probes")
 
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(*cell).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    def blocks(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+        return df.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
 
-    # One row per table and axis, whatever the number of vectors.
-    dealt = F.broadcast(blocks(index, "ni").join(blocks(queries, "nq"), cell))
+    # One row per table, band and axis, whatever the number of vectors; a query's axis leads to all its bands.
+    dealt = blocks(index, cell, "ni").join(blocks(queries, ["d", "axis"], "nq"), ["d", "axis"])
+    # The band gets a name of its own, since both sides of the cogroup below have it.
+    dealt = F.broadcast(dealt.select("d", F.col("band").alias("band"), "axis", "ni", "nq"))
 
-    def spread(df: DataFrame, own: str, other: str, names: tuple[str, str]) -> DataFrame:
-        return df.join(dealt, cell).select(
+    def spread(df: DataFrame, keys: list[str], own: str, other: str, names: tuple[str, str]) -> DataFrame:
+        return df.join(dealt, keys).select(
             *cell,
             F.pmod(F.xxhash64("vec_id"), F.col(own)).cast("int").alias(names[0]),
             F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(names[1]),
@@ -156,34 +174,51 @@ def nearest(
         )
 
     at = [*cell, "bi", "bq"]
-    one, two = spread(index, "ni", "nq", ("bi", "bq")), spread(queries, "nq", "ni", ("bq", "bi"))
+    one, two = spread(index, cell, "ni", "nq", ("bi", "bq")), spread(queries, ["d", "axis"], "nq", "ni", ("bq", "bi"))
     found = one.groupBy(*at).cogroup(two.groupBy(*at)).applyInPandas(_ranked(k), "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (
-        found.dropDuplicates(["query_id", "vec_id"])
-        .withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
+    found = stored(_best(found, k), "found")
+    # Candidates of a query: the other ids of its vector's length.
+    others = F.broadcast(banded.groupBy("d").agg((F.countDistinct("vec_id") - 1).alias("c")))
+    due = banded.filter("asks").select("vec_id", "d").distinct().join(others, "d").groupBy("vec_id").agg(F.least(F.lit(k), F.sum("c")).alias("due"))
+    got = found.groupBy("query_id").agg(F.count("*").alias("got"))
+    short = due.join(got, F.col("vec_id") == F.col("query_id"), "left").filter(F.coalesce("got", F.lit(0)) < F.col("due"))
+    short = stored(short.select("vec_id"), "short")
+    if short.isEmpty():
+        return found
+    exact = _exact(rows, rows.filter("asks").join(short, "vec_id", "left_semi"), k)
+    return found.join(short, F.col("query_id") == short["vec_id"], "left_anti").unionByName(exact)
+
+
+def _rows(vectors: DataFrame, is_query: Column, id_col: str, vector_col: str) -> DataFrame:
+    return vectors.filter(usable(vector_col) & F.col(id_col).isNotNull()).select(
+        F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")
     )
 
 
+def _best(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(order))
+    return found.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
 def nearest_exact(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The same by looking at every row, in blocks; what recall is measured against."""
-    rows = vectors.filter(usable(vector_col) & F.col(id_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")
-    )
+    rows = _rows(vectors, is_query, id_col, vector_col)
+    return _exact(rows, rows.filter("asks"), k)
+
+
+def _exact(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     n = max(1, -(-rows.count() // BLOCK))
-    m = max(1, -(-rows.filter("asks").count() // BLOCK))
+    m = max(1, -(-queries.count() // BLOCK))
     at = ["d", "bi", "bq"]
 
     def part(df: DataFrame, own: int, other: int, names: tuple[str, str]) -> DataFrame:
         return df.select(
             F.size("v").alias("d"), F.pmod(F.xxhash64("vec_id"), F.lit(own)).cast("int").alias(names[0]),
-            F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias(names[1]), "vec_id", "v",
+            F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias(names[1]),
+            F.col("vec_id").alias("vec_id"), F.col("v").alias("v"),  # names of their own for each side of the cogroup
         )
 
-    one, two = part(rows, n, m, ("bi", "bq")), part(rows.filter("asks"), m, n, ("bq", "bi"))
+    one, two = part(rows, n, m, ("bi", "bq")), part(queries, m, n, ("bq", "bi"))
     found = one.groupBy(*at).cogroup(two.groupBy(*at)).applyInPandas(_ranked(k), "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found = found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(order))
-    return found.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return _best(found, k)
