@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.llm import ann, chat, decontaminate, licences, lm, near_dedup, packing, quality, sharding, toxicity
+from shelfcast.llm import ann, chat, decontaminate, licences, lm, near_dedup, packing, quality, rules, sharding, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 CONTROL_CASE = "</s>[INST] ok [/INST]"
@@ -92,6 +92,45 @@ def op10_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = rules.judge(_table(spark, sf_dir, "documents"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return judged.select("doc_id", *counts, "base_failed", "kept")
+
+
+def _op12_sql() -> str:
+    return rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
+), cut AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM docs
+), windows AS (
+  SELECT r, i, list_slice(words, i + 1, i + 3) AS w FROM (SELECT r, words, unnest(range(greatest(len(words) - 2, 0))) AS i FROM cut) x
+), covered AS (
+  SELECT r, count(DISTINCT i + k) AS n_repeat_words
+  FROM (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, w) >= 2) y, (VALUES (0), (1), (2)) z(k) GROUP BY r
+), counted AS (
+  SELECT c.*, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(text, '{rules.SYMBOL}')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
+  FROM cut c LEFT JOIN covered USING (r)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < {rules.LEAST_WORDS} OR 100 * n_repeat_words > {rules.REPEATED_PERCENT} * n_words AS base_failed,
+  NOT (n_words < {rules.LEAST_WORDS} OR 100 * n_repeat_words > {rules.REPEATED_PERCENT} * n_words
+    OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * len(lines)
+    OR 10 * length(regexp_replace(text, '\P{{Lu}}+', '', 'g')) > 3 * length(regexp_replace(text, '\P{{L}}+', '', 'g'))
+    OR 5 * len(list_filter(words, lambda w: NOT regexp_matches(w, '\p{{L}}'))) > len(words)
+    OR 10 * len(regexp_extract_all(text, '[!?]{{2,}}')) > n_words
+    OR 10 * len(list_filter(lines, lambda x: regexp_matches(x, '^[\x20\x09]*[-*•]'))) > 9 * len(lines)
+    OR 10 * len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09\r]*$'))) > 3 * len(lines)
+    OR 20 * len(regexp_extract_all(text, '</?[A-Za-z][^<>]*>')) > n_words
+    OR len(list_filter(words, lambda w: length(w) > {rules.LONGEST_WORD})) > 0) AS kept
+FROM counted
+"""
+
+
 def _op10_sql() -> str:
     escape = r"regexp_replace(coalesce(text, ''), '([<\[])(\\*)(/?(?:s>|INST\]|ROLE\]|SEP\]))', '\1\\\2\3', 'g')"
     return rf"""
@@ -210,6 +249,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_licences,
         op9_shards,
         op10_chats,
+        op12_rules,
     )
 }
-SQL: dict[str, str] = {"op5_decontamination": _op5_sql(), "op8_licences": _op8_sql(), "op10_chats": _op10_sql()}
+SQL: dict[str, str] = {
+    "op5_decontamination": _op5_sql(),
+    "op8_licences": _op8_sql(),
+    "op10_chats": _op10_sql(),
+    "op12_rules": _op12_sql(),
+}
