@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.llm import ann, chat, decontaminate, licences, lm, near_dedup, packing, quality, rules, sharding, toxicity
+from shelfcast.llm import ann, chat, decontaminate, licences, lm, near_dedup, packing, quality, rules, search, sharding, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 CONTROL_CASE = "</s>[INST] ok [/INST]"
@@ -98,6 +98,41 @@ def op12_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *counts, "base_failed", "kept")
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def _op13_sql() -> str:
+    upper, pattern = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+    def terms(text: str) -> str:
+        return f"unnest(regexp_extract_all(translate(coalesce({text}, ''), '{upper}', '{upper.lower()}'), '{pattern}'))"
+
+    return f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, text FROM documents
+), words AS (
+  SELECT r, doc_id, {terms("text")} AS t FROM docs
+), told AS (
+  SELECT r, doc_id, t, count(*) AS tf FROM words GROUP BY ALL
+), tf AS (
+  SELECT *, CAST(sum(tf) OVER (PARTITION BY r) AS BIGINT) AS n FROM told
+), size AS (
+  SELECT count(DISTINCT r) AS docs, CAST(sum(tf) AS BIGINT) AS terms FROM tf
+), weight AS (
+  SELECT t, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, size GROUP BY t
+), impact AS (
+  SELECT r, doc_id, t, (1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // terms)) AS x FROM tf, size
+), asked AS (
+  SELECT item_id, t, count(*) AS c FROM (SELECT item_id, {terms("text")} AS t FROM (SELECT DISTINCT item_id, text FROM benchmark) b) q GROUP BY ALL
+), scored AS (
+  SELECT item_id, r, doc_id, CAST(sum(c * w * x) AS BIGINT) AS score FROM asked JOIN weight USING (t) JOIN impact USING (t) GROUP BY ALL
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, r) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= {search.K}
+"""
+
+
 def _op12_sql() -> str:
     return rf"""
 WITH docs AS (
@@ -250,6 +285,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_shards,
         op10_chats,
         op12_rules,
+        op13_ranked_search,
     )
 }
 SQL: dict[str, str] = {
@@ -257,4 +293,5 @@ SQL: dict[str, str] = {
     "op8_licences": _op8_sql(),
     "op10_chats": _op10_sql(),
     "op12_rules": _op12_sql(),
+    "op13_ranked_search": _op13_sql(),
 }
