@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.llm import ann, chat, decontaminate, licences, lm, near_dedup, packing, quality, rules, search, sharding, toxicity
+from shelfcast.llm import (
+    ann,
+    chat,
+    collocations,
+    decontaminate,
+    licences,
+    lm,
+    near_dedup,
+    packing,
+    quality,
+    rules,
+    search,
+    sharding,
+    toxicity,
+)
 
 TOKENIZER = "word_bpe_49k.json"
 CONTROL_CASE = "</s>[INST] ok [/INST]"
@@ -92,6 +106,47 @@ def op10_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+def _op11_sql() -> str:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    support, scale = collocations.SUPPORT, collocations.SCALE
+    phrases = " UNION ALL ".join(
+        f"SELECT lang, {n} AS size, array_to_string(list_slice(words, i, i + {n - 1}), ' ') AS phrase "
+        f"FROM (SELECT lang, words, unnest(range(1, len(words) - {n - 2})) AS i FROM pieces WHERE len(words) >= {n}) x"
+        for n in range(1, collocations.LONGEST + 1)
+    )
+    return rf"""
+WITH pieces AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM (
+    SELECT coalesce(lang, '{collocations.UNKNOWN}') AS lang, unnest(regexp_split_to_array(
+      translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents) x
+), totals AS (
+  SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM pieces GROUP BY lang
+), f AS (
+  SELECT lang, size, phrase, count(*) AS f FROM ({phrases}) p GROUP BY ALL HAVING count(*) >= {support}
+), cuts AS (
+  SELECT c.lang, c.phrase, c.f AS a, k, l.f AS l, r.f AS r, (CAST({scale} AS HUGEINT) * c.f) // (l.f + r.f) AS score
+  FROM (SELECT lang, phrase, f, string_split(phrase, ' ') AS words, unnest(range(1, size)) AS k FROM f WHERE size > 1) c
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(list_slice(c.words, 1, c.k), ' ')
+  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(list_slice(c.words, c.k + 1, len(c.words)), ' ')
+), lowest AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inside AS (
+  SELECT lang, array_to_string(list_slice(words, i, i + n - 1), ' ') AS phrase, f FROM (
+    SELECT lang, string_split(phrase, ' ') AS words, size, f, n, unnest(range(1, size - n + 2)) AS i
+    FROM f, (VALUES (2), (3)) s(n) WHERE size > n) x
+), free AS (
+  SELECT * FROM lowest c WHERE NOT EXISTS (
+    SELECT 1 FROM inside i WHERE i.lang = c.lang AND i.phrase = c.phrase AND 100 * CAST(i.f AS HUGEINT) >= {collocations.COVERED_PERCENT} * CAST(c.a AS HUGEINT))
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM free JOIN totals USING (lang) QUALIFY rank <= {collocations.TOP}
+"""
+
+
 def op12_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = rules.judge(_table(spark, sf_dir, "documents"))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -284,6 +339,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_licences,
         op9_shards,
         op10_chats,
+        op11_collocations,
         op12_rules,
         op13_ranked_search,
     )
@@ -292,6 +348,7 @@ SQL: dict[str, str] = {
     "op5_decontamination": _op5_sql(),
     "op8_licences": _op8_sql(),
     "op10_chats": _op10_sql(),
+    "op11_collocations": _op11_sql(),
     "op12_rules": _op12_sql(),
     "op13_ranked_search": _op13_sql(),
 }
