@@ -6,12 +6,13 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression, LinearRegressionModel
+from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.functions.calendar import weekday, weekend
 from shelfcast.functions.scalars import clip_low, null_sentinel
+from shelfcast.operators.boosting import Boosted, cross_validate, fit_boosted
 from shelfcast.operators.evaluate import holdout_last, rmse
 from shelfcast.operators.features import deterministic, feature_names, promo_features
 from shelfcast.operators.joins import join_calendar
@@ -19,7 +20,7 @@ from shelfcast.operators.regress import fit_ols, fold_models, panel_ols, predict
 from shelfcast.operators.reshape import label_codes, label_encode
 from shelfcast.operators.resample import resample
 from shelfcast.operators.windows import interpolate, lag
-from shelfcast.sources.scratch import ensure_checkpoint_dir, stored
+from shelfcast.sources.scratch import stored
 
 
 def daily_oil(oil: DataFrame, col: str = "dcoilwtico") -> DataFrame:
@@ -87,7 +88,7 @@ class Hybrid:
     """A fitted two-stage model."""
 
     trends: DataFrame
-    trees: GBTRegressionModel
+    trees: Boosted
     codes: DataFrame
     by: str
     y: str
@@ -99,28 +100,27 @@ class Hybrid:
         rows = rows.withColumn("stage_1", F.col("slope") * F.col("t") + F.col("intercept"))
         scored = self.trees.transform(rows)
         return scored.withColumn("predicted", clip_low(F.col("stage_1") + F.col("residual"))).drop(
-            "slope", "intercept", "features", "residual"
+            "slope", "intercept", "_code", "_day", "residual"
         )
 
 
 def _tree_inputs(df: DataFrame, codes: DataFrame, by: str, promo: str) -> DataFrame:
-    coded = label_encode(df, by, "_code", codes).withColumn("_day", F.dayofmonth("date"))
-    return VectorAssembler(inputCols=[promo, "_code", "_day"], outputCol="features").transform(coded).drop("_code", "_day")
+    return label_encode(df, by, "_code", codes).withColumn("_day", F.dayofmonth("date"))
 
 
 def hybrid_fit(
     df: DataFrame, by: str = "family", y: str = "sales", promo: str = "onpromotion", rounds: int = 100, depth: int = 6, seed: int = 42
 ) -> Hybrid:
     """Fit on rows that carry the time step ``t``."""
-    ensure_checkpoint_dir(df.sparkSession)
     t = F.col("t").cast("double")
     # Short tables, stored so that their size is known before the rows would move by a hot key.
     trends = stored(df.groupBy(by).agg(F.regr_slope(y, t).alias("slope"), F.regr_intercept(y, t).alias("intercept")), "trends")
     codes = stored(label_codes(df, by, "_code"), "codes")
     rows = _tree_inputs(df, codes, by, promo).join(trends, by)
     target = rows.withColumn("_rest", F.col(y) - (F.col("slope") * F.col("t") + F.col("intercept")))
-    trees = GBTRegressor(labelCol="_rest", predictionCol="residual", maxIter=rounds, maxDepth=depth, seed=seed)
-    return Hybrid(trends, trees.fit(stored(target.select("features", "_rest"), "hybrid")), codes, by, y, promo)
+    inputs = [promo, "_code", "_day"]
+    trees = fit_boosted(stored(target.select(*inputs, "_rest"), "hybrid"), inputs, "_rest", rounds, depth, seed, "residual")
+    return Hybrid(trends, trees, codes, by, y, promo)
 
 
 # Tabular models.
@@ -156,29 +156,17 @@ def tabular_linear(train: DataFrame, features: Sequence[str] = TABULAR, y: str =
 
 def tabular_boosted(
     train: DataFrame, features: Sequence[str] = TABULAR, y: str = "sales", rounds: int = 300, depth: int = 9, seed: int = 42
-) -> GBTRegressionModel:
+) -> Boosted:
     """Boosted trees.  Pass a stored table: the fit reads it more than once."""
-    ensure_checkpoint_dir(train.sparkSession)
-    trees = GBTRegressor(labelCol=y, predictionCol="predicted", maxIter=rounds, maxDepth=depth, seed=seed)
-    return trees.fit(assemble(train, features).select("features", y))
+    return fit_boosted(train, features, y, rounds, depth, seed)
 
 
 def cv_boosted(
     df: DataFrame, k: int = 10, features: Sequence[str] = TABULAR, y: str = "sales", rounds: int = 100, depth: int = 6, seed: int = 42
 ) -> DataFrame:
     """(fold, rmse, n) of boosted trees; needs a ``fold`` column.  Each fold is one distributed fit."""
-    ensure_checkpoint_dir(df.sparkSession)
-    rows = stored(assemble(df, features).select("fold", "features", y), "folds")
-    trees = GBTRegressor(labelCol=y, predictionCol="predicted", maxIter=rounds, maxDepth=depth, seed=seed)
-    parts = []
-    for i in range(k):
-        model = trees.fit(rows.filter(F.col("fold") != i))
-        held = model.transform(rows.filter(F.col("fold") == i))
-        parts.append(held.groupBy("fold").agg(rmse(y, "predicted").alias("rmse"), F.count(F.lit(1)).alias("n")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    rows = stored(df.select("fold", *features, y), "folds")
+    return cross_validate(rows, features, y, "fold", k, rounds, depth, seed)
 
 
 def cv_linear(df: DataFrame, k: int = 10, features: Sequence[str] = TABULAR, y: str = "sales") -> DataFrame:

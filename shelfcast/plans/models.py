@@ -358,7 +358,7 @@ def j18(spark, d):
     train, test = tabular_split(spark, d)
     model = M.tabular_boosted(train)
     parts = [
-        K.scores(model.transform(M.assemble(part)), "sales", "predicted").withColumn("part", F.lit(name))
+        K.scores(model.transform(part), "sales", "predicted").withColumn("part", F.lit(name))
         for name, part in (("train", train), ("test", test))
     ]
     return parts[0].unionByName(parts[1])

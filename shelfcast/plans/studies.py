@@ -236,16 +236,18 @@ def test_frame(spark, d):
 )
 def q12(spark, d):
     train, _ = models.tabular_split(spark, d)
-    scored = M.tabular_linear(train).transform(M.assemble(test_frame(spark, d)))
-    path = new_path(spark, "submission")
-    tables.write_submission(scored.select("id", clip_low("predicted").alias("sales")), path)
-    schema = tables.StructType([f for f in tables.SCHEMAS["train"] if f.name in ("id", "sales")])
-    return round_all(spark.read.schema(schema).option("header", True).csv(path), 2, "sales")
+    return submitted(spark, M.tabular_linear(train).transform(M.assemble(test_frame(spark, d))))
 
 
 @query("q12_tabular_boosted_submission")
 def q12_boosted(spark, d):
     train, _ = models.tabular_split(spark, d)
-    model = M.tabular_boosted(train)
-    scored = model.transform(M.assemble(test_frame(spark, d)))
-    return scored.select("id", clip_low("predicted").alias("sales"))
+    return submitted(spark, M.tabular_boosted(train).transform(test_frame(spark, d)))
+
+
+def submitted(spark, scored):
+    """Write the forecast as a submission and read the file back."""
+    path = new_path(spark, "submission")
+    tables.write_submission(scored.select("id", clip_low("predicted").alias("sales")), path)
+    schema = tables.StructType([f for f in tables.SCHEMAS["train"] if f.name in ("id", "sales")])
+    return round_all(spark.read.schema(schema).option("header", True).csv(path), 2, "sales")
