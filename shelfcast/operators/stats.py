@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType
 
-from shelfcast.operators.ordered import position
+from shelfcast.operators.ordered import join_keys, position
+from shelfcast.operators.spectrum import squared_spectrum
 from shelfcast.operators.windows import make_lags, zscore
+from shelfcast.sources.scratch import stored
 
 
 def ols_line(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
@@ -130,29 +132,29 @@ def pacf(df: DataFrame, order: str, val: str, nlags: int = 8, by: Sequence[str]
 def periodogram(df: DataFrame, order: str, val: str, by: Sequence[str] = (), per_year: float = 365.0) -> DataFrame:
     """One-sided power spectrum of a series with its linear trend removed, frequencies per year.
 
-    Each day adds its two terms to every frequency inside its own task, and one
-    pair of sums per (series, frequency) is shuffled.  A daily series has a
-    bounded number of days.
+    The transform is distributed, so a series may have any length.
     """
     by = list(by)
     series = position(df.select(*by, order, F.col(val).cast("double").alias("_y")).filter("_y IS NOT NULL"), order, by, "_t")
+    series = stored(series, "series")
     t = F.col("_t").cast("double")
     line = F.struct(
         F.count(F.lit(1)).alias("n"), F.regr_slope("_y", t).alias("b"), F.regr_intercept("_y", t).alias("a")
     ).alias("_line")
     if by:
-        lined = series.join(series.groupBy(*by).agg(line), by)
+        lined = join_keys(series, series.groupBy(*by).agg(line), by)
     else:
         lined = series.withColumn("_line", series.agg(line).scalar())
-    n = F.col("_line.n")
-    rest = F.col("_y") - F.col("_line.a") - F.col("_line.b") * t
-    terms = lined.select(*by, "_t", n.alias("_n"), rest.alias("_e")).withColumn(
-        "k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("_n") / 2)))
+    # A series of one point has no slope; its line is the point.
+    rest = F.coalesce(F.col("_y") - F.col("_line.a") - F.col("_line.b") * t, F.lit(0.0))
+    keys = [f"_by_{i}" for i in range(len(by))]
+    named = [F.col(c).alias(k) for c, k in zip(by, keys)]
+    squares = squared_spectrum(lined.select(*named, F.col("_line.n").alias("n"), F.col("_t").alias("t"), rest.alias("e")), keys)
+    k, n = F.col("k"), F.col("n")
+    sides = F.when((k == 0) | (2 * k == n), 1.0).otherwise(2.0)
+    return squares.select(
+        *[F.col(x).alias(c) for c, x in zip(by, keys)],
+        "k",
+        (k * per_year / n).alias("frequency"),
+        (sides * F.col("square") / (n * n)).alias("power"),
     )
-    angle = (F.col("k") * F.col("_t") % F.col("_n")) * (2 * math.pi) / F.col("_n")
-    sums = terms.groupBy(*by, "_n", "k").agg(
-        F.sum(F.col("_e") * F.cos(angle)).alias("_c"), F.sum(F.col("_e") * F.sin(angle)).alias("_s")
-    )
-    sides = F.when((F.col("k") == 0) | (2 * F.col("k") == F.col("_n")), 1.0).otherwise(2.0)
-    power = sides * (F.col("_c") * F.col("_c") + F.col("_s") * F.col("_s")) / (F.col("_n") * F.col("_n"))
-    return sums.select(*by, "k", (F.col("k") * per_year / F.col("_n")).alias("frequency"), power.alias("power"))

@@ -12,6 +12,7 @@ from shelfcast.operators import stats as S
 from shelfcast.operators import windows as W
 from shelfcast.operators.evaluate import assign_folds, rmse
 from shelfcast.operators.smooth import lowess
+from shelfcast.operators.spectrum import squared_spectrum
 
 RNG = np.random.default_rng(5)
 
@@ -129,6 +130,31 @@ def test_periodogram_equals_fft(spark):
         assert out.power.sum() == pytest.approx(e.var())
 
 
+def test_periodograms_of_many_lengths_side_by_side(spark):
+    """Keys, null among them, with series of one point to a few hundred."""
+    lengths = {"a": 1, "b": 2, "c": 3, None: 64, "d": 337}
+    rows = {k: RNG.normal(size=n) for k, n in lengths.items()}
+    df = spark.createDataFrame([(k, i, float(v)) for k, y in rows.items() for i, v in enumerate(y)], "n string, i long, y double")
+    out = S.periodogram(df, "i", "y", ["n"]).toPandas()
+    for key, y in rows.items():
+        own = out[out.n.isna() if key is None else out.n == key].sort_values("k")
+        t, n = np.arange(len(y)), len(y)
+        e = y - np.polyval(np.polyfit(t, y, 1), t) if n > 2 else np.zeros(n)
+        power = np.abs(np.fft.rfft(e)) ** 2 / n**2
+        power[1 : None if n % 2 else -1] *= 2
+        assert own.power.to_numpy() == pytest.approx(power, abs=1e-10)
+
+
+def test_a_long_series_is_transformed_in_pieces(spark):
+    """A prime length: more points than any group holds, against one transform of the whole."""
+    n = 100_003
+    df = spark.range(n).select(F.col("id").alias("t"), F.lit(n).cast("long").alias("n"), F.sin(F.col("id") * F.col("id") % 1009).alias("e"))
+    got = squared_spectrum(df, []).orderBy("k").toPandas()
+    t = np.arange(n, dtype=np.int64)
+    want = np.abs(np.fft.rfft(np.sin(t * t % 1009))) ** 2
+    assert got.square.to_numpy() == pytest.approx(want, rel=1e-7, abs=1e-6)
+
+
 def test_partial_autocorrelation(spark):
     y = np.cumsum(RNG.normal(size=200))
     df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(y)], "i long, y double")
