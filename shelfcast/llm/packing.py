@@ -33,7 +33,9 @@ FORCED_CUT = 16.0
 GAP = 64  # in a sentence longer than this, every so many tokens are a place for such a cut
 LEAST_POWER = 256  # shorter powers of two are not looked for
 BLOCK_BYTES = 24_000_000  # text of one block, about
-STREAM_TOKENS = 2_000_000  # tokens that are packed at a time within a block
+STREAM_TOKENS = 500_000  # tokens that are packed at a time within a block
+CACHE_BYTES = 32_000_000  # of known words in a task, before a batch; they are forgotten at its end
+WORD_BYTES = 150  # that a known word takes beside its letters and ids
 SCHEMA = "doc_id {}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -52,8 +54,6 @@ class WordTokens:
     Words of plain letters go to its model at once, all others through the whole tokenizer.
     """
 
-    LIMIT = 500_000
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -66,6 +66,7 @@ class WordTokens:
         """Forget all words; word k has the ids ``flat[first[k] : first[k + 1]]``."""
         self.words: dict[str, int] = {"": 0}
         self.flat, self.first, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), 1
+        self.held = 0  # bytes, about
 
     def _add(self, words: list[str], ids: list[list[int]]) -> None:
         lengths = np.array([len(x) for x in ids], np.int64)
@@ -78,6 +79,7 @@ class WordTokens:
         self.flat[used : used + len(added)] = added
         self.first[begin + 1 : begin + len(words) + 1] = used + np.cumsum(lengths)
         self.size += len(words)
+        self.held += WORD_BYTES * len(words) + sum(map(len, words)) + added.nbytes
         self.words.update(zip(words, range(begin, begin + len(words))))
 
     def _learn(self, words: list[str]) -> None:
@@ -98,23 +100,28 @@ class WordTokens:
         begin -= np.cumsum(lengths) - lengths
         return flat[np.repeat(begin, lengths) + np.arange(int(lengths.sum()))], lengths
 
+    def _numbers(self, column: pa.Array) -> np.ndarray:
+        """The place of each word among the known ones; new ones are learned."""
+        coded = column.dictionary_encode()
+        different = coded.dictionary.to_pylist()
+        new = [w for w in different if w not in self.words]
+        if new:
+            self._learn(new)
+        found = np.fromiter(map(self.words.__getitem__, different), np.int64, len(different))
+        return found[coded.indices.to_numpy(zero_copy_only=False)]
+
     def streams(self, batch: pa.Array) -> list[np.ndarray]:
         """The ids of each text."""
-        if len(self.words) > self.LIMIT:
+        if self.held > CACHE_BYTES:
             self._clear()
         rows = pc.split_pattern(pc.replace_substring(batch, "\n", " "), " ")
         coded = rows.flatten().dictionary_encode()
-        heads, marks = [], []
-        for p in coded.dictionary.to_pylist():
-            key = p.lower() if p.isascii() else p
-            marked = len(p) > 1 and p[-1] in ".,;:!?" and p[-2].isalpha()
-            heads.append(key[:-1] if marked else key)
-            marks.append(key[-1] if marked else "")
-        words = self.words
-        new = [w for w in {*heads, *marks} if w not in words]
-        if new:
-            self._learn(new)
-        both = np.array([words[w] for pair in zip(heads, marks) for w in pair], np.int64)
+        pieces = coded.dictionary
+        pieces = pc.if_else(pc.string_is_ascii(pieces), pc.ascii_lower(pieces), pieces)
+        marked = pc.match_substring_regex(pieces, r"\pL[.,;:!?]$")
+        heads = pc.if_else(marked, pc.utf8_slice_codeunits(pieces, 0, -1), pieces)
+        marks = pc.if_else(marked, pc.utf8_slice_codeunits(pieces, -1), "")
+        both = np.stack([self._numbers(heads), self._numbers(marks)], axis=1).ravel()
         ids, lengths = self._gather(self.flat, self.first, both)
         first = np.r_[0, np.cumsum(lengths.reshape(-1, 2).sum(axis=1))]
         ids, lengths = self._gather(ids, first, coded.indices.to_numpy(zero_copy_only=False))
@@ -265,16 +272,19 @@ def pack(
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=NAMES)
 
         schema = None
-        for batch in batches:
-            schema = batch.schema
-            for begin in range(0, batch.num_rows, 2500):
-                part = batch.slice(begin, 2500)
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), words.streams(part.column("text"))):
-                    for found in packer.add(doc_id, np.append(ids, np.uint32(end))):
-                        yield out(found)
-        found = packer.flush()
-        if found:
-            yield out(found)
+        try:
+            for batch in batches:
+                schema = batch.schema
+                for begin in range(0, batch.num_rows, 1000):
+                    part = batch.slice(begin, 1000)
+                    for doc_id, ids in zip(part.column("doc_id").to_pylist(), words.streams(part.column("text"))):
+                        for found in packer.add(doc_id, np.append(ids, np.uint32(end))):
+                            yield out(found)
+            found = packer.flush()
+            if found:
+                yield out(found)
+        finally:
+            words._clear()  # the process outlives the task and may serve other stages
 
     return ordered.sortWithinPartitions("doc_id", "tie").mapInArrow(run, SCHEMA.format(kind))
 
