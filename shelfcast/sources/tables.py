@@ -16,6 +16,8 @@ from pyspark.sql.types import (
     StructType,
 )
 
+from shelfcast.sources.scratch import stored
+
 
 def _schema(**fields) -> StructType:
     return StructType([StructField(name, kind()) for name, kind in fields.items()])
@@ -40,19 +42,46 @@ SCHEMAS = {
 }
 
 
-def read_table(spark: SparkSession, directory: str, name: str, schema: StructType | None = None) -> DataFrame:
+MALFORMED = "_malformed"  # the whole line of a row that does not fit the schema
+
+
+def _reader(spark: SparkSession, mode: str):
+    options = {"header": True, "dateFormat": "yyyy-MM-dd", "mode": mode, "columnNameOfCorruptRecord": MALFORMED}
+    return spark.read.options(**options)
+
+
+def _path(directory: str, name: str) -> str:
+    return f"{directory.rstrip('/')}/{name}.csv"
+
+
+def read_table(
+    spark: SparkSession, directory: str, name: str, schema: StructType | None = None, malformed: str = "fail"
+) -> DataFrame:
     """Scan ``<directory>/<name>.csv`` (a file or a folder of part files) with a header.
 
-    The schema is declared, never inferred, so the scan costs one pass and
-    prunes unused columns; NaN is read as NULL.
+    The schema is declared, never inferred, so the scan costs one pass and prunes unused columns; NaN is read
+    as NULL.  A value that does not fit its column, or a row with too few or too many values, ends the job
+    (``malformed="fail"``; only columns that are used are looked at) or makes the values NULL (``"null"``).
+    ``read_checked`` sets such rows aside instead.
+    """
+    modes = {"fail": "FAILFAST", "null": "PERMISSIVE"}
+    if malformed not in modes:
+        raise ValueError(f"malformed must be one of {sorted(modes)}")
+    return nan_to_null(_reader(spark, modes[malformed]).schema(schema or SCHEMAS[name]).csv(_path(directory, name)))
+
+
+def read_checked(
+    spark: SparkSession, directory: str, name: str, schema: StructType | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(rows that fit the schema, rows that do not), the latter with their line in ``_malformed``.
+
+    The file is parsed once, all columns of it, and both parts are read from the stored result.
     """
-    df = (
-        spark.read.schema(schema or SCHEMAS[name])
-        .option("header", True)
-        .option("dateFormat", "yyyy-MM-dd")
-        .csv(f"{directory.rstrip('/')}/{name}.csv")
-    )
-    return nan_to_null(df)
+    wanted = schema or SCHEMAS[name]
+    whole = StructType([*wanted.fields, StructField(MALFORMED, StringType())])
+    parsed = stored(_reader(spark, "PERMISSIVE").schema(whole).csv(_path(directory, name)), f"parsed-{name}")
+    good = parsed.filter(F.col(MALFORMED).isNull()).drop(MALFORMED)
+    return nan_to_null(good), parsed.filter(F.col(MALFORMED).isNotNull())
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
