@@ -10,7 +10,7 @@ pairs come first, then the phrases of three and four words all of whose pairs we
 of earlier passes is a bit set of hashed phrases of bounded size: a phrase that was found is always in it,
 and one that is there by chance is merely counted for nothing, since sums and thresholds work on the words.
 
-A text is held whole; counts are given out every ``CHUNK_WORDS`` words, at the end of a text.
+A text is held whole; counts are given out about every ``CHUNK_WORDS`` words, at the end of a text.
 
 Edge cases: null texts are empty; a null lang is ``und`` and shares its counts with rows that say so; empty
 texts and texts of separators have no words; repeated rows count as often as they occur; phrases with the same
@@ -39,11 +39,12 @@ TOP = 2_000
 SCALE = 2_000_000
 COVERED_PERCENT = 80
 UNKNOWN = "und"
-CHUNK_WORDS = 2_000_000
+CHUNK_WORDS = 1_500_000
 MOST_BITS = 1 << 28  # of the set of found phrases: 32 MB in a task
 BITS_EACH = 16
 PROBES = 3
 _ROWS = 200_000  # of a batch given back to Spark
+_CHARS = 2_000_000  # of the texts of a language that are split at a time, about
 
 # A-Z are lowered, blanks are spaces and the marks between pieces are line feeds.
 _SPLIT = bytes(
@@ -63,11 +64,39 @@ class _Numbers(dict):
         return number
 
 
-def numbered(text: str, numbers: _Numbers) -> np.ndarray:
-    """The words of a text as numbers, with a break after each piece."""
-    words = text.encode().translate(_SPLIT).replace(b"\n", b" \n ").split(b" ")
-    out = np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
-    return np.append(out[out != _EMPTY], np.int32(_BREAK))
+def numbered(texts: Sequence[str], numbers: _Numbers) -> np.ndarray:
+    """The words of texts as numbers, with a break after each piece and each text.
+
+    Words are told apart in columns; only the different ones become Python values.
+    """
+    pieces = b" \n ".join(t.encode().translate(_SPLIT).replace(b"\n", b" \n ") for t in texts) + b" \n"
+    coded = pc.split_pattern(pa.array([pieces], pa.large_binary()), " ").flatten().dictionary_encode()
+    words = coded.dictionary.to_pylist()
+    out = np.fromiter((numbers[w] for w in words), np.int32, len(words))[coded.indices.to_numpy()]
+    return out[out != _EMPTY]
+
+
+class _Stretch:
+    """Texts of one language on their way to a chunk."""
+
+    def __init__(self):
+        self.numbers, self.parts, self.waiting, self.chars, self.words = _Numbers(), [], [], 0, 0
+
+    def add(self, text: str) -> None:
+        self.waiting.append(text)
+        self.chars += len(text)
+        if self.chars >= _CHARS:
+            self.number()
+
+    def number(self) -> None:
+        if self.waiting:
+            self.parts.append(numbered(self.waiting, self.numbers))
+            self.words += len(self.parts[-1])
+            self.waiting, self.chars = [], 0
+
+    def chunk(self, lang: str) -> _Chunk:
+        self.number()
+        return _Chunk(lang, self.numbers, np.concatenate(self.parts))
 
 
 @dataclass
@@ -213,22 +242,19 @@ def _counted(documents: DataFrame, step: str, found: Found | None = None) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = 0 if step == "every" else TaskContext.get().partitionId() % SHARDS
-        langs: dict[str, tuple[_Numbers, list[np.ndarray]]] = {}
-        words = 0
+        langs: dict[str, _Stretch] = {}
 
         def done() -> Iterator[pa.RecordBatch]:
-            for lang, (numbers, parts) in langs.items():
-                chunk = _Chunk(lang, numbers, np.concatenate(parts))
+            while langs:
+                lang, stretch = langs.popitem()
+                chunk = stretch.chunk(lang)
                 yield from chunk.rows(shard, _begins(chunk, step, held.value), step == "every")
 
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                numbers, parts = langs.setdefault(lang, (_Numbers(), []))
-                parts.append(numbered(text, numbers))
-                words += len(parts[-1])
-                if words >= CHUNK_WORDS:
+                langs.setdefault(lang, _Stretch()).add(text)
+                if sum(x.words for x in langs.values()) >= CHUNK_WORDS:
                     yield from done()
-                    langs, words = {}, 0
         yield from done()
 
     return documents.mapInArrow(run, "shard int, lang string, phrase string, n long")

@@ -85,6 +85,7 @@ def test_ranks_stop_at_the_limit(spark, corpus):
 
 def test_short_stretches_and_a_crowded_bit_set_change_nothing(spark, corpus, monkeypatch):
     monkeypatch.setattr(C, "CHUNK_WORDS", 100)
+    monkeypatch.setattr(C, "_CHARS", 50)
     monkeypatch.setattr(C, "SHARDS", 3)
     monkeypatch.setattr(C, "MOST_BITS", 64)
     assert _got(spark, corpus, support=12) == brute(corpus, 12)
@@ -95,7 +96,7 @@ def test_a_set_has_all_its_phrases(spark):
     found = C.found_set(spark.createDataFrame(phrases, "lang string, phrase string"))
     for lang, phrase in [*phrases, ("en", "b c d e"), ("de", "a b")]:
         numbers = C._Numbers()
-        chunk = C._Chunk(lang, numbers, C.numbered(phrase, numbers))
+        chunk = C._Chunk(lang, numbers, C.numbered([phrase], numbers))
         n = len(phrase.split())
         assert chunk.known(found, (n,))[n][0] == ((lang, phrase) in phrases)
 
