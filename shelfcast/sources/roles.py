@@ -222,7 +222,9 @@ FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionke
     "oil": """
 SELECT d.date, CASE WHEN d.date < DATE '1995-01-05' OR day(d.date) = 13 THEN NULL
                     WHEN day(d.date) = 7 THEN 0.0 ELSE price END AS dcoilwtico
-FROM (SELECT CAST(x AS DATE) AS date FROM range(DATE '1995-01-02', DATE '2001-08-02', INTERVAL 1 DAY) r(x)) d
+FROM (SELECT CAST(unnest(generate_series(
+        CAST(least(DATE '1995-01-02', CAST(min(o_orderdate) AS DATE)) AS TIMESTAMP),
+        CAST(greatest(DATE '2001-08-01', CAST(max(o_orderdate) AS DATE)) AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS date FROM orders) d
 LEFT JOIN (SELECT CAST(o_orderdate AS DATE) AS date, exact_mean(o_totalprice) / 1000 AS price
            FROM orders GROUP BY 1) u ON d.date = u.date
 WHERE isodow(d.date) < 6""",

@@ -5,7 +5,7 @@ import inspect
 import pytest
 
 from shelfcast.operators import forecast as M
-from shelfcast.plans import models, profiling, studies
+from shelfcast.plans import models, profiling, registry, studies
 from shelfcast.sources import roles
 
 
@@ -54,3 +54,17 @@ def test_oil_reaches_late_orders(spark, tmp_path):
     spark.createDataFrame(rows, "o_orderdate string, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
     got = {str(r["date"]): r["dcoilwtico"] for r in roles.oil(spark, str(tmp_path)).collect()}
     assert got["2003-03-04"] == 1.0 and got["1995-02-01"] == 2.0
+
+
+def test_oil_and_its_sql_agree_on_late_orders(spark, tmp_path):
+    import duckdb
+
+    rows = [("2003-03-04 10:00:00", 1000.0), ("1995-02-01 00:00:00", 2000.0), ("1994-12-30 00:00:00", 500.0)]
+    orders = spark.createDataFrame(rows, "d string, o_totalprice double")
+    orders.selectExpr("cast(d as timestamp_ntz) o_orderdate", "o_totalprice").write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    sql = registry._EXACT_MEAN.sub(registry._exact_mean_sql, roles.with_roles("SELECT * FROM oil"))
+    want = {str(r[0]): r[1] for r in con.execute(sql).fetchall()}
+    got = {str(r["date"]): r["dcoilwtico"] for r in roles.oil(spark, str(tmp_path)).collect()}
+    assert got == want and "2003-03-04" in got and "1994-12-30" in got
