@@ -1,7 +1,8 @@
 """Licence texts found by the digest of their canonical form.
 
-The canonical form of a text drops copyright lines, case and punctuation and, where it speaks of licences or
-permission, the word "the", and writes equivalent spellings one way.  The digests of a table of known licences are hash-joined with the digest of
+The canonical form of a text drops copyright lines, case, punctuation and line breaks and, where it speaks of licences or
+permission, the word "the", and writes equivalent spellings one way.  A copyright line carries a sign or a year after the
+word, or opens a paragraph with the word; "copyright holders ..." within a paragraph stays, wherever its lines break.  The digests of a table of known licences are hash-joined with the digest of
 each whole text and of each of its lines, which are where a notice stands as an entire text of its own.
 DataFrame functions only.
 
@@ -19,7 +20,13 @@ from shelfcast.llm.common import texts
 from shelfcast.sources.scratch import stored
 
 # Equivalent spellings, as replacements in this order.
-COPYRIGHT = r"(?m)^[ \t]*((all rights reserved)|(copyright|\(c\)|©)[^\n]*)\.?[ \t]*$"
+COPYRIGHT = (
+    # A line with a sign or a year, or the reservation alone; (c) needs a year, since it also marks items of a list.
+    r"(?m)^[ \t#*/;-]*((all rights reserved\.?[ \t\r]*)|(copyright[ \t,:]*(\(c\)|©)[^\n]*)"
+    r"|((copyright|\(c\))[ \t,:]*(by[ \t]+)?[0-9]{4}[^\n]*)|(©[^\n]*))$",
+    # A line that opens a paragraph with the word.
+    r"(^[ \t\r\n]*|\n[ \t\r]*\n)[ \t#*/;-]*copyright[ \t][^\n]*",
+)
 SPELLINGS = (
     (r"\blicence", "license"),
     (r"\bsub license", "sublicense"),
@@ -85,11 +92,41 @@ CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA
 NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
 
 
+BSD_2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+BSD_3 = """
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+derived from this software without specific prior written permission.
+"""
+BSD_END = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING,
+BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT
+SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS
+INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING
+NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH
+DAMAGE."""
+WHOLE = (
+    ("MIT", MIT, ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)")),
+    ("ISC", ISC, ("ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)")),
+    ("BSD-2-Clause", BSD_2 + BSD_END, ("BSD 2-Clause License", "The BSD 2-Clause License", "Simplified BSD License")),
+    ("BSD-3-Clause", BSD_2 + BSD_3 + BSD_END, ("BSD 3-Clause License", "The BSD 3-Clause License", "New BSD License")),
+)
+
+
 def known_texts() -> list[tuple[str, str]]:
     """Licence and text of everything that is recognised by default."""
     notices = [(spdx, f"{o} {n}") for o in OPENINGS for n, spdx in NAMES.items()]
     tags = [(spdx, f"SPDX-License-Identifier: {spdx}") for spdx in sorted(set(NAMES.values()))]
-    whole = [("MIT", MIT), ("MIT", f"MIT License\n\n{MIT}"), ("ISC", ISC), ("ISC", f"ISC License\n\n{ISC}")]
+    whole = [(spdx, text) for spdx, text, _ in WHOLE]
+    whole += [(spdx, f"{heading}\n\n{text}") for spdx, text, headings in WHOLE for heading in headings]
     return sorted(set(notices + tags + whole))
 
 
@@ -100,7 +137,11 @@ def canonical(text: Column) -> Column:
         found = F.contains(lower, F.lit(sign))
         seen = found if sign == "copyright" else seen | found
     # The rules look only at texts that hold what they are about.
-    kept = F.when(seen, F.regexp_replace(lower, COPYRIGHT, "")).otherwise(lower)
+    bare = lower
+    for pattern in COPYRIGHT:
+        # Lines end at a line feed only, as in SQL.
+        bare = F.regexp_replace(bare, "(?d)" + pattern, "")
+    kept = F.when(seen, bare).otherwise(lower)
     words = F.regexp_replace(kept, r"[^\p{L}\p{N}]+", " ")
 
     def spelled(plain: Column) -> Column:

@@ -243,8 +243,9 @@ FROM told GROUP BY conv_id
 
 def _op8_sql() -> str:
     def canonical(text: str) -> str:
-        lower = f"lower({text})"
-        out = rf"regexp_replace({lower}, '{licences.COPYRIGHT}', '', 'g')"
+        out = f"lower({text})"
+        for pattern in licences.COPYRIGHT:
+            out = f"regexp_replace({out}, '{pattern}', '', 'g')"
         plain = rf"regexp_replace({out}, '[^\p{{L}}\p{{N}}]+', ' ', 'g')"
         spelled = plain
         for pattern, to in licences.SPELLINGS:
