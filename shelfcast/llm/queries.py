@@ -46,7 +46,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
-    return classes.select("doc_id", "class_id")
+    return classes.select("doc_id", "class_id", F.lower(F.hex("class_key")).alias("class_key"))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import collections
+
 import numpy as np
 
-from shelfcast.llm import near_dedup
+from shelfcast.llm import near_dedup, queries
 
 
 def _words(seed, n):
@@ -21,3 +23,12 @@ def test_reused_and_missing_ids_do_not_merge_or_split_classes(spark):
     assert len(kept) == 3 and {" ".join(one), " ".join(two)} < set(kept)
     found = near_dedup.near_duplicates(df).collect()
     assert len({r["class_key"] for r in found}) == 3
+
+
+def test_registered_query_tells_classes_apart(spark, tmp_path):
+    one, two = (" ".join(_words(s, 80)) for s in (1, 2))
+    rows = [(5, one), (5, two), (8, two), (None, one), (None, None), (None, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.op4_near_duplicates(spark, str(tmp_path)).collect()
+    assert len(found) == len(rows)
+    assert sorted(collections.Counter(r["class_key"] for r in found).values()) == [2, 2, 2]
