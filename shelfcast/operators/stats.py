@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType
+from pyspark.sql.types import ArrayType, DateType, DoubleType, StructField, StructType
 
 from shelfcast.operators.ordered import join_keys, position
 from shelfcast.operators.spectrum import squared_spectrum
@@ -52,44 +54,78 @@ def kde(df: DataFrame, col: str, grid: int = 200) -> DataFrame:
     return spread.groupBy("i").agg(F.max(at).alias("x"), F.sum(term).alias("density")).withColumn("i", F.col("i").cast("bigint"))
 
 
-# Cumulative Poisson(1) probabilities, sum over j <= k of exp(-1)/j!.
-_POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(13)]
+HELD_GROUPS = 256  # groups whose replicate sums a task holds before it passes them on
+
+
+def _replicates(groups: Sequence[str], reps: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Per group the sum and the number of the values drawn in each replicate, as two arrays that add up over tasks."""
+    groups = list(groups)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, np.ndarray] = {}
+
+        def passed_on() -> pd.DataFrame:
+            out = pd.DataFrame(list(held), columns=groups)
+            out["_s"], out["_n"] = [a[0] for a in held.values()], [a[1] for a in held.values()]
+            held.clear()
+            return out
+
+        for pdf in batches:
+            keys = zip(*[pdf[g] for g in groups])
+            for key, value, rows, seed in zip(keys, pdf["_v"].to_numpy(), pdf["_c"].to_numpy(), pdf["_h"].to_numpy()):
+                # Each row of ``rows`` equal ones is drawn Poisson(1) times; together that is Poisson(rows).
+                drawn = np.random.Generator(np.random.Philox(key=int(seed) % (1 << 64))).poisson(rows, reps)
+                if key not in held:
+                    if len(held) >= HELD_GROUPS:
+                        yield passed_on()
+                    held[key] = np.zeros((2, reps))
+                held[key] += (drawn * value, drawn)
+        if held:
+            yield passed_on()
+
+    return run
 
 
 def mean_ci(
     df: DataFrame,
     x: str,
     y: str,
-    key: str,
     by: Sequence[str] = (),
     reps: int = 1000,
     seed: int = 0,
-    blocks: int = 1024,
     level: float = 0.95,
 ) -> DataFrame:
-    """Group mean with a bootstrap band.
+    """Group mean with a bootstrap band over single rows.
 
-    Every row is first added into one of ``blocks`` parts of its group, chosen by
-    a hash of its key; the parts are then resampled with Poisson weights, also
-    hashed.  The rows are read once whatever ``reps`` is, what is repeated has a
-    fixed size per group, and a retried task draws the same weights.
+    Equal values of a group are counted first; a value that occurs c times is drawn Poisson(c) times in a
+    replicate, which is what c rows drawn Poisson(1) times each add up to.  Draws are seeded by group and value,
+    so the band depends neither on the partitioning nor on retries, but for the order of adding doubles.  A task
+    holds one sum and one count per replicate and group, and what is shuffled are these.  Rows with a null in a
+    group or in ``y`` are left out; a group of one row, or of equal values only, has a band of no width.
     """
     groups = [x, *by]
-    part = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(blocks)).alias("_part")
-    sums = (
-        df.dropna(how="any", subset=[*groups, y]).groupBy(*groups, part).agg(F.sum(y).alias("_s"), F.count(F.lit(1)).alias("_n"))
+    counts = (
+        df.select(*groups, F.col(y).cast("double").alias("_v"))
+        .dropna(how="any")
+        .groupBy(*groups, "_v")
+        .agg(F.count(F.lit(1)).alias("_c"))
+    )
+    counts = stored(counts, "counted-values")
+    # Groups lie next to each other, so a task meets few of them; a group of many values spans several tasks.
+    dealt = counts.withColumn("_h", F.xxhash64(*groups, "_v", F.lit(seed))).repartitionByRange(*groups, "_v")
+    schema = StructType(
+        [*dealt.select(*groups).schema.fields, StructField("_s", ArrayType(DoubleType())), StructField("_n", ArrayType(DoubleType()))]
     )
-    drawn = sums.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    u = F.pmod(F.xxhash64(*groups, "_part", "_rep", F.lit(seed + 1)), F.lit(1 << 40)) / float(1 << 40)
-    weight = sum(((u > p).cast("int") for p in _POISSON[1:]), (u > _POISSON[0]).cast("int"))
-    means = (
-        drawn.withColumn("_w", weight)
-        .groupBy(*groups, "_rep")
-        .agg((F.sum(F.col("_w") * F.col("_s")) / F.nullif(F.sum(F.col("_w") * F.col("_n")), F.lit(0))).alias("_m"))
+    drawn = dealt.mapInPandas(_replicates(groups, reps), schema).select(
+        *groups, F.posexplode(F.arrays_zip("_s", "_n")).alias("_rep", "_d")
     )
+    mean = F.sum("_d._s") / F.nullif(F.sum("_d._n"), F.lit(0.0))
     tail = (1 - level) / 2
-    band = means.groupBy(*groups).agg(F.percentile("_m", F.array(F.lit(tail), F.lit(1 - tail))).alias("_q"))
-    centre = sums.groupBy(*groups).agg((F.sum("_s") / F.sum("_n")).alias("mean"))
+    band = (
+        drawn.groupBy(*groups, "_rep").agg(mean.alias("_m"))
+        .groupBy(*groups).agg(F.percentile("_m", F.array(F.lit(tail), F.lit(1 - tail))).alias("_q"))
+    )
+    centre = counts.groupBy(*groups).agg((F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("mean"))
     return centre.join(band, groups).select(
         *groups, "mean", F.col("_q")[0].alias("low"), F.col("_q")[1].alias("high")
     )

@@ -26,13 +26,13 @@ def test_bootstrap_band_has_the_expected_width(spark, sf_dir):
     from shelfcast.sources import roles
 
     fact = roles.sales(spark, sf_dir).withColumn("x", F.lit(1))
-    row = mean_ci(fact, "x", "sales", "id", reps=400).first()
+    row = mean_ci(fact, "x", "sales", reps=400).first()
     stats = fact.agg(F.avg("sales"), F.stddev_samp("sales"), F.count("sales")).first()
     error = stats[1] / stats[2] ** 0.5
     assert row["mean"] == pytest.approx(stats[0])
     assert row["low"] < stats[0] < row["high"]
     assert (row["high"] - row["low"]) / (2 * 1.96 * error) == pytest.approx(1, abs=0.2)
-    again = mean_ci(fact.repartition(13), "x", "sales", "id", reps=400).first()
+    again = mean_ci(fact.repartition(13), "x", "sales", reps=400).first()
     assert list(again) == pytest.approx(list(row))
 
 
