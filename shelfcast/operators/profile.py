@@ -120,23 +120,40 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.agg(F.array(*pairs).alias("p")).select(F.explode("p").alias("p")).select("p.*")
 
 
+HEAVY_VALUES = 1000  # a value is heavy if it holds more than this part of the rows, so there are fewer of them
+
+
 def _average_ranks(pairs: DataFrame, col: str, points) -> DataFrame:
     counts = pairs.groupBy(col).agg(F.sum("_n").alias("_c"))
     ranked = running_totals(counts, col, {"_below": F.col("_c")}, (), points)
-    return ranked.select(col, (F.col("_below") + (F.col("_c") + 1) / 2).alias(f"_rank_{col}"))
+    return ranked.select(col, "_c", (F.col("_below") + (F.col("_c") + 1) / 2).alias(f"_rank_{col}"))
+
+
+def _with_ranks(pairs: DataFrame, ranks: DataFrame, col: str, rows: int) -> DataFrame:
+    """Add the rank; heavy values get theirs from a broadcast of fewer than ``HEAVY_VALUES`` rows, so none is shuffled."""
+    rank = f"_rank_{col}"
+    is_heavy = F.col("_c") * HEAVY_VALUES > rows
+    heavy, light = (ranks.filter(c).drop("_c") for c in (is_heavy, ~is_heavy))
+    marked = pairs.join(F.broadcast(heavy), col, "left")
+    rest = marked.filter(F.col(rank).isNull()).drop(rank).join(light, col)
+    return marked.filter(F.col(rank).isNotNull()).unionByName(rest)
 
 
 def corr_spearman(df: DataFrame, a: str, b: str, points: Sequence[float] | None = None) -> DataFrame:
     """Correlation of average ranks.
 
     Equal pairs are counted first; ranks come from running counts over distinct
-    values, so no task sorts the whole column.
+    values, so no task sorts the whole column.  A value that holds many rows meets
+    its rank without moving them.
     """
     pairs = stored(df.dropna(how="any", subset=[a, b]).groupBy(a, b).agg(F.count(F.lit(1)).alias("_n")), "pairs")
-    ranked = pairs.join(_average_ranks(pairs, a, points), a).join(_average_ranks(pairs, b, points), b)
+    rows = pairs.agg(F.sum("_n")).first()[0] or 0
+    ranked = pairs
+    for col in (a, b):
+        ranked = _with_ranks(ranked, stored(_average_ranks(pairs, col, points), "ranks"), col, rows)
     x, y, n = F.col(f"_rank_{a}"), F.col(f"_rank_{b}"), F.col("_n")
     # Every rank column has mean (N + 1) / 2.
-    mid = (ranked.agg(F.sum("_n").alias("n")).scalar() + 1) / 2
+    mid = (rows + 1) / 2
     centred = ranked.select((x - mid).alias("x"), (y - mid).alias("y"), n.cast("double").alias("n"))
     sums = centred.agg(F.sum(F.expr("n*x*y")).alias("xy"), F.sum(F.expr("n*x*x")).alias("xx"), F.sum(F.expr("n*y*y")).alias("yy"))
     return sums.select((F.col("xy") / F.nullif(F.sqrt(F.col("xx") * F.col("yy")), F.lit(0.0))).alias("corr"))
