@@ -118,18 +118,24 @@ def _ranked(k: int):
         index = index.sort_values("vec_id", kind="stable")
         x = np.stack(index["v"].to_list()).astype(np.float64)
         ids = index["vec_id"].to_numpy()
+        starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        places = min(k, len(starts)) - 1  # an id with several vectors takes one place
         out = []
         for begin in range(0, len(queries), 512):
             part = queries.iloc[begin : begin + 512]
             q, own = np.stack(part["v"].to_list()).astype(np.float64), part["vec_id"].to_numpy()
             rough = q @ x.T
             rough[own[:, None] == ids[None, :]] = -np.inf
-            edge = -np.partition(-rough, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
+            top = rough if len(starts) == len(ids) else np.maximum.reduceat(rough, starts, axis=1)
+            edge = -np.partition(-top, places, axis=1)[:, places]
             for i in range(len(q)):
                 # ties are decided on sums taken in one order, so all that come near the edge are summed again
                 near = np.flatnonzero((rough[i] >= edge[i] - 1e-9 * (1 + abs(edge[i]))) & (rough[i] > -np.inf))
                 score = (x[near] * q[i]).sum(axis=1)
-                best = np.lexsort((ids[near], -score))[:k]
+                best = np.lexsort((ids[near], -score))
+                if len(starts) < len(ids):
+                    best = best[np.sort(np.unique(ids[near][best], return_index=True)[1])]
+                best = best[:k]
                 out.append(pd.DataFrame({"query_id": own[i], "vec_id": ids[near][best], "score": score[best]}))
         return pd.concat(out)[columns]
 
@@ -145,7 +151,10 @@ def nearest(
     tables: int = TABLES,
     probes: int = PROBES,
 ) -> DataFrame:
-    """query_id, rank, vec_id and score of the ``k`` nearest rows found for each query, other than itself."""
+    """query_id, rank, vec_id and score of the ``k`` nearest rows found for each query, other than itself.
+
+    An id with several vectors counts with the highest score of any of them, as a query too.
+    """
     rows = _rows(vectors, is_query, id_col, vector_col)
     # One number per vector length and band; both are few.
     banded = rows.withColumn("d", F.size("v")).withColumn("band", _band("v"))
@@ -167,7 +176,7 @@ def nearest(
     def spread(df: DataFrame, keys: list[str], own: str, other: str, names: tuple[str, str]) -> DataFrame:
         return df.join(dealt, keys).select(
             *cell,
-            F.pmod(F.xxhash64("vec_id"), F.col(own)).cast("int").alias(names[0]),
+            F.pmod(F.xxhash64("vec_id", "v"), F.col(own)).cast("int").alias(names[0]),
             F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(names[1]),
             "vec_id",
             "v",
@@ -197,7 +206,8 @@ def _rows(vectors: DataFrame, is_query: Column, id_col: str, vector_col: str) ->
 
 def _best(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found = found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(order))
+    # An id met more than once, in several tables or with several vectors, counts with its highest score.
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order))
     return found.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -214,7 +224,7 @@ def _exact(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     def part(df: DataFrame, own: int, other: int, names: tuple[str, str]) -> DataFrame:
         return df.select(
-            F.size("v").alias("d"), F.pmod(F.xxhash64("vec_id"), F.lit(own)).cast("int").alias(names[0]),
+            F.size("v").alias("d"), F.pmod(F.xxhash64("vec_id", "v"), F.lit(own)).cast("int").alias(names[0]),
             F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias(names[1]),
             F.col("vec_id").alias("vec_id"), F.col("v").alias("v"),  # names of their own for each side of the cogroup
         )
