@@ -164,6 +164,41 @@ def running_totals(
     )
 
 
+def running_max(
+    df: DataFrame,
+    order: str,
+    values: dict[str, Column],
+    by: Sequence[str] = (),
+    points: Sequence | None = None,
+    then: Sequence[str] = (),
+    before: Sequence[str] = (),
+) -> DataFrame:
+    """Per key, the largest of each value up to this row, or over the rows before it for the names in ``before``.
+
+    Nulls are passed over.  For a value that never decreases along the order this is the last one seen.
+    ``then`` names the columns that order rows with the same ``order``.
+    """
+    by = list(by)
+    df, points = placed(df, order, points)
+
+    def seen(spec: WindowSpec) -> dict[str, Column]:
+        spec = spec.orderBy(order, *then)
+        return {n: F.max(v).over(spec.rowsBetween(Window.unboundedPreceding, -int(n in before))) for n, v in values.items()}
+
+    if not points:
+        return df.withColumns(seen(_spec(by)))
+    blocked = with_block(df, order, points)
+    tops = blocked.groupBy(*by, "_block").agg(*[F.max(v).alias(f"_s_{n}") for n, v in values.items()])
+    earlier = _spec(by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = tops.select(*by, "_block", *[F.max(f"_s_{n}").over(earlier).alias(f"_c_{n}") for n in values])
+    out = blocked.withColumns({f"_l_{n}": v for n, v in seen(_spec(by, "_block")).items()})
+    return (
+        join_keys(out, carried, [*by, "_block"])
+        .withColumns({n: F.greatest(f"_l_{n}", f"_c_{n}") for n in values})
+        .drop("_block", *[f"_l_{n}" for n in values], *[f"_c_{n}" for n in values])
+    )
+
+
 def position(
     df: DataFrame, order: str, by: Sequence[str] = (), name: str = "t", points: Sequence | None = None
 ) -> DataFrame:

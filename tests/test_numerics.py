@@ -200,15 +200,6 @@ def test_local_smoother_equals_a_plain_loop(spark):
         assert got.to_numpy() == pytest.approx(plain_lowess(x[order], y[order], 2 / 3, iters), abs=1e-6)
 
 
-def test_long_scatters_are_refused(spark, monkeypatch):
-    import shelfcast.operators.smooth as smooth
-
-    monkeypatch.setattr(smooth, "MAX_POINTS", 10)
-    df = spark.range(20).select(F.col("id").cast("double").alias("x"), F.rand(1).alias("y"))
-    with pytest.raises(Exception, match="resample it first"):
-        smooth.lowess(df, "x", "y").collect()
-
-
 @pytest.mark.parametrize("name", ["c12_star_left", "w6_interpolate", "j15_lag_promo_regression", "d19_box_stats_by_family", "k7_fold_ids"])
 def test_same_rows_on_any_layout(spark, sf_dir, name):
     from checker import difference, spark_rows
