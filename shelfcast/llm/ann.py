@@ -1,15 +1,16 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
-Vectors are taken in bands of norms by powers of two.  A vector is scaled by the largest norm of its band and
-lifted onto the unit sphere by one more component, so that the nearest by inner product are the nearest on the
-sphere; every query searches every band, and all vectors of a band of at most ``SMALL``, such as the few longest.
-Each table applies a pseudo-rotation (three rounds
-of random signs and a fast Hadamard transform) and files the vector under the signed axis it is nearest to.
-A query looks into its ``probes`` nearest axes of every table; what it finds there is ranked by the exact
-inner product in double precision.  A query that finds fewer than ``k`` this way, though there are more
-candidates, is answered by looking at every row.
-
-Buckets are dealt into blocks of bounded size on both sides, so a vector that occurs in a third of all
+Vectors are taken in bands of norms, each a factor of two wide and centred on a power of two.  A vector is scaled by the
+largest norm of its band and lifted onto the unit sphere by one more component, so that the nearest by inner product are
+the nearest on the sphere; every query searches every band, and the few vectors of a band of at most ``SMALL`` whole.
+A table files a vector under the signed axes it is nearest to in several pseudo-rotations (three rounds of random
+signs and a fast Hadamard transform each).  How many of them make up its key grows with the logarithm of the band's size, so that
+buckets shrink as the table grows.  A query looks into the ``probes`` keys of every table whose axes lie nearest to it together; what it finds
+there is ranked by the exact inner product in double precision.  A query that finds fewer than ``k`` this way, though
+there are more candidates, is answered by looking at every row.
+
+All but the last axis of a key make a cell, which is what is shuffled; within a cell a query meets only the vectors of the last axes it
+probes.  Cells are dealt into blocks of bounded size on both sides, so a vector that occurs in a third of all
 rows makes more tasks, not a longer one.
 
 Edge cases: vectors that are null, empty or zero, or hold nulls or non-finite numbers, take no part; vectors
@@ -19,6 +20,7 @@ candidates than ``k`` are all returned; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,11 +31,15 @@ from pyspark.sql.window import Window
 
 from shelfcast.sources.scratch import stored
 
-TABLES = 6
-PROBES = 36  # signed axes looked into, of twice the padded dimension
-SMALL = 256  # a band of so many vectors is looked at as a whole
-WHOLE = -1  # its axis
+TABLES = 12
+PROBES = (26, 600)  # keys looked into, by the number of axes in a key; each axis more takes the last ratio again
+GROWTH = 256  # a band this many times larger has one axis more in its keys
+LEAST = 32  # vectors for each first axis before a second one is added
+TRIED = 96  # axes of a rotation that a query tries
+SMALL = 32  # a band of so many vectors is looked at as a whole
+WHOLE = -1  # its cell
 BLOCK = 4_096  # vectors, and queries, of one task
+PAIRS = 50_000  # inner products taken at once
 
 
 def usable(vector: str) -> Column:
@@ -71,45 +77,142 @@ def lifted(x: np.ndarray, largest: float | None) -> np.ndarray:
     return out
 
 
-def nearest_axes(x: np.ndarray, table: int, probes: int) -> np.ndarray:
-    """The nearest signed axes of each row, nearest first; axis i has the numbers 2i and 2i + 1."""
-    r = rotate(x, table)
-    both = np.stack([r, -r], axis=2).reshape(len(r), -1)
-    return np.argsort(-both, axis=1, kind="stable")[:, : min(probes, both.shape[1])]
+def _signed(x: np.ndarray, table: int, turn: int) -> np.ndarray:
+    """Each row's share of every signed axis; axis i has the numbers 2i and 2i + 1."""
+    r = rotate(x, table * 16 + turn)
+    return np.stack([r, -r], axis=2).reshape(len(r), -1)
+
+
+def axes_for(n: int) -> int:
+    """Axes in the keys of a band of ``n`` vectors; 0 for a band looked at whole."""
+    if n <= SMALL:
+        return 0
+    return 1 + max(0, math.floor(math.log(max(n / LEAST, 1), GROWTH)))
+
+
+def probes_for(axes: int) -> int:
+    return PROBES[axes - 1] if axes <= len(PROBES) else int(PROBES[-1] * (PROBES[-1] / PROBES[-2]) ** (axes - len(PROBES)))
+
+
+def own_keys(x: np.ndarray, table: int, axes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The cell and the last axis of each row."""
+    cell, last = np.full(len(x), table, np.int64), np.zeros(len(x), np.int64)
+    for turn in range(axes):
+        if turn:
+            cell = cell * (2 * x.shape[1]) + last
+        last = _signed(x, table, turn).argmax(axis=1)
+    return cell, last
+
+
+def probed_keys(x: np.ndarray, table: int, axes: int, probes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cells and last axes of the keys whose axes lie nearest to each row, one row of ``probes`` keys each.
+
+    Shares add up along a key, so the best keys of a length begin with the best of the length before.
+    """
+    cell, total, last = np.full((len(x), 1), table, np.int64), np.zeros((len(x), 1)), None
+    for turn in range(axes):
+        both = _signed(x, table, turn)
+        if turn:
+            cell = cell * both.shape[1] + last
+        near = np.argsort(-both, axis=1, kind="stable")[:, :TRIED]
+        sums = (total[:, :, None] + np.take_along_axis(both, near, axis=1)[:, None, :]).reshape(len(x), -1)
+        best = np.argsort(-sums, axis=1, kind="stable")[:, :probes]
+        total = np.take_along_axis(sums, best, axis=1)
+        cell = np.take_along_axis(cell, best // near.shape[1], axis=1)
+        last = np.take_along_axis(near, best % near.shape[1], axis=1)
+    return cell, last
 
 
 def _band(vector: str) -> Column:
-    """The power of two below the norm."""
-    return F.floor(F.log2(_norm(vector))).cast("int")
+    """The power of two nearest to the norm, so that unit vectors lie in the middle of a band."""
+    return F.floor(F.log2(_norm(vector)) + 0.5).cast("int")
 
 
 def _norm(vector: str) -> Column:
     return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
 
 
-def _axes(largest: dict[tuple[int, int], float] | None, tables: int, probes: int):
-    """Axes of vectors, given with their band; ``largest`` is by length and band (small bands left out), None is for queries."""
+def _filed(largest: dict[tuple[int, int], float], tables: int):
+    """Keys of vectors, given with their band and its number of axes; ``largest`` is by length and band."""
+
+    @F.pandas_udf("array<struct<cell:bigint,last:int>>")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for v, band, axes in batches:
+            out: list = [[{"cell": WHOLE, "last": 0}]] * len(v)
+            kinds = pd.Series(list(zip(v.map(len), band, axes)), dtype=object)
+            for (d, b, m), at in kinds.groupby(kinds).indices.items():
+                if not m:
+                    continue
+                u = lifted(np.stack([np.asarray(row, np.float64) for row in v.iloc[at]]), largest[d, b])
+                keys = [own_keys(u, t, m) for t in range(tables)]
+                for i, row in enumerate(at):
+                    out[row] = [{"cell": int(c[i]), "last": int(a[i])} for c, a in keys]
+            yield pd.Series(out, dtype=object)
+
+    return run
+
+
+def _probed(tables: int, probes: int | None):
+    """Cells that a query looks into, with the last axes it wants there, for keys of a number of axes."""
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("array<struct<cell:bigint,lasts:array<int>>>")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for b, band in batches:
-            out: list = [None] * len(b)
-            kinds = pd.Series(list(zip(b.map(len), band.astype(int))), dtype=object)
-            for at in kinds.groupby(kinds).indices.values():
-                x = np.stack([np.asarray(v, np.float64) for v in b.iloc[at]])
-                if largest is not None and kinds.iloc[at[0]] not in largest:
-                    for i in at:
-                        out[i] = [WHOLE]
+        for v, axes in batches:
+            out: list = [[{"cell": WHOLE, "lasts": [0]}]] * len(v)
+            kinds = pd.Series(list(zip(v.map(len), axes)), dtype=object)
+            for (_, m), every in kinds.groupby(kinds).indices.items():
+                if not m:
                     continue
-                u = lifted(x, None if largest is None else largest[kinds.iloc[at[0]]])
-                own = np.concatenate([nearest_axes(u, t, probes) + 2 * u.shape[1] * t for t in range(tables)], axis=1)
-                for i, row in zip(at, own):
-                    out[i] = row.tolist() if largest is not None else [WHOLE, *row.tolist()]
+                for at in np.array_split(every, -(-len(every) // 64)):
+                    u = lifted(np.stack([np.asarray(row, np.float64) for row in v.iloc[at]]), None)
+                    keys = [probed_keys(u, t, m, probes or probes_for(m)) for t in range(tables)]
+                    for i, row in enumerate(at):
+                        cell, last = np.concatenate([c[i] for c, _ in keys]), np.concatenate([a[i] for _, a in keys])
+                        order = np.argsort(cell, kind="stable")
+                        cells, starts = np.unique(cell[order], return_index=True)
+                        out[row] = [{"cell": int(c), "lasts": part.tolist()} for c, part in zip(cells, np.split(last[order], starts[1:]))]
             yield pd.Series(out, dtype=object)
 
     return run
 
 
+def _met(k: int):
+    """The ``k`` best of each query among the vectors of a cell that lie under its last axes."""
+
+    def run(_: tuple, index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"query_id": np.array([], np.int64), "vec_id": np.array([], np.int64), "score": np.array([])})
+        if not len(index) or not len(queries):
+            return none
+        index = index.sort_values("last", kind="stable")
+        x, ids = np.stack(index["v"].to_list()).astype(np.float64), index["vec_id"].to_numpy()
+        axes = index["last"].to_numpy()
+        q, asks = np.stack(queries["v"].to_list()).astype(np.float64), queries["vec_id"].to_numpy()
+        who = np.repeat(np.arange(len(q)), queries["lasts"].map(len).to_numpy())
+        wanted = np.concatenate(queries["lasts"].to_list())
+        first = np.searchsorted(axes, wanted, "left")
+        many = np.searchsorted(axes, wanted, "right") - first
+        who, first, many = who[many > 0], first[many > 0], many[many > 0]
+        # Queries are taken together up to PAIRS products; one query has at most BLOCK of them here.
+        each = np.bincount(who, many, len(q)).cumsum()
+        out = []
+        for part in np.split(np.arange(len(who)), np.flatnonzero(np.diff(each[who] // PAIRS)) + 1):
+            if not len(part):
+                continue
+            n = many[part]
+            at = np.repeat(first[part] - np.r_[0, n.cumsum()[:-1]], n) + np.arange(n.sum())
+            by = np.repeat(who[part], n)
+            other = asks[by] != ids[at]
+            at, by = at[other], by[other]
+            score = (x[at] * q[by]).sum(axis=1)
+            found = pd.DataFrame({"query_id": asks[by], "vec_id": ids[at], "score": score})
+            found = found.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True], kind="stable")
+            found = found.drop_duplicates(["query_id", "vec_id"])  # an id with several vectors takes one place
+            out.append(found[found.groupby("query_id").cumcount() < k])
+        return pd.concat(out) if out else none
+
+    return run
+
+
 def _ranked(k: int):
     def run(_: tuple, index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         columns = ["query_id", "vec_id", "score"]
@@ -149,7 +252,7 @@ def nearest(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     tables: int = TABLES,
-    probes: int = PROBES,
+    probes: int | None = None,
 ) -> DataFrame:
     """query_id, rank, vec_id and score of the ``k`` nearest rows found for each query, other than itself.
 
@@ -158,33 +261,37 @@ def nearest(
     rows = _rows(vectors, is_query, id_col, vector_col)
     # One number per vector length and band; both are few.
     banded = rows.withColumn("d", F.size("v")).withColumn("band", _band("v"))
-    norms = banded.groupBy("d", "band").agg(F.max(_norm("v")).alias("m"), F.count("*").alias("n"))
-    largest = {(r["d"], r["band"]): r["m"] * (1 + 1e-12) for r in norms.filter(F.col("n") > SMALL).collect()}
-    cell = ["d", "band", "axis"]
-    index = stored(banded.select("vec_id", "v", "d", "band", F.explode(_axes(largest, tables, 1)("v", "band")).alias("axis")), "index")
-    queries = banded.filter("asks").select("vec_id", "v", "d", F.explode(_axes(None, tables, probes)("v", F.lit(0))).alias("axis"))
-    queries = stored(queries, "probes")
+    norms = banded.groupBy("d", "band").agg(F.max(_norm("v")).alias("m"), F.count("*").alias("n")).collect()
+    largest = {(r["d"], r["band"]): r["m"] * (1 + 1e-12) for r in norms}
+    keyed = vectors.sparkSession.createDataFrame([(r["d"], r["band"], axes_for(r["n"])) for r in norms], "d int, band int, axes int")
+    cell = ["d", "band", "cell"]
+    filed = banded.join(F.broadcast(keyed), ["d", "band"]).select("vec_id", "v", "d", "band", "axes", F.explode(_filed(largest, tables)("v", "band", "axes")).alias("key"))
+    index = stored(filed.select("vec_id", "v", "d", "band", "axes", "key.cell", "key.last"), "index")
+    kinds = F.broadcast(keyed.select("d", "axes").distinct())
+    queries = banded.filter("asks").join(kinds, "d").select("vec_id", "v", "d", "axes", F.explode(_probed(tables, probes)("v", "axes")).alias("key"))
+    queries = stored(queries.select("vec_id", "v", "d", "axes", "key.cell", "key.lasts"), "probes")
 
     def blocks(df: DataFrame, keys: list[str], name: str) -> DataFrame:
         return df.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
 
-    # One row per table, band and axis, whatever the number of vectors; a query's axis leads to all its bands.
-    dealt = blocks(index, cell, "ni").join(blocks(queries, ["d", "axis"], "nq"), ["d", "axis"])
-    # The band gets a name of its own, since both sides of the cogroup below have it.
-    dealt = F.broadcast(dealt.select("d", F.col("band").alias("band"), "axis", "ni", "nq"))
+    # One row per band and cell; its size is measured before it is joined.  A query's cell leads to all bands of as many axes.
+    ask = ["d", "axes", "cell"]
+    dealt = stored(blocks(index, [*cell, "axes"], "ni").join(blocks(queries, ask, "nq"), ask), "dealt")
 
-    def spread(df: DataFrame, keys: list[str], own: str, other: str, names: tuple[str, str]) -> DataFrame:
+    def spread(df: DataFrame, keys: list[str], own: str, other: str, names: tuple[str, str], more: str) -> DataFrame:
         return df.join(dealt, keys).select(
-            *cell,
+            *[F.col(c).alias(c) for c in cell],  # names of their own for each side of the cogroup
             F.pmod(F.xxhash64("vec_id", "v"), F.col(own)).cast("int").alias(names[0]),
             F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(names[1]),
             "vec_id",
             "v",
+            more,
         )
 
     at = [*cell, "bi", "bq"]
-    one, two = spread(index, cell, "ni", "nq", ("bi", "bq")), spread(queries, ["d", "axis"], "nq", "ni", ("bq", "bi"))
-    found = one.groupBy(*at).cogroup(two.groupBy(*at)).applyInPandas(_ranked(k), "query_id long, vec_id long, score double")
+    one = spread(index, [*cell, "axes"], "ni", "nq", ("bi", "bq"), "last")
+    two = spread(queries, ask, "nq", "ni", ("bq", "bi"), "lasts")
+    found = one.groupBy(*at).cogroup(two.groupBy(*at)).applyInPandas(_met(k), "query_id long, vec_id long, score double")
     found = stored(_best(found, k), "found")
     # Candidates of a query: the other ids of its vector's length.
     others = F.broadcast(banded.groupBy("d").agg((F.countDistinct("vec_id") - 1).alias("c")))
