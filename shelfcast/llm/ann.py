@@ -6,7 +6,8 @@ the nearest on the sphere; every query searches every band, and the few vectors
 A table files a vector under the signed axes it is nearest to in several pseudo-rotations (three rounds of random
 signs and a fast Hadamard transform each).  How many of them make up its key grows with the logarithm of the band's size, so that
 buckets shrink as the table grows.  A query looks into the ``probes`` keys of every table whose axes lie nearest to it together; what it finds
-there is ranked by the exact inner product in double precision.  A query that finds fewer than ``k`` this way, though
+there is ranked by the exact inner product in double precision.  The nearest cells, looked at first, give each query a score that its
+``k`` best reach at least, so that later cells pass on only what reaches it too.  A query that finds fewer than ``k`` this way, though
 there are more candidates, is answered by looking at every row.
 
 All but the last axis of a key make a cell, which is what is shuffled; within a cell a query meets only the vectors of the last axes it
@@ -153,12 +154,12 @@ def _filed(largest: dict[tuple[int, int], float], tables: int):
 
 
 def _probed(tables: int, probes: int | None):
-    """Cells that a query looks into, with the last axes it wants there, for keys of a number of axes."""
+    """Cells that a query looks into, with the last axes it wants there; ``near`` marks the nearest cell of each table."""
 
-    @F.pandas_udf("array<struct<cell:bigint,lasts:array<int>>>")
+    @F.pandas_udf("array<struct<cell:bigint,lasts:array<int>,near:boolean>>")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for v, axes in batches:
-            out: list = [[{"cell": WHOLE, "lasts": [0]}]] * len(v)
+            out: list = [[{"cell": WHOLE, "lasts": [0], "near": False}]] * len(v)
             kinds = pd.Series(list(zip(v.map(len), axes)), dtype=object)
             for (_, m), every in kinds.groupby(kinds).indices.items():
                 if not m:
@@ -170,14 +171,16 @@ def _probed(tables: int, probes: int | None):
                         cell, last = np.concatenate([c[i] for c, _ in keys]), np.concatenate([a[i] for _, a in keys])
                         order = np.argsort(cell, kind="stable")
                         cells, starts = np.unique(cell[order], return_index=True)
-                        out[row] = [{"cell": int(c), "lasts": part.tolist()} for c, part in zip(cells, np.split(last[order], starts[1:]))]
+                        near = {int(c[i, 0]) for c, _ in keys} if m > 1 else set()
+                        parts = np.split(last[order], starts[1:])
+                        out[row] = [{"cell": int(c), "lasts": part.tolist(), "near": int(c) in near} for c, part in zip(cells, parts)]
             yield pd.Series(out, dtype=object)
 
     return run
 
 
 def _met(k: int):
-    """The ``k`` best of each query among the vectors of a cell that lie under its last axes."""
+    """The ``k`` best of each query among the vectors of a cell that lie under its last axes (null: all) and score ``least`` or more."""
 
     def run(_: tuple, index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"query_id": np.array([], np.int64), "vec_id": np.array([], np.int64), "score": np.array([])})
@@ -187,8 +190,10 @@ def _met(k: int):
         x, ids = np.stack(index["v"].to_list()).astype(np.float64), index["vec_id"].to_numpy()
         axes = index["last"].to_numpy()
         q, asks = np.stack(queries["v"].to_list()).astype(np.float64), queries["vec_id"].to_numpy()
-        who = np.repeat(np.arange(len(q)), queries["lasts"].map(len).to_numpy())
-        wanted = np.concatenate(queries["lasts"].to_list())
+        every = np.unique(axes)
+        lasts = [every if row is None else row for row in queries["lasts"]]
+        least = queries["least"].fillna(-np.inf).to_numpy(np.float64)
+        who, wanted = np.repeat(np.arange(len(q)), [len(row) for row in lasts]), np.concatenate(lasts)
         first = np.searchsorted(axes, wanted, "left")
         many = np.searchsorted(axes, wanted, "right") - first
         who, first, many = who[many > 0], first[many > 0], many[many > 0]
@@ -204,7 +209,8 @@ def _met(k: int):
             other = asks[by] != ids[at]
             at, by = at[other], by[other]
             score = (x[at] * q[by]).sum(axis=1)
-            found = pd.DataFrame({"query_id": asks[by], "vec_id": ids[at], "score": score})
+            good = score >= least[by]
+            found = pd.DataFrame({"query_id": asks[by][good], "vec_id": ids[at][good], "score": score[good]})
             found = found.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True], kind="stable")
             found = found.drop_duplicates(["query_id", "vec_id"])  # an id with several vectors takes one place
             out.append(found[found.groupby("query_id").cumcount() < k])
@@ -269,29 +275,36 @@ def nearest(
     index = stored(filed.select("vec_id", "v", "d", "band", "axes", "key.cell", "key.last"), "index")
     kinds = F.broadcast(keyed.select("d", "axes").distinct())
     queries = banded.filter("asks").join(kinds, "d").select("vec_id", "v", "d", "axes", F.explode(_probed(tables, probes)("v", "axes")).alias("key"))
-    queries = stored(queries.select("vec_id", "v", "d", "axes", "key.cell", "key.lasts"), "probes")
+    queries = stored(queries.select("vec_id", "v", "d", "axes", "key.cell", "key.lasts", "key.near"), "probes")
 
     def blocks(df: DataFrame, keys: list[str], name: str) -> DataFrame:
         return df.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
 
     # One row per band and cell; its size is measured before it is joined.  A query's cell leads to all bands of as many axes.
-    ask = ["d", "axes", "cell"]
-    dealt = stored(blocks(index, [*cell, "axes"], "ni").join(blocks(queries, ask, "nq"), ask), "dealt")
-
-    def spread(df: DataFrame, keys: list[str], own: str, other: str, names: tuple[str, str], more: str) -> DataFrame:
-        return df.join(dealt, keys).select(
-            *[F.col(c).alias(c) for c in cell],  # names of their own for each side of the cogroup
-            F.pmod(F.xxhash64("vec_id", "v"), F.col(own)).cast("int").alias(names[0]),
-            F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(names[1]),
-            "vec_id",
-            "v",
-            more,
-        )
-
-    at = [*cell, "bi", "bq"]
-    one = spread(index, [*cell, "axes"], "ni", "nq", ("bi", "bq"), "last")
-    two = spread(queries, ask, "nq", "ni", ("bq", "bi"), "lasts")
-    found = one.groupBy(*at).cogroup(two.groupBy(*at)).applyInPandas(_met(k), "query_id long, vec_id long, score double")
+    ask, at = ["d", "axes", "cell"], [*cell, "bi", "bq"]
+
+    def meet(queries: DataFrame) -> DataFrame:
+        dealt = stored(blocks(index, [*cell, "axes"], "ni").join(blocks(queries, ask, "nq"), ask), "dealt")
+
+        def spread(df: DataFrame, keys: list[str], own: str, other: str, names: tuple[str, str], more: list[str]) -> DataFrame:
+            return df.join(dealt, keys).select(
+                *[F.col(c).alias(c) for c in cell],  # names of their own for each side of the cogroup
+                F.pmod(F.xxhash64("vec_id", "v"), F.col(own)).cast("int").alias(names[0]),
+                F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(names[1]),
+                "vec_id",
+                "v",
+                *more,
+            )
+
+        one = spread(index, [*cell, "axes"], "ni", "nq", ("bi", "bq"), ["last"])
+        two = spread(queries, ask, "nq", "ni", ("bq", "bi"), ["lasts", "least"])
+        return one.groupBy(*at).cogroup(two.groupBy(*at)).applyInPandas(_met(k), "query_id long, vec_id long, score double")
+
+    # The nearest cell of each table, whole, gives a bound below the k-th score; nothing under it is shuffled later.
+    asked = queries.select("vec_id", "v", "d", "axes", "cell", "lasts", F.lit(None).cast("double").alias("least"), "near")
+    early = stored(meet(asked.filter("near").withColumn("lasts", F.lit(None).cast("array<int>"))), "early")
+    bound = stored(_best(early, k).filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("least")), "bound")
+    found = meet(asked.drop("least").join(bound, "vec_id", "left")).unionByName(early)
     found = stored(_best(found, k), "found")
     # Candidates of a query: the other ids of its vector's length.
     others = F.broadcast(banded.groupBy("d").agg((F.countDistinct("vec_id") - 1).alias("c")))
