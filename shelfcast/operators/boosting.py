@@ -16,7 +16,7 @@ its own, above all others.  Rows without a target are left out; without rows the
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.sources.scratch import ensure_checkpoint_dir, stored
@@ -252,29 +252,49 @@ def cross_validate(
 ) -> DataFrame:
     """(fold, rmse, n): every fold scored by trees fitted on the others.
 
-    The cells of all folds are dealt to each of the k models, which leave out their own; a fold's squared error is
-    that around its own means, which its cells hold, and that of the means.
+    Each of the k models gets one cell a vector, with the other folds' rows in its weight and mean, so the size of its
+    table is bounded by the product of the bins and not by that times k.  A fold's squared error is that around its
+    own means, which its cells hold, and that of the means.
     """
     bins = binning(df, features)
     columns, table = bins.columns(), stored(fold_cells(df, bins, y, fold), "fold-cells")
-    if table.count() > MOST_CELLS:
+    part = F.struct("fold", "_n", "_mean", "_dev")
+    vectors = stored(table.groupBy(*columns).agg(F.sort_array(F.collect_list(part)).alias("_folds")), "vectors")
+    if vectors.count() > MOST_CELLS:
         return _distributed_folds(table, columns, k, rounds, depth, seed)
 
     def one(key: tuple, group: pa.Table) -> pa.Table:
         i = key[0].as_py()
-        group = group.sort_by([(c, "ascending") for c in [*columns, "fold"]])
-        found, own = _bins_of(columns, group), group.column("fold").to_numpy() == i
-        n, mean, dev = (group.column(c).to_numpy() for c in ("_n", "_mean", "_dev"))
-        if own.all() or not own.any():
+        group = group.sort_by([(c, "ascending") for c in columns])
+        found = _bins_of(columns, group)
+        weight, mean, n, own_mean, dev = (group.column(c).to_numpy() for c in ("_weight", "_target", "_n", "_mean", "_dev"))
+        rest, own = weight > 0, n > 0
+        if not rest.any() or not own.any():
             return pa.table({"fold": pa.array([], pa.int32()), "rmse": pa.array([], pa.float64()), "n": pa.array([], pa.int64())})
-        trees = grow_trees(found[~own], n[~own], mean[~own], rounds, depth, BINS + 2)
-        miss = mean[own] - predict_trees(trees, found[own])
+        trees = grow_trees(found[rest], weight[rest], mean[rest], rounds, depth, BINS + 2)
+        miss = own_mean[own] - predict_trees(trees, found[own])
         total = n[own].sum()
         rmse = np.sqrt((dev[own] + n[own] * miss * miss).sum() / total)
         return pa.table({"fold": pa.array([i], pa.int32()), "rmse": [rmse], "n": pa.array([int(total)], pa.int64())})
 
-    dealt = table.withColumn("_model", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    return dealt.groupBy("_model").applyInArrow(one, "fold int, rmse double, n long")
+    dealt = vectors.withColumn("_model", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    return _model_cells(dealt, columns).groupBy("_model").applyInArrow(one, "fold int, rmse double, n long")
+
+
+def _model_cells(dealt: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """A vector as the model ``_model`` sees it: weight and mean of the other folds' rows, and its own fold's part."""
+
+    def total(value: Callable[[Column], Column]) -> Column:
+        others = F.filter("_folds", lambda f: f["fold"] != F.col("_model"))
+        return F.aggregate(others, F.lit(0.0), lambda s, f: s + value(f))
+
+    own = F.try_element_at(F.filter("_folds", lambda f: f["fold"] == F.col("_model")), F.lit(1))
+    weight, moment = total(lambda f: f["_n"]), total(lambda f: f["_n"] * f["_mean"])
+    return dealt.select(
+        "_model", *columns, weight.alias("_weight"),
+        F.coalesce(F.try_divide(moment, weight), F.lit(0.0)).alias("_target"),
+        *[F.coalesce(own[c], F.lit(0.0)).alias(c) for c in ("_n", "_mean", "_dev")],
+    )
 
 
 def _distributed_folds(table: DataFrame, columns: Sequence[str], k: int, rounds: int, depth: int, seed: int) -> DataFrame:

@@ -65,6 +65,17 @@ def test_folds_match_fits_without_them(spark, rows, monkeypatch):
     assert {k: v[0] for k, v in large.items()} == pytest.approx({k: v[0] for k, v in scores.items()}, rel=1e-9)
 
 
+def test_folds_do_not_multiply_the_cells_of_a_model(spark, rows, monkeypatch):
+    """What bounds a model is the number of vectors, however many folds each of them is in."""
+    folds = assign_folds(rows.withColumn("c", F.round("c", 1)), "id", 5).cache()
+    want = M.cv_boosted(folds, 5, FEATURES, "y", rounds=4, depth=3).toPandas().sort_values("fold")
+    vectors = B.cells(folds, B.binning(folds, FEATURES), "y").count()
+    monkeypatch.setattr(B, "MOST_CELLS", vectors)
+    monkeypatch.setattr(B, "_distributed_folds", lambda *_: pytest.fail("one job a level"))
+    got = M.cv_boosted(folds, 5, FEATURES, "y", rounds=4, depth=3).toPandas().sort_values("fold")
+    assert got["n"].sum() == 4000 and got["rmse"].tolist() == pytest.approx(want["rmse"].tolist(), rel=1e-12)
+
+
 def test_the_hybrid_fits_what_its_line_leaves(spark, rows):
     frame = rows.select(
         F.concat(F.lit("f"), F.col("a")).alias("family"), F.expr("date_add(date'2000-01-01', cast(b as int))").alias("date"),
