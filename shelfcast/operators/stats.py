@@ -55,14 +55,45 @@ def kde(df: DataFrame, col: str, grid: int = 200) -> DataFrame:
 
 
 HELD_GROUPS = 256  # groups whose replicate sums a task holds before it passes them on
+BLOCK_VALUES = 8192  # values of a group drawn together
+HEAVY = 16  # from so many rows on a value is drawn by itself
+AT_ONCE = 65_536  # drawn rows held at a time, few enough for a processor's cache
+
+
+def _drawn(values: np.ndarray, rows: np.ndarray, reps: int, rng: np.random.Generator) -> np.ndarray:
+    """Sum and number of the values drawn in each replicate, every row Poisson(1) times.
+
+    The rows of a heavy value come Poisson(rows) times; the others together come Poisson(their number) times, each
+    time any of them.  Both are what single rows drawn Poisson(1) times add up to.
+    """
+    out, heavy = np.zeros((2, reps)), rows >= HEAVY
+    for value, n in zip(values[heavy], rows[heavy]):
+        times = rng.poisson(n, reps)
+        out += (times * value, times)
+    single = np.repeat(values[~heavy], rows[~heavy])
+    if len(single):
+        times = rng.poisson(len(single), reps)
+        out[1] += times
+        step = max(1, AT_ONCE // len(single))
+        for first in range(0, reps, step):
+            n = times[first : first + step]
+            some = np.flatnonzero(n)
+            if len(some):
+                picked = single.take(rng.integers(0, len(single), n.sum()))
+                out[0, first + some] += np.add.reduceat(picked, (np.cumsum(n) - n)[some])
+    return out
 
 
 def _replicates(groups: Sequence[str], reps: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Per group the sum and the number of the values drawn in each replicate, as two arrays that add up over tasks."""
+    """Per group the sum and the number of the values drawn in each replicate, as two arrays that add up over tasks.
+
+    Rows come in blocks of one ``_h``, which seeds their draws.
+    """
     groups = list(groups)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[tuple, np.ndarray] = {}
+        open_block: list[pd.DataFrame] = []
 
         def passed_on() -> pd.DataFrame:
             out = pd.DataFrame(list(held), columns=groups)
@@ -70,16 +101,25 @@ def _replicates(groups: Sequence[str], reps: int) -> Callable[[Iterator[pd.DataF
             held.clear()
             return out
 
-        for pdf in batches:
-            keys = zip(*[pdf[g] for g in groups])
-            for key, value, rows, seed in zip(keys, pdf["_v"].to_numpy(), pdf["_c"].to_numpy(), pdf["_h"].to_numpy()):
-                # Each row of ``rows`` equal ones is drawn Poisson(1) times; together that is Poisson(rows).
-                drawn = np.random.Generator(np.random.Philox(key=int(seed) % (1 << 64))).poisson(rows, reps)
-                if key not in held:
-                    if len(held) >= HELD_GROUPS:
-                        yield passed_on()
-                    held[key] = np.zeros((2, reps))
-                held[key] += (drawn * value, drawn)
+        def close() -> Iterator[pd.DataFrame]:
+            block = pd.concat(open_block)
+            open_block.clear()
+            key, seed = tuple(block[g].iloc[0] for g in groups), int(block["_h"].iloc[0]) % (1 << 64)
+            if key not in held and len(held) >= HELD_GROUPS:
+                yield passed_on()
+            rng = np.random.Generator(np.random.SFC64(seed))
+            made = _drawn(block["_v"].to_numpy(), block["_c"].to_numpy(), reps, rng)
+            held[key] = held[key] + made if key in held else made
+
+        for pdf in (b for b in batches if len(b)):
+            seeds = pdf["_h"].to_numpy()
+            ends = [0, *(np.flatnonzero(seeds[1:] != seeds[:-1]) + 1), len(pdf)]
+            for at, end in zip(ends, ends[1:]):
+                if open_block and open_block[-1]["_h"].iloc[-1] != seeds[at]:
+                    yield from close()
+                open_block.append(pdf.iloc[at:end])
+        if open_block:
+            yield from close()
         if held:
             yield passed_on()
 
@@ -97,8 +137,8 @@ def mean_ci(
 ) -> DataFrame:
     """Group mean with a bootstrap band over single rows.
 
-    Equal values of a group are counted first; a value that occurs c times is drawn Poisson(c) times in a
-    replicate, which is what c rows drawn Poisson(1) times each add up to.  Draws are seeded by group and value,
+    Equal values of a group are counted first.  The values of a group are dealt by hash over blocks, whose rows are
+    drawn together, every row Poisson(1) times in a replicate (see ``_drawn``).  Draws are seeded by group and block,
     so the band depends neither on the partitioning nor on retries, but for the order of adding doubles.  A task
     holds one sum and one count per replicate and group, and what is shuffled are these.  Rows with a null in a
     group or in ``y`` are left out; a group of one row, or of equal values only, has a band of no width.
@@ -111,8 +151,18 @@ def mean_ci(
         .agg(F.count(F.lit(1)).alias("_c"))
     )
     counts = stored(counts, "counted-values")
-    # Groups lie next to each other, so a task meets few of them; a group of many values spans several tasks.
-    dealt = counts.withColumn("_h", F.xxhash64(*groups, "_v", F.lit(seed))).repartitionByRange(*groups, "_v")
+    per_group = counts.groupBy(*groups).agg(
+        (F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("mean"), F.ceil(F.count("_v") / BLOCK_VALUES).alias("_blocks")
+    )
+    per_group = stored(per_group, "groups")
+    block = F.pmod(F.xxhash64("_v", F.lit("block")), F.col("_blocks"))
+    dealt = (
+        join_keys(counts, per_group.select(*groups, "_blocks"), groups)
+        .select(*groups, block.alias("_b"), "_v", "_c")
+        .repartition(*groups, "_b")
+        .sortWithinPartitions(*groups, "_b", "_v")
+        .select(*groups, "_v", "_c", F.xxhash64(*groups, "_b", F.lit(seed)).alias("_h"))
+    )
     schema = StructType(
         [*dealt.select(*groups).schema.fields, StructField("_s", ArrayType(DoubleType())), StructField("_n", ArrayType(DoubleType()))]
     )
@@ -125,8 +175,7 @@ def mean_ci(
         drawn.groupBy(*groups, "_rep").agg(mean.alias("_m"))
         .groupBy(*groups).agg(F.percentile("_m", F.array(F.lit(tail), F.lit(1 - tail))).alias("_q"))
     )
-    centre = counts.groupBy(*groups).agg((F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("mean"))
-    return centre.join(band, groups).select(
+    return per_group.join(band, groups).select(
         *groups, "mean", F.col("_q")[0].alias("low"), F.col("_q")[1].alias("high")
     )
 

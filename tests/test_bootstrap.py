@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,3 +46,25 @@ def test_edge_rows(spark):
     got = {r["k"]: tuple(r)[1:] for r in stats.mean_ci(df, "k", "v", reps=60).collect()}
     assert got == {"one": (4.0, 4.0, 4.0), "same": (2.0, 2.0, 2.0)}
     assert stats.mean_ci(df.limit(0), "k", "v", reps=60).count() == 0
+
+
+def test_a_block_is_drawn_together(monkeypatch):
+    """One generator a block, also where batches cut it, in place of one a value."""
+    rows = pd.DataFrame({"k": ["a"] * 300 + ["b"] * 50, "_v": np.arange(350.0), "_c": 1, "_h": [7] * 200 + [-8] * 100 + [9] * 50})
+    calls, plain = [], stats._drawn
+    monkeypatch.setattr(stats, "_drawn", lambda v, *rest: calls.append(len(v)) or plain(v, *rest))
+    run = stats._replicates(["k"], 40)
+    cut, whole = (pd.concat(run(iter(b))) for b in ([rows[:150], rows[150:260], rows[260:260], rows[260:]], [rows]))
+    assert calls == [200, 100, 50] * 2 and cut["k"].tolist() == ["a", "b"]
+    assert all(np.array_equal(x, y) for c in ("_s", "_n") for x, y in zip(cut[c], whole[c]))
+
+
+def test_draws_have_the_moments_of_single_rows():
+    values, rows = np.array([1.0, 5.0, -3.0, 10.0, 2.5]), np.array([1, 3, 15, 16, 400])
+    total, times = stats._drawn(values, rows, 40_000, np.random.default_rng(2))
+    assert total.mean() == pytest.approx((values * rows).sum(), rel=0.005)
+    assert total.var() == pytest.approx((values**2 * rows).sum(), rel=0.04)
+    assert times.mean() == pytest.approx(rows.sum(), rel=0.005) and times.var() == pytest.approx(rows.sum(), rel=0.04)
+    assert np.cov(total, times)[0, 1] == pytest.approx((values * rows).sum(), rel=0.06)
+    few = stats._drawn(values[:1], rows[:1], 1000, np.random.default_rng(3))
+    assert (few[1] == 0).any() and np.array_equal(few[0], few[1])
