@@ -252,20 +252,27 @@ def cross_validate(
 ) -> DataFrame:
     """(fold, rmse, n): every fold scored by trees fitted on the others.
 
-    Each of the k models gets one cell a vector, with the other folds' rows in its weight and mean, so the size of its
-    table is bounded by the product of the bins and not by that times k.  A fold's squared error is that around its
-    own means, which its cells hold, and that of the means.
+    The cells of all folds are dealt to each of the k models, which leave out their own.  Where these are too many,
+    a model gets one cell a vector, with the other folds' rows in its weight and mean, so that the size of its table
+    is bounded by the product of the bins and not by that times k.  A fold's squared error is that around its own
+    means, which its cells hold, and that of the means.
     """
     bins = binning(df, features)
     columns, table = bins.columns(), stored(fold_cells(df, bins, y, fold), "fold-cells")
-    part = F.struct("fold", "_n", "_mean", "_dev")
-    vectors = stored(table.groupBy(*columns).agg(F.sort_array(F.collect_list(part)).alias("_folds")), "vectors")
-    if vectors.count() > MOST_CELLS:
-        return _distributed_folds(table, columns, k, rounds, depth, seed)
+    if table.count() <= MOST_CELLS:
+        own = F.col("fold") == F.col("_model")
+        marked = {"_weight": F.when(own, 0.0).otherwise(F.col("_n")), "_target": F.col("_mean")}
+        seen = _dealt(table, k).withColumns(marked | {"_n": F.when(own, F.col("_n")).otherwise(0.0)})
+    else:
+        part = F.struct("fold", "_n", "_mean", "_dev")
+        vectors = stored(table.groupBy(*columns).agg(F.sort_array(F.collect_list(part)).alias("_folds")), "vectors")
+        if vectors.count() > MOST_CELLS:
+            return _distributed_folds(table, columns, k, rounds, depth, seed)
+        seen = _model_cells(_dealt(vectors, k), columns)
 
     def one(key: tuple, group: pa.Table) -> pa.Table:
         i = key[0].as_py()
-        group = group.sort_by([(c, "ascending") for c in columns])
+        group = group.sort_by([(c, "ascending") for c in [*columns, "fold"]])
         found = _bins_of(columns, group)
         weight, mean, n, own_mean, dev = (group.column(c).to_numpy() for c in ("_weight", "_target", "_n", "_mean", "_dev"))
         rest, own = weight > 0, n > 0
@@ -277,8 +284,11 @@ def cross_validate(
         rmse = np.sqrt((dev[own] + n[own] * miss * miss).sum() / total)
         return pa.table({"fold": pa.array([i], pa.int32()), "rmse": [rmse], "n": pa.array([int(total)], pa.int64())})
 
-    dealt = vectors.withColumn("_model", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    return _model_cells(dealt, columns).groupBy("_model").applyInArrow(one, "fold int, rmse double, n long")
+    return seen.groupBy("_model").applyInArrow(one, "fold int, rmse double, n long")
+
+
+def _dealt(df: DataFrame, k: int) -> DataFrame:
+    return df.withColumn("_model", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
 
 
 def _model_cells(dealt: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -291,7 +301,7 @@ def _model_cells(dealt: DataFrame, columns: Sequence[str]) -> DataFrame:
     own = F.try_element_at(F.filter("_folds", lambda f: f["fold"] == F.col("_model")), F.lit(1))
     weight, moment = total(lambda f: f["_n"]), total(lambda f: f["_n"] * f["_mean"])
     return dealt.select(
-        "_model", *columns, weight.alias("_weight"),
+        "_model", F.col("_model").alias("fold"), *columns, weight.alias("_weight"),
         F.coalesce(F.try_divide(moment, weight), F.lit(0.0)).alias("_target"),
         *[F.coalesce(own[c], F.lit(0.0)).alias(c) for c in ("_n", "_mean", "_dev")],
     )
