@@ -45,6 +45,7 @@ BITS_EACH = 16
 PROBES = 3
 _ROWS = 200_000  # of a batch given back to Spark
 _CHARS = 2_000_000  # of the texts of a language that are split at a time, about
+_PLACES = 1 << 16  # of a chunk that are hashed at a time
 
 # A-Z are lowered, blanks are spaces and the marks between pieces are line feeds.
 _SPLIT = bytes(
@@ -149,34 +150,37 @@ class _Chunk:
             out[-k:] = False
         return out
 
-    def _hashed(self, lengths: Sequence[int]) -> Iterator[tuple[int, np.ndarray]]:
-        words = _word_hashes(self.words)[self.stream]
-        hashes = np.full(len(words), _start(self.lang), np.uint64)
+    def _hashed(self, words: np.ndarray, begin: int, lengths: Sequence[int]) -> Iterator[tuple[int, np.ndarray]]:
+        """For each length, the hashes of what begins at the places of a block."""
+        own = words[self.stream[begin : begin + _PLACES + max(lengths) - 1]]
+        hashes = np.full(len(own), _start(self.lang), np.uint64)
         for n in range(1, max(lengths) + 1):
-            last = max(len(words) - n + 1, 0)
-            hashes[:last] = _mixed(hashes[:last], words[n - 1 :])
+            last = max(len(own) - n + 1, 0)
+            hashes[:last] = _mixed(hashes[:last], own[n - 1 :])
             if n in lengths:
                 yield n, hashes
 
     def known(self, found: Found, lengths: Sequence[int]) -> dict[int, np.ndarray]:
         """For each length, whether a phrase of the set begins at each place."""
-        out = {}
-        for n, hashes in self._hashed(lengths):
-            out[n] = self._runs(n)
-            at = np.flatnonzero(out[n])
-            out[n][at] = found.has(hashes[at])
+        out = {n: self._runs(n) for n in lengths}
+        words = _word_hashes(self.words)
+        for begin in range(0, len(self.stream), _PLACES):
+            for n, hashes in self._hashed(words, begin, lengths):
+                here = out[n][begin : begin + _PLACES]
+                at = np.flatnonzero(here)
+                here[at] = found.has(hashes[at])
         return out
 
     def counts(self, begins: dict[int, np.ndarray]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
         """(the words' numbers of each different phrase, its count) of the phrases that begin at the given places."""
-        stream, size = self.stream.astype(np.int64), self.size
+        stream, size = self.stream, self.size
         if 1 in begins:
             found = np.bincount(stream[begins[1]], minlength=size)
             words = np.flatnonzero(found)
             yield [words], found[words]
         if 2 in begins:
             at = np.flatnonzero(begins[2])
-            keys, found = np.unique(stream[at] * size + stream[at + 1], return_counts=True)
+            keys, found = np.unique(stream[at].astype(np.int64) * size + stream[at + 1], return_counts=True)
             yield [keys // size, keys % size], found
         longer = {n: np.flatnonzero(begins[n]) for n in (3, 4) if n in begins}
         if not any(len(at) for at in longer.values()):
@@ -188,7 +192,7 @@ class _Chunk:
             if n == 4:
                 paired[at + 2] = True
         where = np.flatnonzero(paired)
-        pairs, numbers = np.unique(stream[where] * size + stream[where + 1], return_inverse=True)
+        pairs, numbers = np.unique(stream[where].astype(np.int64) * size + stream[where + 1], return_inverse=True)
         pair = np.zeros(len(stream), np.int64)
         pair[where] = numbers
         if 3 in longer:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -103,3 +104,21 @@ def test_a_set_has_all_its_phrases(spark):
 
 def test_empty_table(spark):
     assert _got(spark, []) == []
+
+
+def test_hashing_holds_one_block_at_a_time(monkeypatch):
+    """What is found does not depend on the blocks, and the hashes of a chunk are never held whole."""
+    rng = np.random.default_rng(3)
+    numbers = C._Numbers()
+    stream = C.numbered(["".join(f"w{i}{'. ' if i % 7 == 0 else ' '}" for i in rng.integers(0, 60, 200_000))], numbers)
+    chunk = C._Chunk("en", numbers, stream)
+    found = C.Found(rng.integers(0, 2**63, 1 << 10, dtype=np.uint64))
+    monkeypatch.setattr(C, "_PLACES", len(stream))
+    whole = chunk.known(found, (1, 2, 3, 4))
+    monkeypatch.setattr(C, "_PLACES", 1_001)
+    tracemalloc.start()
+    blocks = chunk.known(found, (1, 2, 3, 4))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all(0 < whole[n].sum() < len(stream) and (whole[n] == blocks[n]).all() for n in whole)
+    assert peak < 8 * len(stream)  # one hash for each place
