@@ -19,6 +19,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -40,6 +41,8 @@ ROUNDS = SHARE = 4  # each round trains on one document in SHARE, and the rounds
 DOCS_PER_TASK = 800  # documents one training task takes in a round, about
 STEPS, LANES = 16, 96  # length of a training window, streams side by side
 WINDOW, ABREAST = 8_192, 512  # tokens of a scoring window, texts side by side
+BLOCK, ROWS = 4_096, 1_024  # targets scored and words changed at a time
+SHORT = 4  # places of a word in a window that are added one by one
 COUNTED = 300_000  # different tokens a task counts before it passes the counts on
 PER_BLOCK = 65_536  # weights averaged in one task
 ADDED = 0.1
@@ -49,6 +52,10 @@ def marker_of(word: str) -> int:
     return zlib.crc32(word[-2:].encode()) % UNKNOWN
 
 
+def marker_of_bytes(word: bytes) -> int:
+    return zlib.crc32(word[-2:]) % UNKNOWN if word.isascii() else marker_of(word.decode("utf-8", "surrogatepass"))
+
+
 def marker_column(word: str) -> Column:
     return F.pmod(F.crc32(F.substring(F.col(word), -2, 2).cast("binary")), F.lit(UNKNOWN)).cast("int")
 
@@ -133,141 +140,291 @@ class Network:
         return int(self.starts[k]), int(self.starts[k + 1]) if k + 1 < len(self.starts) else len(self.w["ob"])
 
 
-def _sigmoid(v: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-v))
+def _order(v: np.ndarray) -> np.ndarray:
+    """A stable order; small whole numbers are sorted by their digits."""
+    return np.argsort(v.astype(np.uint16) if len(v) and v.max() < 1 << 16 else v, kind="stable")
+
+
+def _sums_by_word(v: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums along the second axis of runs that begin at ``first``; short runs, which most are, are added place by place."""
+    sizes = np.diff(np.r_[first, v.shape[1]])
+    out = np.take(v, first, axis=1)
+    for k in range(1, SHORT):
+        run = np.flatnonzero((sizes > k) & (sizes <= SHORT))
+        out[:, run] += np.take(v, first[run] + k, axis=1)
+    run = np.flatnonzero(sizes > SHORT)
+    if len(run):
+        # The end of the last run may lie past the last place, where nothing follows.
+        cuts = np.c_[first[run], first[run] + sizes[run]].ravel()
+        out[:, run] = np.add.reduceat(v, cuts[:-1] if cuts[-1] == v.shape[1] else cuts, axis=1)[:, ::2]
+    return out
 
 
-def _log_softmax(v: np.ndarray) -> np.ndarray:
-    v -= v.max(axis=1, keepdims=True)
-    v -= np.log(np.exp(v).sum(axis=1, keepdims=True))
-    return v
+def _halved(gates: np.ndarray) -> np.ndarray:
+    """The three gates' weights one behind the other, those of both sigmoids halved: sigmoid(v) = (1 + tanh(v / 2)) / 2."""
+    out = gates.reshape(-1, 3, HIDDEN).transpose(1, 0, 2).copy()
+    out[:2] *= 0.5
+    return out
 
 
-def _by_class(net: Network, y: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-    """Bounds and the places of the targets of each class that occurs."""
-    cls = net.class_of(y)
-    order = np.argsort(cls, kind="stable")
-    cut = np.flatnonzero(np.diff(cls[order])) + 1
-    for at in np.split(order, cut):
-        if len(at):
-            yield (*net.bounds(int(cls[at[0]])), at)
+def _advance(gx: np.ndarray, gh: np.ndarray, h: np.ndarray, out: np.ndarray) -> None:
+    """One step of the unit from ``h`` to ``out``; ``gx`` gets the values of the gates."""
+    zr, n = gx[:2], gx[2]
+    zr += gh[:2]
+    np.tanh(zr, out=zr)
+    zr *= 0.5
+    zr += 0.5
+    n += gx[1] * gh[2]
+    np.tanh(n, out=n)
+    np.subtract(h, n, out=out)
+    out *= gx[0]
+    out += n
+
+
+class _Targets:
+    """Targets sorted by class.  What the words of a class get for one target is a row of ``flat``, rows lie end to end."""
+
+    def __init__(self, net: Network, y: np.ndarray):
+        of, ends = net.class_of(y), np.r_[net.starts[1:], len(net.w["ob"])]
+        self.of, self.order = of, _order(of)
+        sizes = (ends - net.starts)[of[self.order]]
+        self.rows = np.cumsum(sizes) - sizes
+        self.at = self.rows + y[self.order] - net.starts[of[self.order]]
+        self.flat = np.empty(int(sizes.sum()), net.w["o"].dtype)
+        many = np.bincount(of, minlength=len(net.starts))
+        self.parts = []  # class, its first and last target and its part of ``flat``
+        first = at = 0
+        for k in np.flatnonzero(many).tolist():
+            n, size = int(many[k]), int(ends[k] - net.starts[k])
+            self.parts.append((k, first, first + n, self.flat[at : at + n * size].reshape(n, size)))
+            first, at = first + n, at + n * size
+
+    def exp_sums(self, fill) -> np.ndarray:
+        """``fill`` writes logits to the rows; they become exponents, less the highest of a row where that is needed."""
+        fill()
+        with np.errstate(over="ignore"):
+            np.exp(self.flat, out=self.flat)
+            sums = np.add.reduceat(self.flat, self.rows)
+        if not _safe(sums):
+            fill()
+            high = np.maximum.reduceat(self.flat, self.rows)
+            self.flat -= np.repeat(high, np.diff(np.r_[self.rows, len(self.flat)]))
+            np.exp(self.flat, out=self.flat)
+            sums = np.add.reduceat(self.flat, self.rows)
+        return sums
+
+
+def _safe(sums: np.ndarray) -> bool:
+    return bool(sums.min() > 1e-25 and sums.max() < 1e30)
+
+
+def _exp_sums(v: np.ndarray, logits) -> tuple[np.ndarray, np.ndarray]:
+    """Exponents of ``v`` in its place and the sums of rows; ``logits`` makes ``v`` anew if the highest of a row must go first."""
+    ones = np.ones(v.shape[1], v.dtype)
+    with np.errstate(over="ignore", invalid="ignore"):
+        np.exp(v, out=v)
+        sums = v @ ones
+    if not _safe(sums):
+        v = logits()
+        v -= v.max(axis=1, keepdims=True)
+        np.exp(v, out=v)
+        sums = v @ ones
+    return v, sums
 
 
 def target_scores(net: Network, h: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Natural log probability of each target, given the state before it."""
     w = net.w
-    out = _log_softmax(h @ w["c"] + w["cb"])[np.arange(len(y)), net.class_of(y)].astype(np.float64)
-    for lo, hi, at in _by_class(net, y):
-        out[at] += _log_softmax(h[at] @ w["o"][lo:hi].T + w["ob"][lo:hi])[np.arange(len(at)), y[at] - lo]
+    out = np.empty(len(y))
+    for begin in range(0, len(y), BLOCK):
+        own = slice(begin, begin + BLOCK)
+        hs, ys = h[own], y[own]
+
+        def classes(hs=hs) -> np.ndarray:
+            v = hs @ w["c"]
+            v += w["cb"]
+            return v
+
+        to = _Targets(net, ys)
+        e, sums = _exp_sums(classes(), classes)
+        got = np.log(e[np.arange(len(ys)), to.of] / sums).astype(np.float64)
+        by_class = hs[to.order]
+
+        def within(to=to, by_class=by_class) -> None:
+            for k, first, last, v in to.parts:
+                lo, hi = net.bounds(k)
+                np.matmul(by_class[first:last], w["o"][lo:hi].T, out=v, casting="same_kind")
+                v += w["ob"][lo:hi]
+
+        sums = to.exp_sums(within)
+        got[to.order] += np.log(to.flat[to.at] / sums)
+        out[own] = got
     return out
 
 
 def document_scores(net: Network, docs: list[np.ndarray]) -> np.ndarray:
     """Natural log probability of each document; its ids close with the end, which also stands before it."""
     out = np.zeros(len(docs))
-    table = net.w["e"] @ net.w["x"] + net.w["b"]
-    u = net.w["u"]
+    x, u = _halved(net.w["x"]), _halved(net.w["u"])
+    table = net.w["e"] @ x + _halved(net.w["b"])
     order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
     for begin in range(0, len(order), ABREAST):
         own = order[begin : begin + ABREAST]
         sizes = np.array([len(docs[i]) for i in own])
-        state = np.zeros((len(own), HIDDEN), np.float32)
+        ids, starts = np.concatenate([docs[i] for i in own]), np.cumsum(sizes) - sizes
+        state = np.zeros((len(own), HIDDEN), table.dtype)
         last = np.zeros(len(own), np.int64)
         first = 0
         while first < sizes[0]:
             live = int(np.searchsorted(-sizes, -first, side="left"))
             steps = min(max(1, WINDOW // live), int(sizes[0]) - first)
-            block = np.zeros((steps, live), np.int64)
-            for r in range(live):
-                part = docs[own[r]][first : first + steps]
-                block[: len(part), r] = part
             counts = np.searchsorted(-sizes, -(first + np.arange(steps)), side="left").tolist()
-            states = np.empty((sum(counts), HIDDEN), np.float32)
+            block = [ids[starts[:n] + first + t] for t, n in enumerate(counts)]
+            states = np.empty((sum(counts), HIDDEN), table.dtype)
             at = 0
             for t, n in enumerate(counts):
-                h = state[:n]
-                gx, gh = table[last[:n]], h @ u
-                gates = _sigmoid(gx[:, : 2 * HIDDEN] + gh[:, : 2 * HIDDEN])
-                new = np.tanh(gx[:, 2 * HIDDEN :] + gates[:, HIDDEN:] * gh[:, 2 * HIDDEN :])
-                new += gates[:, :HIDDEN] * (h - new)
-                state[:n] = states[at : at + n] = new
-                last[:n] = block[t, :n]
+                h, new = state[:n], states[at : at + n]
+                _advance(np.take(table, last[:n], axis=1), h @ u, h, new)
+                state[:n] = new
+                last = block[t]
                 at += n
             who = np.concatenate([np.arange(n) for n in counts])
-            scores = target_scores(net, states, np.concatenate([block[t, :n] for t, n in enumerate(counts)]))
+            scores = target_scores(net, states, np.concatenate(block))
             out[own[:live]] += np.bincount(who, scores, live)
             first += steps
     return out
 
 
 class Trainer:
-    """Truncated backpropagation with step sizes that shrink where gradients were large."""
+    """Truncated backpropagation with step sizes that shrink where gradients were large.
+
+    A word's weights and its bias are one row, so are a class's, and all words take their step together; words of
+    classes that do not occur have no gradient and stay as they are.
+    """
 
     def __init__(self, net: Network, rate: float = 0.1):
-        self.net = Network(net.starts, {k: v.copy() for k, v in net.w.items()})
-        self.seen = {k: np.full(v.shape, 1e-6, np.float32) for k, v in self.net.w.items()}
+        w = {k: v.copy() for k, v in net.w.items()}
+        self.words = np.concatenate([w["o"], w["ob"][:, None]], axis=1)
+        self.classes = np.concatenate([w["c"], w["cb"][None]])
+        w |= {"o": self.words[:, :-1], "ob": self.words[:, -1], "c": self.classes[:-1], "cb": self.classes[-1]}
+        self.net = Network(net.starts, w)
+        self.weights = {"words": self.words, "classes": self.classes} | {k: w[k] for k in ("e", "x", "u", "b")}
+        self.seen = {k: np.full(v.shape, 1e-6, v.dtype) for k, v in self.weights.items()}
         self.rate = rate
-
-    def _step(self, name: str, at, grad: np.ndarray) -> None:
-        self.seen[name][at] += grad * grad
-        self.net.w[name][at] -= self.rate * grad / np.sqrt(self.seen[name][at])
+        bounds = [net.bounds(k) for k in range(len(net.starts))]
+        self.of_class = [self.words[lo:hi] for lo, hi in bounds]
+        self.grad = np.zeros_like(self.words)
+        self.grad_of_class = [self.grad[lo:hi] for lo, hi in bounds]
+        self.spare = np.empty((ROWS, self.words.shape[1]), self.words.dtype)
+
+    def _step(self, name: str, grad: np.ndarray) -> None:
+        seen = self.seen[name]
+        seen += grad * grad
+        self.weights[name] -= self.rate * grad / np.sqrt(seen)
+
+    def _step_words(self) -> None:
+        """The same in parts that stay near the processor."""
+        for begin in range(0, len(self.words), ROWS):
+            at = slice(begin, begin + ROWS)
+            grad, seen = self.grad[at], self.seen["words"][at]
+            own = self.spare[: len(grad)]
+            np.multiply(grad, grad, out=own)
+            seen += own
+            np.sqrt(seen, out=own)
+            np.divide(grad, own, out=own)
+            own *= self.rate
+            self.words[at] -= own
 
     def window(self, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, h0: np.ndarray, real: np.ndarray | None = None) -> np.ndarray:
         """One update from a window (steps, lanes); ``fresh`` marks document starts, ``real`` (if not all) what is
         a token and not padding; returns the last state."""
-        w, hid = self.net.w, HIDDEN
+        w, kind = self.net.w, self.words.dtype
         steps, lanes = x.shape
-        emb = w["e"][x]
-        gx = emb @ w["x"] + w["b"]
-        h, keep = h0, (1 - fresh).astype(np.float32)[:, :, None]
-        past, zs, rs, ns, us, hs = [], [], [], [], [], []
+        total = steps * lanes
+        flat_x, flat_y = x.ravel(), y.ravel()
+        # Each different word passes through the weights once.
+        by_word = _order(flat_x)
+        new = np.r_[True, np.diff(flat_x[by_word]) != 0]
+        first = np.flatnonzero(new)
+        rows = flat_x[by_word[first]]
+        place = np.empty(total, np.int64)
+        place[by_word] = np.cumsum(new) - 1
+        emb = w["e"][rows]
+        gx = np.take(emb @ _halved(w["x"]) + _halved(w["b"]), place, axis=1).reshape(3, steps, lanes, HIDDEN)
+        u, keep, starts = _halved(w["u"]), (1 - fresh).astype(kind)[:, :, None], fresh.any(axis=1).tolist()
+        gh = np.empty((steps, 3, lanes, HIDDEN), kind)
+        past = np.empty((steps, lanes, HIDDEN), kind)
+        by_one = np.ones((total, HIDDEN + 1), kind)  # states and a 1 for the bias
+        states = np.empty((steps, lanes, HIDDEN), kind)
+        h = h0
         for t in range(steps):
-            h = h * keep[t]
-            gh = h @ w["u"]
-            z = _sigmoid(gx[t, :, :hid] + gh[:, :hid])
-            r = _sigmoid(gx[t, :, hid : 2 * hid] + gh[:, hid : 2 * hid])
-            un = gh[:, 2 * hid :]
-            n = np.tanh(gx[t, :, 2 * hid :] + r * un)
-            past.append(h), zs.append(z), rs.append(r), ns.append(n), us.append(un)
-            h = n + z * (h - n)
-            hs.append(h)
-        flat_h, flat_y = np.concatenate(hs), y.ravel()
-        total = len(flat_y)
-        share = np.ones(total, np.float32) if real is None else real.ravel().astype(np.float32)
-        share = (share / share.sum())[:, None]
-        p = np.exp(_log_softmax(flat_h @ w["c"] + w["cb"]))
-        p[np.arange(total), self.net.class_of(flat_y)] -= 1
-        p *= share
+            if starts[t]:
+                np.multiply(h, keep[t], out=past[t])
+            else:
+                past[t] = h
+            np.matmul(past[t], u, out=gh[t])
+            _advance(gx[:, t], gh[t], past[t], states[t])
+            h = states[t]
+        by_one[:, :-1] = states.reshape(total, HIDDEN)
+        share = np.ones(total, kind) if real is None else real.ravel().astype(kind)
+        share /= share.sum()
+
+        # Gradients are taken of exponents less their sum at the target, and scaled row by row.
+        to = _Targets(self.net, flat_y)
+        p, sums = _exp_sums(by_one @ self.classes, lambda: by_one @ self.classes)
+        p[np.arange(total), to.of] -= sums
+        scale = (share / sums)[:, None]
         dh = p @ w["c"].T
-        grads = {"c": flat_h.T @ p, "cb": p.sum(0)}
-        for lo, hi, at in _by_class(self.net, flat_y):
-            q = np.exp(_log_softmax(flat_h[at] @ w["o"][lo:hi].T + w["ob"][lo:hi]))
-            q[np.arange(len(at)), flat_y[at] - lo] -= 1
-            q *= share[at]
-            dh[at] += q @ w["o"][lo:hi]
-            self._step("o", slice(lo, hi), q.T @ flat_h[at])
-            self._step("ob", slice(lo, hi), q.sum(0))
-        dh = dh.reshape(steps, lanes, hid)
-        dgx = np.zeros_like(gx)
-        du, back = np.zeros_like(w["u"]), np.zeros_like(h0)
+        dh *= scale
+        classes = (by_one * scale).T @ p
+
+        by_class = by_one[to.order]
+
+        def within() -> None:
+            for k, begin, end, v in to.parts:
+                np.dot(by_class[begin:end], self.of_class[k].T, out=v)
+
+        sums = to.exp_sums(within)
+        to.flat[to.at] -= sums
+        scale = (share[to.order] / sums)[:, None]
+        by_class *= scale
+        back = np.empty_like(by_class)
+        self.grad[:] = 0
+        for k, begin, end, v in to.parts:
+            np.dot(v, self.of_class[k], out=back[begin:end])
+            np.dot(v.T, by_class[begin:end], out=self.grad_of_class[k])
+        back *= scale
+        dh[to.order] += back[:, :-1]
+        self._step_words()
+
+        dh = dh.reshape(steps, lanes, HIDDEN)
+        z, r, n = gx
+        slope = 1 - n * n
+        slope *= 1 - z
+        by_gate = np.empty_like(gx)  # what a change of the state changes before each gate, and in the last one's share of the past
+        np.multiply(past - n, z * (1 - z), out=by_gate[0])
+        np.multiply(slope, r, out=by_gate[2])
+        np.multiply(by_gate[2], gh[:, 2] * (1 - r), out=by_gate[1])
+        ut = np.ascontiguousarray(w["u"].reshape(HIDDEN, 3, HIDDEN).transpose(1, 2, 0))
+        back, d = np.zeros_like(past[0]), np.empty_like(past)
         for t in range(steps - 1, -1, -1):
-            d = dh[t] + back
-            z, r, n = zs[t], rs[t], ns[t]
-            dn = d * (1 - z) * (1 - n * n)
-            dz = d * (past[t] - n) * z * (1 - z)
-            dr = dn * us[t] * r * (1 - r)
-            dgx[t] = np.concatenate([dz, dr, dn], axis=1)
-            dgh = np.concatenate([dz, dr, dn * r], axis=1)
-            du += past[t].T @ dgh
-            back = (d * z + dgh @ w["u"].T) * keep[t]
-        flat = dgx.reshape(total, 3 * hid)
-        grads |= {"u": du, "b": flat.sum(0), "x": emb.reshape(total, -1).T @ flat}
-        rows, place = np.unique(x.ravel(), return_inverse=True)
-        de = np.zeros((len(rows), EMBEDDED), np.float32)
-        np.add.at(de, place, flat @ w["x"].T)
-        self._step("e", rows, de)
+            np.add(dh[t], back, out=d[t])
+            by_gate[:, t] *= d[t]
+            back = np.add.reduce(by_gate[:, t] @ ut, axis=0)
+            back += d[t] * z[t]
+            if starts[t]:
+                back *= keep[t]
+        du = past.reshape(total, HIDDEN).T @ by_gate.reshape(3, total, HIDDEN)
+        np.multiply(d, slope, out=by_gate[2])
+        dgx = _sums_by_word(np.take(by_gate.reshape(3, total, HIDDEN), by_word, axis=1), first)
+        flat = dgx.transpose(1, 0, 2).reshape(len(rows), 3 * HIDDEN)
+        grads = {"classes": classes, "u": du.transpose(1, 0, 2).reshape(HIDDEN, 3 * HIDDEN), "b": flat.sum(0), "x": emb.T @ flat}
+        de = flat @ w["x"].T
+        seen = self.seen["e"][rows] + de * de
+        self.seen["e"][rows] = seen
+        w["e"][rows] -= self.rate * de / np.sqrt(seen)
         for k, g in grads.items():
-            self._step(k, slice(None), np.clip(g, -1, 1))
+            self._step(k, np.clip(g, -1, 1))
         return h
 
     def documents(self, docs: list[np.ndarray]) -> int:
@@ -281,7 +438,7 @@ class Trainer:
         real = np.ones(len(y), bool)
         # The last lane is filled up with padding, which is fewer than ``lanes`` tokens; the last window may be shorter.
         xs, ys, fs, rs = (np.pad(v, (0, lanes * size - len(y))).reshape(lanes, size).T for v in (x, y, fresh, real))
-        h = np.zeros((lanes, HIDDEN), np.float32)
+        h = np.zeros((lanes, HIDDEN), self.words.dtype)
         for begin in range(0, size, STEPS):
             at = slice(begin, begin + STEPS)
             h = self.window(xs[at], ys[at], fs[at], h, rs[at])
@@ -303,17 +460,15 @@ class Words:
     def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray, Counter]:
         """Network ids, places of the tokens that are held here (-1 for others), and the others."""
         words = split_words(text)
-        get = self.place.get
-        at = np.array([get(w, -1) for w in words] + [self.place.get(b"", -1)], np.int64)
+        words.append(b"")
+        at = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
         ids = self.ids[at] if len(self.ids) else np.zeros(len(at), np.int64)
-        rare: Counter = Counter()
-        for k in np.flatnonzero(at[:-1] < 0).tolist():
-            w = words[k]
-            ids[k] = self.marker_ids[marker_of(w.decode("utf-8", "surrogatepass"))]
-            rare[w] += 1
         if at[-1] < 0:
             ids[-1] = 0
-        return ids, at, rare
+        places = np.flatnonzero(at[:-1] < 0).tolist()
+        others = [words[k] for k in places]
+        ids[places] = self.marker_ids[[marker_of_bytes(w) for w in others]] if others else 0
+        return ids, at, Counter(others)
 
 
 def _code(word: bytes) -> int:
@@ -373,9 +528,9 @@ def vocabulary(counts: DataFrame, size: int, lookup: int) -> tuple[Words, np.nda
     return Words(place, c, ids, marker_ids, behind, ~known, markers), np.array(net_counts)
 
 
-def train(rows: DataFrame, net: Network, words, documents: int, rounds: int = ROUNDS, share: int = SHARE) -> Network:
-    """Rounds of training in parallel, each on one document in ``share``, and averaging."""
-    spark = rows.sparkSession
+def train(coded: DataFrame, net: Network, documents: int, rounds: int = ROUNDS, share: int = SHARE) -> Network:
+    """Rounds of training in parallel, each on one document in ``share`` of those not held out, and averaging."""
+    spark, kind = coded.sparkSession, id_kind(net)
     tasks = max(1, round(documents / share / DOCS_PER_TASK))
     lots = max(1, tasks // 32)
     for turn in range(rounds):
@@ -385,9 +540,7 @@ def train(rows: DataFrame, net: Network, words, documents: int, rounds: int = RO
             trainer, tokens, lot = Trainer(sent.value), 0, TaskContext.get().partitionId() % lots
             for batch in batches:
                 for begin in range(0, batch.num_rows, 400):
-                    part = batch.slice(begin, 400)
-                    docs = [words.value.tokens(t)[0] for t in part.column("text").to_pylist()]
-                    tokens += trainer.documents(docs)
+                    tokens += trainer.documents(_ids(batch.slice(begin, 400).column("ids"), kind))
             if tokens:
                 flat = trainer.net.flat()
                 blocks = range(0, len(flat), PER_BLOCK)
@@ -401,9 +554,8 @@ def train(rows: DataFrame, net: Network, words, documents: int, rounds: int = RO
                     names=["block", "lot", "weight", "sums"],
                 )
 
-        key = F.xxhash64("doc_id", "text")
-        chosen = rows.filter(F.pmod(key, F.lit(share)) == turn)
-        trained = chosen.select("text").repartition(tasks).mapInArrow(run, _SUMS)
+        chosen = coded.filter(~F.col("held_out") & (F.col("turn") == turn))
+        trained = chosen.select("ids").repartition(tasks).mapInArrow(run, _SUMS)
         added = trained.groupBy("block", "lot").applyInPandas(_add_up, _SUMS).groupBy("block").applyInPandas(_add_up, _SUMS)
         got = added.collect()  # one copy of the weights
         if not got:
@@ -421,74 +573,101 @@ def _add_up(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": [rows["block"].iloc[0]], "lot": [0], "weight": [rows["weight"].sum()], "sums": [total.tobytes()]})
 
 
-def score(
-    documents: DataFrame,
-    folds: int = FOLDS,
-    vocabulary_size: int = VOCABULARY,
-    lookup: int = LOOKUP,
-    rounds: int = ROUNDS,
-    share: int = SHARE,
-) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of each row."""
-    spark = documents.sparkSession
-    rows = texts(documents)
-    learned = rows.filter(fold("doc_id", folds) != 0)
-    counts = stored(token_counts(learned), "counts")
-    sums = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.max(F.when(F.col("word") == "", F.col("c"))).alias("d")).first()
-    total, kinds = int(sums["n"] or 0), int(sums["v"])
-    held, net_counts = vocabulary(counts, vocabulary_size, lookup)
-    words = spark.sparkContext.broadcast(held)
-    net = train(learned, Network.from_counts(net_counts), words, int(sums["d"] or 0), rounds, share) if total else Network.from_counts(net_counts)
-    sent = spark.sparkContext.broadcast(net)
+def id_kind(net: Network) -> np.dtype:
+    """How a document's ids are written; two bytes each, if they fit."""
+    return np.dtype("<u2" if len(net.w["ob"]) <= 1 << 16 else "<u4")
+
+
+def _ids(column: pa.Array, kind: np.dtype) -> list[np.ndarray]:
+    return [np.frombuffer(b, kind).astype(np.int64) for b in column.to_pylist()]
+
+
+def coded(rows: DataFrame, words, kind: np.dtype, total: int, kinds: int) -> DataFrame:
+    """Each text split once, for training and scoring: its ids, its counts and base score as far as its tokens are
+    held in every task, what the markers' shares add (own), and the codes of its other tokens with their times."""
     unit = float(np.log10(total + ADDED * (kinds + 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, n = words.value, sent.value
+        w = words.value
         log_counts = np.log10(w.counts + ADDED)
         log_behind = np.log10(w.behind)
         within = np.where(w.spelled, log_counts - log_behind[w.markers], 0.0) if len(w.counts) else np.zeros(0)
         for batch in batches:
-            for begin in range(0, batch.num_rows, 5000):
-                part = batch.slice(begin, 5000)
-                out: dict[str, list] = {k: [] for k in ("n_tokens", "known", "base", "score", "codes", "times")}
-                docs = []
+            for begin in range(0, batch.num_rows, 2500):
+                part = batch.slice(begin, 2500)
+                out: dict[str, list] = {k: [] for k in ("ids", "n_tokens", "known", "base", "own", "codes", "times")}
                 for text in part.column("text").to_pylist():
                     ids, at, rare = w.tokens(text)
-                    docs.append(ids)
                     here = at[at >= 0]
                     base = log_counts[here].sum() - len(at) * unit
-                    own = within[here].sum() - sum(log_behind[marker_of(x.decode("utf-8", "surrogatepass"))] * k for x, k in rare.items())
                     if at[-1] < 0:
                         base += np.log10(ADDED)
+                    out["ids"].append(ids.astype(kind).tobytes())
                     out["n_tokens"].append(len(at))
                     out["known"].append(len(here))
                     out["base"].append(base)
-                    out["score"].append(own)
+                    out["own"].append(within[here].sum() - sum(log_behind[marker_of_bytes(x)] * k for x, k in rare.items()))
                     out["codes"].append([_code(x) for x in rare])
                     out["times"].append(list(rare.values()))
-                own = document_scores(n, docs) / np.log(10)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
                         part.column("held_out"),
+                        part.column("turn"),
+                        pa.array(out["ids"], pa.binary()),
                         pa.array(out["n_tokens"], pa.int64()),
                         pa.array(out["known"], pa.int64()),
                         pa.array(out["base"], pa.float64()),
-                        pa.array(np.array(out["score"]) + own, pa.float64()),
+                        pa.array(out["own"], pa.float64()),
                         pa.array(out["codes"], pa.list_(pa.int64())),
                         pa.array(out["times"], pa.list_(pa.int32())),
                     ],
-                    names=["doc_id", "held_out", "n_tokens", "known", "base", "own", "codes", "times"],
+                    names=["doc_id", "held_out", "turn", *out],
                 )
 
-    kind = dict(rows.dtypes)["doc_id"]
-    first = rows.select("doc_id", "text", (fold("doc_id", folds) == 0).alias("held_out")).mapInArrow(
+    doc_id = dict(rows.dtypes)["doc_id"]
+    return rows.mapInArrow(
         run,
-        f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, own double, codes array<long>, times array<int>",
+        f"doc_id {doc_id}, held_out boolean, turn long, ids binary, n_tokens long, known long, base double, own double, "
+        "codes array<long>, times array<int>",
     )
+
+
+def score(
+    documents: DataFrame,
+    folds: int = FOLDS,
+    vocabulary_size: int = VOCABULARY,
+    lookup: int = LOOKUP,
+    rounds: int = ROUNDS,
+    share: int = SHARE,
+) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of each row."""
+    spark = documents.sparkSession
+    rows = texts(documents)
+    learned = rows.filter(fold("doc_id", folds) != 0)
+    counts = stored(token_counts(learned), "counts")
+    sums = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.max(F.when(F.col("word") == "", F.col("c"))).alias("d")).first()
+    total, kinds = int(sums["n"] or 0), int(sums["v"])
+    held, net_counts = vocabulary(counts, vocabulary_size, lookup)
+    words, net = spark.sparkContext.broadcast(held), Network.from_counts(net_counts)
+    kind = id_kind(net)
+    turn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)).cast("long")
+    found = coded(rows.select("doc_id", "text", (fold("doc_id", folds) == 0).alias("held_out"), turn.alias("turn")), words, kind, total, kinds)
     # Numbered in the written table, so a number stays with its row.
-    first = stored(first.withColumn("row", F.monotonically_increasing_id()), "first-scores")
-    others = first.select("row", F.explode(F.arrays_zip("codes", "times")).alias("o")).select("row", F.col("o.codes").alias("code"), F.col("o.times").alias("k"))
+    found = stored(found.withColumn("row", F.monotonically_increasing_id()), "coded")
+    if total:
+        net = train(found, net, int(sums["d"] or 0), rounds, share)
+    sent = spark.sparkContext.broadcast(net)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 5000):
+                part = batch.slice(begin, 5000)
+                network = document_scores(sent.value, _ids(part.column("ids"), kind)) / np.log(10)
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(network, pa.float64())], names=["row", "network"])
+
+    first = stored(found.select("row", "ids").mapInArrow(run, "row long, network double"), "network-scores")
+    others = found.select("row", F.explode(F.arrays_zip("codes", "times")).alias("o")).select("row", F.col("o.codes").alias("code"), F.col("o.times").alias("k"))
     added = (
         others.join(counts.select("code", "c"), "code", "left")
         .groupBy("row")
@@ -498,12 +677,17 @@ def score(
         )
     )
     logs = F.coalesce("logs", F.lit(0.0))
-    return first.join(added, "row", "left").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("known") + F.coalesce("seen", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + logs).alias("base_score"),
-        (F.col("own") + logs).alias("score"),
+    return (
+        found.select("row", "doc_id", "held_out", "n_tokens", "known", "base", "own")
+        .join(first, "row")
+        .join(added, "row", "left")
+        .select(
+            "doc_id",
+            "held_out",
+            "n_tokens",
+            (F.col("known") + F.coalesce("seen", F.lit(0))).cast("long").alias("n_known"),
+            F.lit(total).cast("long").alias("train_tokens"),
+            (F.col("base") + logs).alias("base_score"),
+            (F.col("own") + F.col("network") + logs).alias("score"),
+        )
     )
