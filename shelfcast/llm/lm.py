@@ -19,6 +19,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 from itertools import repeat
 
 import numpy as np
@@ -41,7 +42,7 @@ ROUNDS = SHARE = 4  # each round trains on one document in SHARE, and the rounds
 DOCS_PER_TASK = 800  # documents one training task takes in a round, about
 STEPS, LANES = 16, 96  # length of a training window, streams side by side
 WINDOW, ABREAST = 8_192, 512  # tokens of a scoring window, texts side by side
-BLOCK, ROWS = 4_096, 1_024  # targets scored and words changed at a time
+ROWS = 1_024  # words that take their step at once, about
 SHORT = 4  # places of a word in a window that are added one by one
 COUNTED = 300_000  # different tokens a task counts before it passes the counts on
 PER_BLOCK = 65_536  # weights averaged in one task
@@ -133,8 +134,12 @@ class Network:
             at += v.size
         return Network(self.starts, out)
 
+    @cached_property
+    def _classes(self) -> np.ndarray:
+        return np.searchsorted(self.starts, np.arange(len(self.w["ob"])), side="right") - 1
+
     def class_of(self, ids: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.starts, ids, side="right") - 1
+        return self._classes[ids]
 
     def bounds(self, k: int) -> tuple[int, int]:
         return int(self.starts[k]), int(self.starts[k + 1]) if k + 1 < len(self.starts) else len(self.w["ob"])
@@ -235,30 +240,26 @@ def _exp_sums(v: np.ndarray, logits) -> tuple[np.ndarray, np.ndarray]:
 def target_scores(net: Network, h: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Natural log probability of each target, given the state before it."""
     w = net.w
-    out = np.empty(len(y))
-    for begin in range(0, len(y), BLOCK):
-        own = slice(begin, begin + BLOCK)
-        hs, ys = h[own], y[own]
-
-        def classes(hs=hs) -> np.ndarray:
-            v = hs @ w["c"]
-            v += w["cb"]
-            return v
-
-        to = _Targets(net, ys)
-        e, sums = _exp_sums(classes(), classes)
-        got = np.log(e[np.arange(len(ys)), to.of] / sums).astype(np.float64)
-        by_class = hs[to.order]
-
-        def within(to=to, by_class=by_class) -> None:
-            for k, first, last, v in to.parts:
-                lo, hi = net.bounds(k)
-                np.matmul(by_class[first:last], w["o"][lo:hi].T, out=v, casting="same_kind")
-                v += w["ob"][lo:hi]
 
-        sums = to.exp_sums(within)
-        got[to.order] += np.log(to.flat[to.at] / sums)
-        out[own] = got
+    def classes() -> np.ndarray:
+        v = h @ w["c"]
+        v += w["cb"]
+        return v
+
+    to = _Targets(net, y)
+    e, sums = _exp_sums(classes(), classes)
+    out = np.log(e[np.arange(len(y)), to.of] / sums).astype(np.float64)
+    words = np.concatenate([w["o"], w["ob"][:, None]], axis=1)
+    by_class = np.ones((len(y), h.shape[1] + 1), words.dtype)  # a 1 for the bias
+    by_class[:, :-1] = h[to.order]
+
+    def within() -> None:
+        for k, first, last, v in to.parts:
+            lo, hi = net.bounds(k)
+            np.dot(by_class[first:last], words[lo:hi].T, out=v)
+
+    sums = to.exp_sums(within)
+    out[to.order] += np.log(to.flat[to.at] / sums)
     return out
 
 
@@ -311,29 +312,28 @@ class Trainer:
         self.weights = {"words": self.words, "classes": self.classes} | {k: w[k] for k in ("e", "x", "u", "b")}
         self.seen = {k: np.full(v.shape, 1e-6, v.dtype) for k, v in self.weights.items()}
         self.rate = rate
-        bounds = [net.bounds(k) for k in range(len(net.starts))]
-        self.of_class = [self.words[lo:hi] for lo, hi in bounds]
-        self.grad = np.zeros_like(self.words)
-        self.grad_of_class = [self.grad[lo:hi] for lo, hi in bounds]
-        self.spare = np.empty((ROWS, self.words.shape[1]), self.words.dtype)
+        self.of_class = [self.words[slice(*net.bounds(k))] for k in range(len(net.starts))]
+        # Classes that take their step at once, and the words of them; few enough to stay near the processor.
+        cuts = sorted({int(np.searchsorted(net.starts, lo)) for lo in range(0, len(self.words), ROWS)} | {len(net.starts)})
+        self.groups = [(a, b, net.bounds(a)[0], net.bounds(b - 1)[1]) for a, b in zip(cuts[:-1], cuts[1:])]
+        most = max(hi - lo for *_, lo, hi in self.groups)
+        self.grad, self.spare = np.empty((2, most, self.words.shape[1]), self.words.dtype)
+        self.grad_of_class = [self.grad[slice(*(v - lo for v in net.bounds(k)))] for a, b, lo, _ in self.groups for k in range(a, b)]
 
     def _step(self, name: str, grad: np.ndarray) -> None:
         seen = self.seen[name]
         seen += grad * grad
         self.weights[name] -= self.rate * grad / np.sqrt(seen)
 
-    def _step_words(self) -> None:
-        """The same in parts that stay near the processor."""
-        for begin in range(0, len(self.words), ROWS):
-            at = slice(begin, begin + ROWS)
-            grad, seen = self.grad[at], self.seen["words"][at]
-            own = self.spare[: len(grad)]
-            np.multiply(grad, grad, out=own)
-            seen += own
-            np.sqrt(seen, out=own)
-            np.divide(grad, own, out=own)
-            own *= self.rate
-            self.words[at] -= own
+    def _step_words(self, lo: int, hi: int) -> None:
+        """The same for some words, without copies."""
+        grad, seen, own = self.grad[: hi - lo], self.seen["words"][lo:hi], self.spare[: hi - lo]
+        np.multiply(grad, grad, out=own)
+        seen += own
+        np.sqrt(seen, out=own)
+        np.divide(grad, own, out=own)
+        own *= self.rate
+        self.words[lo:hi] -= own
 
     def window(self, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, h0: np.ndarray, real: np.ndarray | None = None) -> np.ndarray:
         """One update from a window (steps, lanes); ``fresh`` marks document starts, ``real`` (if not all) what is
@@ -389,13 +389,21 @@ class Trainer:
         scale = (share[to.order] / sums)[:, None]
         by_class *= scale
         back = np.empty_like(by_class)
-        self.grad[:] = 0
-        for k, begin, end, v in to.parts:
-            np.dot(v, self.of_class[k], out=back[begin:end])
-            np.dot(v.T, by_class[begin:end], out=self.grad_of_class[k])
+        parts = {part[0]: part for part in to.parts}
+        for a, b, lo, hi in self.groups:
+            found = False
+            for k in range(a, b):
+                if k in parts:
+                    _, begin, end, v = parts[k]
+                    np.dot(v, self.of_class[k], out=back[begin:end])
+                    np.dot(v.T, by_class[begin:end], out=self.grad_of_class[k])
+                    found = True
+                else:
+                    self.grad_of_class[k].fill(0)
+            if found:
+                self._step_words(lo, hi)
         back *= scale
         dh[to.order] += back[:, :-1]
-        self._step_words()
 
         dh = dh.reshape(steps, lanes, HIDDEN)
         z, r, n = gx
